@@ -2,6 +2,84 @@
 
 from __future__ import annotations
 
+BLANK = "[\\x20\\x09-\\x0D]"
+
+MIXING = f"""
+WITH sized AS (
+  SELECT doc_id, source, md5('7:' || doc_id) AS draw,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANK}+'), lambda x: x <> ''))::BIGINT AS size
+  FROM documents),
+by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT source, source_size, 2.0::DOUBLE * source_size AS cap,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w
+  FROM by_source),
+want AS (SELECT 1.5::DOUBLE * sum(source_size) AS total FROM by_source),
+ordered AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps_before,
+         sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights_from
+  FROM weighed),
+filled AS (SELECT o.*, (total - caps_before) * w / weights_from > cap AS is_full FROM ordered o, want),
+level AS (SELECT max(total) - coalesce(sum(CASE WHEN is_full THEN cap END), 0) AS left_over, sum(CASE WHEN NOT is_full THEN w END) AS weight FROM filled, want),
+targets AS (SELECT source, source_size, CASE WHEN is_full OR weight IS NULL THEN cap ELSE left_over * w / weight END AS target FROM filled, level),
+rests AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM targets),
+placed AS (
+  SELECT doc_id, size, source_size, target, whole, target - whole * source_size AS rest,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM placed
+"""
+
+LINES = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^{BLANK}+|{BLANK}+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+common AS (
+  SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (SELECT k.doc_id, k.pos, k.line, coalesce(k.doc_id < c.last, false) AS dropped FROM keyed k LEFT JOIN common c ON k.key = c.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+QUALITY = f"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANK}+'), lambda x: x <> '') AS words FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 6)) AS i, unnest(list_transform(range(1, len(words) - 6), lambda k: list_slice(words, k, k + 7))) AS w
+  FROM docs WHERE len(words) >= 8),
+again AS (SELECT doc_id, w FROM windows GROUP BY doc_id, w HAVING count(*) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT s.doc_id, unnest(range(s.i, s.i + 8)) AS p FROM windows s JOIN again a ON s.doc_id = a.doc_id AND s.w = a.w) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dups FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+counts AS (
+  SELECT d.doc_id, d.source, len(words)::BIGINT AS n_words, length(regexp_replace(text, '{BLANK}+', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(dups, 0)::BIGINT AS n_dup_lines, coalesce(l.n, 0) AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN lines l ON d.doc_id = l.doc_id),
+based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts),
+judged AS (
+  SELECT *, base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 5 * n_symbols > n_words OR 2 * n_dup_lines > n_lines AS failed
+  FROM based),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (failed)::DOUBLE AS k FROM judged GROUP BY source),
+whole AS (SELECT sum(n) AS nn, sum(k) AS kk, count(*)::DOUBLE AS h, sum(k * k / n) AS s FROM hosts),
+moments AS (SELECT kk / nn AS m, s / nn - (kk / nn) ** 2 - kk / nn * (1 - kk / nn) * h / nn AS spread FROM whole),
+prior AS (
+  SELECT m, CASE WHEN spread <= 0 THEN 1000.0 ELSE greatest(1.0, least(1000.0, m * (1 - m) / spread - 1)) END::DOUBLE AS w FROM moments),
+verdicts AS (SELECT source, (k + m * w) / (n + w) > 0.5 AS host_failed FROM hosts, prior)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept
+FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": MIXING, "op6_line_dedup": LINES, "op8_quality": QUALITY}

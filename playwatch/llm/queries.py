@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from playwatch.llm.common import shared_dir
+from playwatch.llm.line_dedup import line_digests
+from playwatch.llm.mixing import mixed
+from playwatch.llm.quality import quality_verdicts
 from playwatch.llm.token_count import token_counts
+from playwatch.llm.token_output import read_tokens, write_tokens
 from playwatch.llm.word_bpe import word_bpe
 
 
@@ -15,13 +21,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, out=out)
+    return read_tokens(spark, out)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixed(table(spark, sf_dir, "documents"), weights=(5, 2, 1), of_total=1.5, max_epochs=2.0)
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(table(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality_verdicts(table(spark, sf_dir, "documents"), host="source", max_rate=0.5)
+    return verdicts.drop("host_rate")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_word_bpe, op7_token_counts)}
+    return {f.__name__: f for f in (op1_token_output, op3_mixing, op5_word_bpe, op6_line_dedup, op7_token_counts, op8_quality)}
