@@ -8,12 +8,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from playwatch.llm.ann import nearest
 from playwatch.llm.common import shared_dir
 from playwatch.llm.line_dedup import line_digests
 from playwatch.llm.mixing import mixed
 from playwatch.llm.quality import quality_verdicts
 from playwatch.llm.token_count import token_counts
 from playwatch.llm.token_output import read_tokens, write_tokens
+from playwatch.llm.toxicity import toxicity
 from playwatch.llm.word_bpe import word_bpe
 
 
@@ -32,6 +34,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,5 +55,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.drop("host_rate")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op3_mixing, op5_word_bpe, op6_line_dedup, op7_token_counts, op8_quality)}
+    chosen = (op1_token_output, op3_mixing, op4_nearest, op5_word_bpe, op6_line_dedup, op7_token_counts, op8_quality, op9_toxicity)
+    return {f.__name__: f for f in chosen}
