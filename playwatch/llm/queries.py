@@ -12,6 +12,7 @@ from playwatch.llm.ann import nearest
 from playwatch.llm.common import shared_dir
 from playwatch.llm.line_dedup import line_digests
 from playwatch.llm.mixing import mixed
+from playwatch.llm.near_dup import near_duplicates
 from playwatch.llm.quality import quality_verdicts
 from playwatch.llm.token_count import token_counts
 from playwatch.llm.token_output import read_tokens, write_tokens
@@ -29,6 +30,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, out)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixed(table(spark, sf_dir, "documents"), weights=(5, 2, 1), of_total=1.5, max_epochs=2.0)
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -60,5 +65,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    chosen = (op1_token_output, op3_mixing, op4_nearest, op5_word_bpe, op6_line_dedup, op7_token_counts, op8_quality, op9_toxicity)
+    chosen = (op1_token_output, op2_near_duplicates, op3_mixing, op4_nearest, op5_word_bpe, op6_line_dedup, op7_token_counts, op8_quality, op9_toxicity)
     return {f.__name__: f for f in chosen}
