@@ -60,23 +60,19 @@ def line_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
     return keep_bitmaps(dropped_lines(with_lines(docs).filter("doc IS NOT NULL"), least_chars, least_docs))
 
 
-def with_lines(docs: DataFrame) -> DataFrame:
-    """doc, row (a hash of the text, which tells repeated rows of one doc_id apart) and lines."""
+def with_lines(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc, row (a hash of the text, which tells repeated rows of one doc_id apart) and more, or the lines."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.split(text, "\n").alias("lines"))
+    doc, row = F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("row")
+    return docs.select(doc, row, *(more or [F.split(text, "\n").alias("lines")]))
 
 
-def deduped_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
-    """doc_id, n_lines, n_dropped and kept (the text of the lines that stay) of every document.
-
-    A line's key is the line without blanks at its ends and with A-Z lower-cased. Keys of ``least_chars`` code points found in
-    ``least_docs`` documents lose all their lines but those of the largest doc_id that holds them. A null or empty text is one
-    empty line. Rows without a doc_id take no part and keep their lines; repeated rows of one doc_id count as one document
-    and are treated alike. Other columns are not read. An empty table gives no rows.
-    """
+def with_kept(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
+    """The rows of ``docs`` (in the struct __row) with doc, lines and left (the lines that stay)."""
     bitmaps = line_bitmaps(docs, least_chars, least_docs).withColumnsRenamed({"doc": "its_doc", "row": "its_row"})
-    own = with_lines(docs)
+    own = with_lines(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
     joined = own.join(bitmaps, (F.col("doc") == F.col("its_doc")) & (F.col("row") == F.col("its_row")), "left")
+    joined = joined.withColumn("lines", F.split(F.coalesce("__row.text", F.lit("")), "\n"))
     sparse = F.map_from_entries(F.col("words"))
     dense = F.when(
         F.col("words").isNotNull(),
@@ -84,13 +80,31 @@ def deduped_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -
     )
     joined = joined.withColumn("bits", dense)
     keep = F.filter(F.col("lines"), lambda x, i: ~is_dropped(F.col("bits"), i))
+    return joined.withColumn("left", F.when(F.col("bits").isNull(), F.col("lines")).otherwise(keep))
+
+
+def deduped_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept (the text of the lines that stay) of every document.
+
+    A line's key is the line without blanks at its ends and with A-Z lower-cased. Keys of ``least_chars`` code points found in
+    ``least_docs`` documents lose all their lines but those of the largest doc_id that holds them. A null or empty text is one
+    empty line. Rows without a doc_id take no part and keep their lines; repeated rows of one doc_id count as one document
+    and are treated alike. Other columns are not read. An empty table gives no rows.
+    """
+    joined = with_kept(docs.select("doc_id", "text"), least_chars, least_docs)
     n = F.size("lines").cast("long")
-    joined = joined.withColumn("left", F.when(F.col("bits").isNull(), F.col("lines")).otherwise(keep))
     return joined.select(
         F.col("doc").alias("doc_id"), n.alias("n_lines"), (n - F.size("left")).alias("n_dropped"), F.array_join("left", "\n").alias("kept")
     )
 
 
+def without_dropped_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
+    """``docs`` with all their columns, text being what deduped_lines keeps; a null text stays null."""
+    joined = with_kept(docs, least_chars, least_docs)
+    text = F.when(F.col("__row.text").isNotNull(), F.array_join("left", "\n")).alias("text")
+    return joined.select(*(text if c == "text" else F.col(f"__row.`{c}`") for c in docs.columns))
+
+
 def line_digests(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
     """deduped_lines with the SHA-256 of what stays instead of the text."""
     out = deduped_lines(docs, least_chars, least_docs)

@@ -207,3 +207,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sums = classes.filter("worded").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     alone = classes.filter("NOT worded").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return classes.filter("worded").join(sums, "label").select("doc_id", "class_id", "class_size").unionByName(alone)
+
+
+def first_of_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their class, with all their columns; equal rows of that id once.
+
+    Rows with a null doc_id stay if no other row of their class has an id, one for each text.
+    """
+    classes = near_duplicates(docs, threshold).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("class_id").alias("__classes"))
+    own = docs.withColumn("__text", text_key(F.col("text")))
+    kept = own.join(classes, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")))
+    first = F.array_contains("__classes", F.col("__doc")) | (F.col("__doc").isNull() & (F.size("__classes") == 0))
+    return kept.filter(first).dropDuplicates(["__doc", "__text"]).select(*(F.col(f"`{c}`") for c in docs.columns))

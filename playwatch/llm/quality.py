@@ -100,3 +100,16 @@ def quality_verdicts(docs: DataFrame, host: str = "source", max_rate: float = 0.
     hosts = host_verdicts(judged, max_rate).withColumnRenamed("__host", "__its")
     joined = judged.join(hosts, F.col("__host").eqNullSafe(F.col("__its")), "left")
     return joined.select(*names, "host_rate", (~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))).alias("kept"))
+
+
+def kept_documents(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that quality_verdicts keeps, with all their columns as they are.
+
+    Rows are judged by their own text, so repeated rows of one doc_id are kept or not each by itself.
+    """
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("text").alias("__text"), F.col(host).alias("__host"))
+    judged = document_rules(own).select("__row", "__host", "base_failed", "failed")
+    # the first pass counts hosts, the second filters; rejected hosts are few and Spark may broadcast them
+    hosts = host_verdicts(written(judged.select("__host", "failed"), "judged"), max_rate).filter("host_failed").select(F.col("__host").alias("__its"))
+    passed = judged.filter(~F.col("base_failed"))
+    return passed.join(hosts, F.col("__host").eqNullSafe(F.col("__its")), "left_anti").select("__row.*")

@@ -14,6 +14,7 @@ from playwatch.llm.line_dedup import line_digests
 from playwatch.llm.mixing import mixed
 from playwatch.llm.near_dup import near_duplicates
 from playwatch.llm.quality import quality_verdicts
+from playwatch.llm.repeats import without_repeats
 from playwatch.llm.token_count import token_counts
 from playwatch.llm.token_output import read_tokens, write_tokens
 from playwatch.llm.toxicity import toxicity
@@ -64,6 +65,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    chosen = (op1_token_output, op2_near_duplicates, op3_mixing, op4_nearest, op5_word_bpe, op6_line_dedup, op7_token_counts, op8_quality, op9_toxicity)
+    chosen = (op1_token_output, op2_near_duplicates, op3_mixing, op4_nearest, op5_word_bpe, op6_line_dedup, op7_token_counts, op8_quality, op9_toxicity, op10_repeats)
     return {f.__name__: f for f in chosen}
