@@ -111,5 +111,6 @@ def kept_documents(docs: DataFrame, host: str = "source", max_rate: float = 0.5)
     judged = document_rules(own).select("__row", "__host", "base_failed", "failed")
     # the first pass counts hosts, the second filters; rejected hosts are few and Spark may broadcast them
     hosts = host_verdicts(written(judged.select("__host", "failed"), "judged"), max_rate).filter("host_failed").select(F.col("__host").alias("__its"))
-    passed = judged.filter(~F.col("base_failed"))
+    # an exploded array drops rows without a predicate, which would be pushed below the steps and repeat them all
+    passed = judged.select("__row", "__host", F.explode(F.array_repeat(F.lit(1), F.when(F.col("base_failed"), 0).otherwise(1))).alias("__one"))
     return passed.join(hosts, F.col("__host").eqNullSafe(F.col("__its")), "left_anti").select("__row.*")
