@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -28,7 +29,7 @@ RANKS = {"critical": 0, "warning": 1}
 
 def lookup(table: dict, key: Column) -> Column:
     """A literal table; null where it lacks the key."""
-    return F.element_at(F.create_map(*(F.lit(x) for x in chain.from_iterable(table.items()))), key)
+    return F.try_element_at(F.create_map(*(F.lit(x) for x in chain.from_iterable(table.items()))), key)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -128,6 +129,10 @@ def xs_datetime(c: Column) -> Column:
     return F.when(own.rlike(r"^\d{4}-\d\d-\d\d(T\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)?)?$"), F.try_to_timestamp(own))
 
 
+def _rounded(size: int) -> Callable[[Column, Column], Column]:
+    return lambda a, x: a + F.round(x.cast("double") * float(size)).cast("long")
+
+
 def xs_duration_ns(c: Column) -> Column:
     """Nanoseconds of an xs:duration (a year is 365 days, a month 30); null where it is none. Fields may stand in any order."""
     own = F.replace(F.trim(c), F.lit(","), F.lit("."))
@@ -143,7 +148,7 @@ def xs_duration_ns(c: Column) -> Column:
         sums = F.lit(0).cast("long")
         for unit, size in units.items():
             every = F.regexp_extract_all(part, F.lit(rf"({number}){unit}"), F.lit(1))
-            sums += F.aggregate(every, F.lit(0).cast("long"), lambda a, x, size=size: a + F.round(x.cast("double") * float(size)).cast("long"))
+            sums += F.aggregate(every, F.lit(0).cast("long"), _rounded(size))
         return sums
 
     amount = total(date, dates) + total(time, times)
@@ -216,7 +221,7 @@ def is_down(up: Column) -> Column:
 
 def bool_of(gauges: Column, name: str) -> Column:
     """A 0/1 gauge of a map as true, false or null (not observed)."""
-    return F.element_at(gauges, F.lit(name)) != 0
+    return F.try_element_at(gauges, F.lit(name)) != 0
 
 
 def bool_gauge(c: Column) -> Column:
@@ -344,15 +349,15 @@ def pssh(data: Column) -> Column:
 
 def normalise_hit(c: Column) -> Column:
     """STALE, MISS, HIT or the empty text by the last of a header's elements, in that order."""
-    last = F.lower(F.trim(F.element_at(F.split(F.coalesce(c, F.lit("")), ","), -1)))
+    last = F.lower(F.trim(F.try_element_at(F.split(F.coalesce(c, F.lit("")), ","), F.lit(-1))))
     return F.when(last.rlike("stale|updating"), "STALE").when(last.rlike("miss|expired|bypass"), "MISS").when(last.rlike("hit|revalidated"), "HIT").otherwise("")
 
 
 def cache_info(headers: Column) -> Column:
     """age_s (null without a valid Age header) and hit of response headers."""
     low = F.transform_keys(headers, lambda k, _: F.lower(k))
-    age = F.trim(F.element_at(low, F.lit("age")))
-    hits = [blank_to_null(normalise_hit(F.element_at(low, F.lit(h)))) for h in HIT_HEADERS]
+    age = F.trim(F.try_element_at(low, F.lit("age")))
+    hits = [blank_to_null(normalise_hit(F.try_element_at(low, F.lit(h)))) for h in HIT_HEADERS]
     return F.struct(F.when(age.rlike(r"^[+]?\d+$"), age.try_cast("long")).alias("age_s"), F.coalesce(*hits, F.lit("")).alias("hit"))
 
 
@@ -413,7 +418,7 @@ def resolve_url(base: Column, ref: Column) -> Column:
         lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.least(F.size(a), F.lit(1))))).otherwise(F.concat(a, F.array(x))),
     )
     path = F.array_join(kept, "/")
-    path = F.when(F.element_at(parts, -1).isin(".", "..") & ~path.endswith("/"), F.concat(path, F.lit("/"))).otherwise(path)
+    path = F.when(F.try_element_at(parts, F.lit(-1)).isin(".", "..") & ~path.endswith("/"), F.concat(path, F.lit("/"))).otherwise(path)
     head = F.concat(F.when(bs != "", F.concat(bs, F.lit(":"))).otherwise(""), F.when(ba != "", F.concat(F.lit("//"), ba)).otherwise(""))
     same = F.when(rp == "", F.concat(head, bp, F.when(rq != "", rq).otherwise(bq))).otherwise(F.concat(head, path, rq))
     return F.when(rs != "", own).when(ra != "", F.concat(bs, F.lit(":"), own)).otherwise(same)

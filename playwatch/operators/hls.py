@@ -27,7 +27,7 @@ def hls_attrs(c: Column) -> Column:
 
 def attr(attrs: Column, name: str) -> Column:
     """The last value of an attribute; the empty text without one."""
-    return F.coalesce(F.element_at(F.filter(attrs, lambda e: e["key"] == name), -1)["value"], F.lit(""))
+    return F.coalesce(F.try_element_at(F.filter(attrs, lambda e: e["key"] == name), F.lit(-1))["value"], F.lit(""))
 
 
 def lines(df: DataFrame) -> DataFrame:
