@@ -385,7 +385,8 @@ def cache_explain(age: Column, hit: Column, unchanged_s: Column) -> Column:
 
 def cache_lag(age: Column, behind_s: Column) -> Column:
     """A lag split in two: cache_s, and packager_s for what was missing when the response was made. Null without an age."""
-    cached = F.greatest(F.lit(0.0), F.least(age.cast("double"), behind_s))
+    # least and greatest skip nulls, so the age is tested by itself
+    cached = F.when(age.isNotNull(), F.greatest(F.lit(0.0), F.least(age.cast("double"), behind_s)))
     return F.struct(cached.alias("cache_s"), (F.greatest(behind_s, F.lit(0.0)) - cached).alias("packager_s"))
 
 
