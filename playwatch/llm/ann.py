@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours: score-aware four-bit product quantisation, table scans, exact reranking.
+"""Nearest neighbours: score-aware four-bit product quantisation, table scans, exact reranking of all that could be near.
 
 Nearest by Euclidean distance is the largest inner product q.x - |x|^2 / 2; the last term is kept exactly for each row and x is
 quantised. As an error along x costs an inner product most, the loss weighs the residual parallel to x ETA times the rest
@@ -7,6 +7,10 @@ dimensions, so that two codes make a byte; a scan adds up one looked-up value a
 
 The index covers every row. Queries run against all rows in blocks of bounded size: each task scans its rows for the whole
 block, reranks the best by exact distance and passes on its k nearest for each query, which are then merged by query.
+
+A row also keeps how far it lies from its code's point, so codes bound distances: no row is nearer to a query than its code's point
+less that. Once the best guesses have given a k-th distance, every row whose bound does not exceed it is measured too, so results
+are exact however many rows lie closer together than codes resolve.
 """
 
 from __future__ import annotations
@@ -83,12 +87,22 @@ class Codebooks:
         codes = self.assign(self.blocks(x), self.eta).astype(np.uint8)
         return codes[:, 0::2] | codes[:, 1::2] << 4
 
+    def points(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors [n, padded] that packed codes stand for."""
+        split = np.stack([codes & 15, codes >> 4], 2).reshape(len(codes), -1)
+        return self.centres[np.arange(split.shape[1]), split].reshape(len(codes), -1)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of each query with each packed byte: [queries, bytes, 256]."""
         own = np.einsum("qsd,scd->qsc", self.blocks(queries), self.centres).astype(np.float32)
         low, high = own[:, 0::2], own[:, 1::2]
         return (high[:, :, :, None] + low[:, :, None, :]).reshape(len(queries), low.shape[1], 256)
 
+    def wrong(self, queries: np.ndarray) -> np.ndarray:
+        """The most that a query's sums of its tables, which are of single precision, can be wrong by."""
+        most = np.abs(np.einsum("qsd,scd->qsc", self.blocks(queries), self.centres)).max(2).sum(1)
+        return (self.padded // 2 + 4) * 2.0**-23 * most
+
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
@@ -110,7 +124,7 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
 
 
 def build_index(rows: DataFrame, dim: int, fit_rows: int) -> tuple[DataFrame, Codebooks]:
-    """Every row with its code and half its squared norm; codebooks come from the ``fit_rows`` rows first in a hash order."""
+    """Every row with its code, half its squared norm, its code's squared norm and its distance from that; codebooks come from the ``fit_rows`` rows first in a hash order."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("embedding").toArrow()["embedding"].combine_chunks()
     books = Codebooks(dim, matrix(sample, dim) if len(sample) else np.zeros((0, dim)))
     shared = rows.sparkSession.sparkContext.broadcast(books)
@@ -120,11 +134,18 @@ def build_index(rows: DataFrame, dim: int, fit_rows: int) -> tuple[DataFrame, Co
             if not batch.num_rows:
                 continue
             x = matrix(batch["embedding"], dim)
-            codes = [c.tobytes() for part in range(0, len(x), 2048) for c in shared.value.encode(x[part : part + 2048])]
-            columns = [batch["vec_id"], batch["embedding"], pa.array(codes, pa.binary()), pa.array((x**2).sum(1) / 2)]
-            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "embedding", "code", "half_norm"])
-
-    kinds = "vec_id long, embedding array<double>, code binary, half_norm double"
+            codes, norm, off = [], [np.zeros(0)], [np.zeros(0)]
+            for part in range(0, len(x), 2048):
+                own = x[part : part + 2048]
+                packed = shared.value.encode(own)
+                points = shared.value.points(packed)
+                codes += [c.tobytes() for c in packed]
+                norm.append((points**2).sum(1))
+                off.append(np.sqrt(((np.pad(own, ((0, 0), (0, points.shape[1] - dim))) - points) ** 2).sum(1)))
+            columns = [batch["vec_id"], batch["embedding"], pa.array(codes, pa.binary()), *map(pa.array, ((x**2).sum(1) / 2, np.concatenate(norm), np.concatenate(off)))]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "embedding", "code", "half_norm", "code_norm", "off"])
+
+    kinds = "vec_id long, embedding array<double>, code binary, half_norm double, code_norm double, off double"
     return written(rows.mapInArrow(encode, kinds), "index"), books
 
 
@@ -146,23 +167,43 @@ def scanned(index: DataFrame, books: Codebooks, ids: np.ndarray, queries: np.nda
         ids, queries, books = shared.value
         tables = books.tables(queries)
         places = np.arange(tables.shape[1])
+        norms = (queries**2).sum(1)
+        wrong = books.wrong(queries)
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
         for batch in batches:
             if not batch.num_rows:
                 continue
             names, x = np.asarray(batch["vec_id"]), matrix(batch["embedding"], books.dim)
             codes = np.frombuffer(b"".join(batch["code"].to_pylist()), np.uint8).reshape(len(names), -1)
-            half = np.asarray(batch["half_norm"])
-            names, x, codes, half = (a[first_of_equals(names, x, k + 1)] for a in (names, x, codes, half))
-            for q, query in enumerate(ids):
-                guess = tables[q][places, codes].sum(1) - half
-                guess[names == query] = -np.inf
-                chosen = np.argpartition(-guess, rerank)[:rerank] if len(guess) > rerank else np.arange(len(guess))
-                chosen = chosen[names[chosen] != query]
+            half, norm, off = (np.asarray(batch[c]) for c in ("half_norm", "code_norm", "off"))
+            first = first_of_equals(names, x, k + 1)
+            names, x, codes, half, norm, off = (a[first] for a in (names, x, codes, half, norm, off))
+
+            def measure(q: int, chosen: np.ndarray, names: np.ndarray = names, x: np.ndarray = x) -> None:
+                chosen = chosen[names[chosen] != ids[q]]
                 far = np.sqrt(((x[chosen] - queries[q]) ** 2).sum(1))
                 far, name = np.concatenate([best[q][0], far]), np.concatenate([best[q][1], names[chosen]])
                 first = np.lexsort((name, far))[:k]
                 best[q] = far[first], name[first]
+
+            for q, query in enumerate(ids):
+                inner = tables[q][places, codes].sum(1)
+                guess = inner - half
+                guess[names == query] = -np.inf
+                if len(guess) <= rerank:
+                    measure(q, np.arange(len(guess)))
+                    continue
+                chosen = np.argpartition(-guess, rerank)[:rerank]
+                measure(q, chosen)
+                # no row is nearer than its code's point less its own distance from that
+                reach = best[q][0][-1] if len(best[q][0]) >= k else np.inf
+                square = norms[q] + norm
+                nearest_point = np.sqrt(np.maximum(square - 2.0 * inner - 2 * wrong[q] - 1e-12 * square, 0))
+                # what is no number is measured
+                open_ = ~(nearest_point - off > reach * (1 + 1e-12) + 1e-12 * off)
+                open_[chosen] = False
+                if open_.any():
+                    measure(q, np.flatnonzero(open_))
         found = [pa.array(np.repeat(ids, [len(b[0]) for b in best])), *(pa.array(np.concatenate([b[i] for b in best] or [[]])) for i in (1, 0))]
         yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
@@ -170,7 +211,7 @@ def scanned(index: DataFrame, books: Codebooks, ids: np.ndarray, queries: np.nda
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = 200, fit_rows: int = 8192, block: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id and score: the k nearest rows found for each row whose vec_id is divisible by ``every``.
+    """query_id, rank, vec_id and score: the k nearest rows of each row whose vec_id is divisible by ``every``.
 
     Nearness is Euclidean distance in double precision on the original vectors; ties go to the smaller vec_id. A query's own
     vec_id is no candidate. See ``usable`` for vectors that take no part. Repeated rows are candidates each. Where fewer than k

@@ -211,6 +211,22 @@ def test_nearest(spark):
     assert len(ann.nearest(spark.createDataFrame(vectors[:3], "vec_id long, embedding array<float>, c int")).collect()) == 2
 
 
+def test_nearest_in_a_cluster_denser_than_codes_resolve(spark):
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(10_000, 16))
+    hot = rng.permutation(10_000)[:3300]
+    x[hot] = x[hot[0]] + 1e-3 * rng.normal(size=(len(hot), 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(1)
+    found = {}
+    for r in sorted(ann.nearest(rows, every=200).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(found) == set(range(0, 10_000, 200)) and {*found} & {*hot.tolist()}
+    for q, near in found.items():
+        s = np.sqrt(((x - x[q]) ** 2).sum(1))
+        s[q] = np.inf
+        assert near == np.lexsort((np.arange(len(s)), s))[:10].tolist()
+
+
 def test_toxicity_learns_and_keeps_to_its_fold(spark):
     rng = random.Random(9)
     plain = [f"w{i}" for i in range(300)]
