@@ -282,6 +282,30 @@ def test_repeats_equal_brute_force(spark, seed):
     assert repeats.without_repeats(frame(spark, [])).count() == 0
 
 
+def test_repeats_of_a_hash_with_many_contexts_are_dealt_out(spark, monkeypatch):
+    rng = random.Random(5)
+    para = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    line, shared = para(190), [para(rng.randint(5, 60)) for _ in range(6)]
+    texts = [para(150) + rng.choice(shared) + line[: rng.choice([120, 185, 190])] + rng.choice(shared) + para(150) for _ in range(60)]
+    texts += ["a" * 500, "ab" * 300, line * 3, "é" * 150, texts[0], None]
+    groups, covered = [], repeats.covered
+
+    def seen(contexts, length):
+        groups.append(contexts.groupBy("h").count().agg({"count": "max"}).first()[0] or 0)
+        return covered(contexts, length)
+
+    monkeypatch.setattr(repeats, "covered", seen)
+    monkeypatch.setattr(repeats, "SORTED_ROWS", 10)
+    got = rows(repeats.without_repeats(frame(spark, texts)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute_repeats(texts)
+    assert max(groups) <= 10
+    # and every hash so, on other texts
+    monkeypatch.setattr(repeats, "SORTED_ROWS", 0)
+    texts = texts[:30] + ["\0" * 450, texts[3] * 2, "q" * 199]
+    got = rows(repeats.without_repeats(frame(spark, texts)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute_repeats(texts)
+
+
 def test_pipeline_stages_return_the_columns_of_documents(spark):
     import corpus_pipeline
 
