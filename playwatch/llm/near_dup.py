@@ -179,6 +179,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     null class_id. Repeated rows pass through, a row each, and count in class_size. An empty table gives no rows. Other
     columns are not read.
     """
+    classes = classed(docs, threshold)
+    sums = classes.filter("worded").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    alone = classes.filter("NOT worded").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return classes.filter("worded").join(sums, "label").select("doc_id", "class_id", "class_size").unionByName(alone)
+
+
+def classed(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, uid, worded and label (a uid that stands for the class) of every document; without words each is for itself."""
     rows = written(signed(docs), "signed")
     worded = rows.filter("bands IS NOT NULL")
     distinct = written(worded.groupBy("uid").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "distinct")
@@ -203,19 +211,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     links = written(links.unionByName(rest_links(rest, threshold)), "links")
     labels = components(links).withColumnRenamed("uid", "its")
     classes = rows.select("doc_id", "uid", F.col("bands").isNotNull().alias("worded")).join(labels, F.col("uid") == F.col("its"), "left")
-    classes = classes.select("doc_id", "worded", F.coalesce("label", "uid").alias("label"))
-    sums = classes.filter("worded").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    alone = classes.filter("NOT worded").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return classes.filter("worded").join(sums, "label").select("doc_id", "class_id", "class_size").unionByName(alone)
+    return classes.select("doc_id", "uid", "worded", F.coalesce("label", "uid").alias("label"))
 
 
 def first_of_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their class, with all their columns; equal rows of that id once.
+    """One row of each class, that of the smallest doc_id (null last) and then text key, with all its columns.
 
-    Rows with a null doc_id stay if no other row of their class has an id, one for each text.
+    A text without words is a class with each doc_id that it has; of rows of like doc_id and text one stays.
     """
-    classes = near_duplicates(docs, threshold).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("class_id").alias("__classes"))
-    own = docs.withColumn("__text", text_key(F.col("text")))
-    kept = own.join(classes, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")))
-    first = F.array_contains("__classes", F.col("__doc")) | (F.col("__doc").isNull() & (F.size("__classes") == 0))
-    return kept.filter(first).dropDuplicates(["__doc", "__text"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    classes = classed(docs, threshold)
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
+    firsts = classes.filter("worded").groupBy("label").agg(F.min_by(F.struct("doc_id", "uid"), place).alias("f")).select("f.doc_id", "f.uid")
+    firsts = firsts.unionByName(classes.filter("NOT worded").select("doc_id", "uid").distinct())
+    firsts = firsts.select(F.col("doc_id").alias("__doc"), F.col("uid").alias("__uid"))
+    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", text_key(F.col("text")))
+    kept = own.join(firsts, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__uid")), "left_semi")
+    return kept.dropDuplicates(["__id", "__text"]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -306,6 +306,22 @@ def test_repeats_of_a_hash_with_many_contexts_are_dealt_out(spark, monkeypatch):
     assert got == brute_repeats(texts)
 
 
+def test_first_of_classes_tells_rows_of_no_or_one_id_apart(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = ([f"{x}{rng.randrange(10**6)}" for _ in range(60)] for x in "abcde")
+    text = lambda words, *more: " ".join([*words, *more])
+    docs = [
+        (1, text(a)), (None, text(a, "x")), (None, text(a)),  # null ids in a class that has an id
+        (None, text(b)), (None, text(b)), (None, text(b, "y")), (None, text(c)),  # classes of null ids only
+        (7, text(d)), (7, text(d, "z")), (7, text(e)), (7, text(e)),  # an id with texts of one class and of another
+        (None, None), (None, ""), (None, " "), (8, ""), (9, "\t"),
+    ]
+    got = near_dup.first_of_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    kept = Counter((r.doc_id, (r.text or "")[:1].strip()) for r in got)
+    # no words: null and empty texts of no id are one, a blank is another text
+    assert kept == Counter({(1, "a"): 1, (None, "b"): 1, (None, "c"): 1, (7, "d"): 1, (7, "e"): 1, (None, ""): 2, (8, ""): 1, (9, ""): 1})
+
+
 def test_pipeline_stages_return_the_columns_of_documents(spark):
     import corpus_pipeline
 
