@@ -54,13 +54,13 @@ def mixed(
     seed: int = 7,
     source: str = "source",
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words the mix takes, repeats counted) of every document.
+    """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted) and whole of every document.
 
     Sources in ascending code-point order (null last, a source of its own) take ``weights`` in turn; all targets together are
     ``of_total`` of all words unless caps forbid. Size is the number of words, 0 for a null or empty text. A document is taken
     whole: floor(target / source_size) times, and once more if the middle of its words, in the order of its source's draws,
     lies within the rest. So a source misses its target by half a document at most. Draws are MD5 of seed and doc_id; rows of
-    one doc_id (or none) share a draw and stand in order of size, so reruns agree. A source without words has target 0.
+    one doc_id (or none) share a draw and stand in order of size, so reruns agree. A source without words has target 0. whole is how often the source is taken whole.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col(source).cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     rows = written(rows.select("*", seeded(seed)).withColumn("bin", F.substring("draw", 1, BIN_DIGITS)), "sizes")
@@ -87,7 +87,7 @@ def mixed(
     placed = rows.join(bins, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
     # only the bin in which the rest ends is ordered row by row
     cut = (F.col("before") < F.col("rest")) & (F.col("after") > F.col("rest"))
-    out = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    out = ["doc_id", "source", "size", "source_size", "target", "taken", "whole"]
     plain = placed.filter(~cut).withColumn("taken", F.col("size") * (F.col("whole") + (F.col("after") <= F.col("rest")).cast("long")))
     inner = Window.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)) + F.col("size") / 2
@@ -103,7 +103,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     picks = mixed(docs, **options).select(
         F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__size"),
-        F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int").alias("__times"),
+        F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.col("whole")).cast("int").alias("__times"),
     )
     picks = picks.groupBy("__doc", "__source", "__size").agg(F.max("__times").alias("__times"))
     source = options.get("source", "source")

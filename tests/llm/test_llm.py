@@ -129,6 +129,15 @@ def test_mixing(spark):
     assert mixing.mixed(frame(spark, [])).count() == 0
 
 
+def test_mixing_takes_documents_without_words_as_often_as_their_source_whole(spark):
+    texts = [["w " * 30, "w w", None, "", " \n"][i % 5] for i in range(200)]
+    df = frame(spark, texts, source=lambda i: [None, "a", "b", "c"][min(3, i % 11)])
+    copies = Counter(r.doc_id for r in mixing.mixed_documents(df).collect())
+    got = mixing.mixed(df).collect()
+    assert all(copies[r.doc_id] == (r.taken // r.size if r.size else r.target // r.source_size) for r in got)
+    assert any(copies[r.doc_id] for r in got if not r.size)
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(5)
     off = []
