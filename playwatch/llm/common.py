@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,12 +20,22 @@ SLICE = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
+    """The folder that driver and executors share, spark.checkpoint.dir of the session.
+
+    Only a local session, whose executor is the driver, may go without: it gets a folder of its own. On a cluster such a folder
+    would lie on one machine's disk, so there a missing setting is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="playwatch-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own_dir()
+
+
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="playwatch-")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -58,27 +69,16 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def partition_offsets(parts: DataFrame, part: str, amount: str) -> Column:
-    """Sum of ``amount`` over all partitions before a row's own, as a column.
-
-    ``parts`` has one row for each partition of a range-partitioned table, so what comes to the driver grows with the
-    number of partitions (thousands), never with rows.
-    """
-    before, total = [], 0
-    for row in sorted(parts.select(part, amount).collect()):
-        before += [F.lit(row[0]), F.lit(total)]
-        total += row[1] or 0
-    return F.create_map(*before)[F.col(part)] if before else F.lit(0)
-
-
 def ranked(keys: DataFrame, key: str, rank: str) -> DataFrame:
     """``keys`` with a dense row number from 0 in ascending order of ``key`` (null last), without a single sorting task.
 
-    Range partitions number their own rows; the rows of earlier partitions come from partition_offsets.
+    Range partitions number their own rows; how many rows the partitions before hold comes from a table of a row for each.
     """
     order = F.col(key).asc_nulls_last()
     dealt = keys.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
     dealt = written(dealt, "ranked")
-    offsets = partition_offsets(dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")), "__part", "__n")
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return dealt.withColumn(rank, (own - 1 + offsets).cast("long")).drop("__part")
+    out = dealt.withColumn("__own", own).join(sizes.select("__part", before.alias("__before")), "__part")
+    return out.withColumn(rank, (F.col("__own") - 1 + F.col("__before")).cast("long")).select(*(F.col(f"`{c}`") for c in keys.columns), rank)

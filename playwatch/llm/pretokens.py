@@ -1,7 +1,8 @@
-"""Splitting text into pre-tokens of the byte-level vocabulary, and per-worker tables of what each becomes.
+"""Splitting text into pre-tokens of the byte-level vocabulary, and tables of what each becomes, one for a worker process.
 
-Texts whose characters all lie below U+0250 take a short pattern with explicit letter and number ranges; others, and texts
-that hold the string of a special token, go to the library whole. Both give the library's ids.
+Strings of special tokens are cut out first. A piece whose characters all lie below U+0250 takes a short pattern with explicit
+letter and number ranges; other pieces are split by the library's pre-tokenizer, whose Unicode tables they need. Either way each
+pre-token is looked up, and only one that the table lacks is encoded, so ids are the library's.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import re
 from collections.abc import Callable
 
 # Letters, numbers and white space below U+0250 by Unicode general category and White_Space.
-LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc\xbd\xbe"
 SPACES = "\t-\r \x85\xa0"
 
@@ -19,7 +20,7 @@ SPACES = "\t-\r \x85\xa0"
 SPLIT = re.compile(
     rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
-BEYOND = re.compile("[^\x00-\u024f]")
+BEYOND = re.compile("[^\x00-ɏ]")
 
 
 def byte_characters() -> list[str]:
@@ -37,34 +38,81 @@ def shown(word: str) -> str:
     return word.encode("utf-8").decode("latin-1").translate(SHOWN)
 
 
-class PretokenTable(dict):
-    """Pre-token -> ``value(ids)``, filled on a miss by the library's model; at most ``limit`` entries between texts.
+def library(path: str):
+    """The tokenizers library's tokenizer of a vocabulary file, without truncation and padding."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    ``first`` seeds the table and stays in it when the rest is dropped.
-    """
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    return found
 
-    def __init__(self, path: str, value: Callable[[list[int]], object], first: dict | None = None, limit: int = 400_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        super().__init__(first or {})
-        self.first, self.value, self.limit = first or {}, value, limit
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.model = self.library.model
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+class TwoAges(dict):
+    """A table filled on a miss by ``make(key)``. Once it holds ``limit`` entries they become the old age; what is used again comes
+    back from there, the rest goes when the next age ends. So frequent entries stay, and 2 * ``limit`` are held at most."""
 
-    def __missing__(self, word: str) -> object:
-        self[word] = found = self.value([t.id for t in self.model.tokenize(shown(word))])
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def make(self, key: str) -> object:
+        raise NotImplementedError
+
+    def __missing__(self, key: str) -> object:
+        found = self.old.get(key)
+        self[key] = found = self.make(key) if found is None else found
         return found
 
-    def values_of(self, text: str) -> list:
-        """The values of a text's pre-tokens in order."""
+    def turn(self) -> None:
+        """To be called between texts."""
         if len(self) > self.limit:
+            self.old = dict(self)
             self.clear()
-            self.update(self.first)
-        if BEYOND.search(text) or self.special.search(text):
-            return [self.value(self.library.encode(text, add_special_tokens=False).ids)]
-        return list(map(self.__getitem__, SPLIT.findall(text)))
+
+
+class PretokenTable(TwoAges):
+    """Pre-token -> ``value(ids)``; ``first`` holds values that stay."""
+
+    def __init__(self, path: str, value: Callable[[list[int]], object], limit: int = 400_000, first: dict | None = None):
+        super().__init__(limit)
+        self.first, self.value = first or {}, value
+        self.library = library(path)
+        self.model, self.splitter = self.library.model, self.library.pre_tokenizer
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special = {s: value([i]) for s, i in special.items()}
+        self.at_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else re.compile("((?!))")
+
+    def make(self, word: str) -> object:
+        found = self.first.get(word)
+        return self.value([t.id for t in self.model.tokenize(shown(word))]) if found is None else found
+
+    def words(self, piece: str) -> list[str]:
+        """The pre-tokens of a text without special strings."""
+        if BEYOND.search(piece):
+            return [piece[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(piece)]
+        return SPLIT.findall(piece)
+
+    def values_of(self, text: str) -> list:
+        """The values of a text's pre-tokens in order."""
+        self.turn()
+        if not self.at_special.search(text):
+            return list(map(self.__getitem__, self.words(text)))
+        out = []
+        for k, piece in enumerate(self.at_special.split(text)):
+            out += [self.special[piece]] if k % 2 else map(self.__getitem__, self.words(piece))
+        return out
+
+
+_TABLES: dict = {}
+
+
+def worker_table(kind: Callable, *key: object, **more: object) -> object:
+    """``kind(*key, **more)``, made once for each Python worker process and kept for its later tasks; ``key`` tells tables apart."""
+    name = (kind, *key)
+    if name not in _TABLES:
+        # a worker serves one operator at a time: what others left behind would only take memory
+        _TABLES.clear()
+        _TABLES[name] = kind(*key, **more)
+    return _TABLES[name]

@@ -1,13 +1,15 @@
 """Token counts by a map-side lookup in two tiers; no pre-token is ever shuffled.
 
-Tier one is a compact table of frequent pre-tokens and their lengths in tokens, made once on the driver and broadcast: the
-vocabulary's own entries, which its training ranked by frequency, as one joined string and one byte for each length. Its
-size is bounded by the vocabulary. Tier two is a bounded cache in each Python worker: a pre-token that tier one lacks is
-encoded by the library at its first sight there. Results do not depend on what either tier holds.
+Tier one is a compact hash table of frequent pre-tokens and their lengths in tokens: pre-tokens are counted in a bounded sample of
+whole documents, the most frequent are encoded once on the driver and broadcast as one joined string and one number for each. Tier
+two is a cache in each Python worker, kept from task to task: a pre-token that tier one lacks is encoded by the library at its first
+sight there. Counts do not depend on what either tier holds, so neither the sample nor the tables' bounds change a result.
 """
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,37 +18,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playwatch.llm.common import slices, texts
-from playwatch.llm.pretokens import SHOWN, SPLIT, PretokenTable
+from playwatch.llm.pretokens import PretokenTable, worker_table
 
 
-def frequent_lengths(path: str) -> tuple[str, bytes]:
-    """The pre-tokens among the vocabulary's entries, joined by U+0000, and the tokens of each as one byte."""
+def frequent_lengths(docs: DataFrame, path: str, sample_docs: int, entries: int) -> tuple[str, bytes]:
+    """The ``entries`` most frequent pre-tokens of ``sample_docs`` documents, joined by U+0000, and the tokens of each as uint32.
+
+    The documents are those first in an order by hash of doc_id, so the choice does not depend on how files lie. A task passes on
+    the counts of its part of the sample.
+    """
+    mark = F.xxhash64("doc_id")
+    first = docs.select(mark.alias("mark"), F.col("doc_id").cast("string").alias("id"), "text").orderBy("mark", "id").limit(sample_docs)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = worker_table(PretokenTable, path, len)
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in texts(batch["text"]):
+                for k, piece in enumerate(table.at_special.split(text)):
+                    if k % 2 == 0:
+                        seen.update(table.words(piece))
+        top = seen.most_common(entries)
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
+
+    sums = first.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # at most ``entries`` rows
+    words = [r[0] for r in sums.filter(~F.col("word").contains("\0")).orderBy(F.desc("n"), "word").limit(entries).select("word").collect()]
     table = PretokenTable(path, len)
-    byte_of = {c: b for b, c in SHOWN.items()}
-    words = []
-    for entry in table.library.get_vocab(with_added_tokens=False):
-        try:
-            word = bytes(byte_of[c] for c in entry).decode("utf-8")
-        except (KeyError, UnicodeDecodeError):
-            continue
-        if "\0" not in word and SPLIT.findall(word) == [word] and not table.special.search(word):
-            words.append(word)
-    lengths = [table[w] for w in words]
-    kept = [(w, n) for w, n in zip(words, lengths, strict=True) if n < 256]
-    return "\0".join(w for w, _ in kept), bytes(n for _, n in kept)
-
-
-def token_counts(docs: DataFrame, path: str, limit: int = 512, cache: int = 400_000) -> DataFrame:
+    return "\0".join(words), array("I", [table[w] for w in words]).tobytes()
+
+
+def table_of(path: str, words: str, lengths: bytes, limit: int) -> PretokenTable:
+    own = array("I")
+    own.frombytes(lengths)
+    return PretokenTable(path, len, limit, dict(zip(words.split("\0"), own, strict=True)) if own else {})
+
+
+def token_counts(docs: DataFrame, path: str, limit: int = 512, cache: int = 400_000, sample_docs: int = 2_000, entries: int = 50_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every document.
 
-    Null and empty texts count 0 bytes and 0 tokens. A null doc_id and repeated rows pass through, a row each. Columns other
-    than doc_id and text are not read. ``path`` is the vocabulary's file on every machine; ``cache`` bounds a worker's entries.
+    Null and empty texts count 0 bytes and 0 tokens; a very long text is counted whole, in one task. A null doc_id and repeated
+    rows pass through, a row each. An empty table gives no rows. Columns other than doc_id and text are not read. ``path`` is the
+    vocabulary's file on every machine; ``cache`` bounds a worker's table, ``sample_docs`` and ``entries`` tier one.
     """
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(path))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, sample_docs, entries))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, lengths = frequent.value
-        table = PretokenTable(path, len, dict(zip(words.split("\0"), lengths, strict=True)), cache)
+        table = worker_table(table_of, path, *frequent.value, cache)
         for batch in batches:
             sums = [sum(table.values_of(t)) for part in slices(batch) for t in texts(part["text"])]
             size = pc.fill_null(pc.cast(pc.binary_length(batch["text"]), pa.int64()), 0)

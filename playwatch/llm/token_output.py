@@ -10,6 +10,8 @@ The format is a table of blocks. A block holds the documents of a stretch of the
 Ranks number the ids by falling frequency in the corpus, so that frequent ids take one byte; the rank table (an entry for
 each id of the vocabulary, so of bounded size) is stored beside the blocks. Decoding looks four lengths up for each control
 byte in a table of 256 rows and gathers all bytes with numpy, without a loop over ids.
+
+Texts are encoded where they lie and written as plain ids, which are counted for the ranks and then range-partitioned by doc_id.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from playwatch.llm.common import partition_offsets, slices, texts, written
-from playwatch.llm.pretokens import PretokenTable
+from playwatch.llm.common import slices, texts, written
+from playwatch.llm.pretokens import PretokenTable, library, worker_table
 
 MAGIC = int.from_bytes(b"PWT1", "little")
 #: Bytes of each of the four ids of a control byte.
@@ -69,106 +72,99 @@ def read_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths, unpack(control, np.frombuffer(block, np.uint8, n_data, at + len(control)), n_ids)
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, block_ids: int = BLOCK_IDS, cache: int = 300_000) -> DataFrame:
-    """Blocks of plain ids in ascending doc_id order: part (the range partition), block, start (ids before it in the part), ..."""
-    names = "part int, block long, start long, doc_ids array<long>, lengths binary, ids binary"
+def ids_of_two_bytes(ids: list[int]) -> bytes:
+    return array("H", ids).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PretokenTable(path, lambda ids: array("I", ids).tobytes(), limit=cache)
-        end = array("I", [end_id]).tobytes()
-        small = max(end_id, table.library.get_vocab_size() - 1) <= 0xFFFF
-        doc_ids: list = []
-        done: list[bytes] = []
-        state = {"part": 0, "block": 0, "start": 0, "held": 0}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not doc_ids:
-                return
-            ids = np.frombuffer(b"".join(done), "<u4")
-            lengths = np.array([len(x) // 4 for x in done], "<u4").tobytes()
-            row = [state["part"], state["block"], state["start"], list(doc_ids), lengths, ids.astype("<u2").tobytes() if small else ids.tobytes()]
-            state.update(block=state["block"] + 1, start=state["start"] + len(ids), held=0)
-            doc_ids.clear()
-            done.clear()
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-            arrays = [pa.array([v], k) for v, k in zip(row, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in names.split(", ")])
 
-        for batch in batches:
-            for part in slices(batch):
-                for at, doc, text in zip(part["part"].to_pylist(), part["doc_id"].to_pylist(), texts(part["text"]), strict=True):
-                    state["part"] = at
-                    ids = b"".join(table.values_of(text)) + end
-                    doc_ids.append(doc)
-                    done.append(ids)
-                    state["held"] += len(ids) // 4
-                    if state["held"] >= block_ids:
-                        yield from flush()
-        yield from flush()
+def ids_of_four_bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
-    first = F.col("doc_id").asc_nulls_last()
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(first)
-    dealt = dealt.sortWithinPartitions(first, F.col("text").asc_nulls_last()).withColumn("part", F.spark_partition_id())
-    return written(dealt.select("part", "doc_id", "text").mapInArrow(run, names), "encoded")
 
+def encoded(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, str]:
+    """doc_id, ids (with the end id) and h (a hash of them) of every document where its text lies, and numpy's type of ids.
 
-def plain_ids(row_lengths: pa.Scalar, row_ids: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and ids of a row of ``encoded``, whose ids take two or four bytes each."""
-    lengths, raw = np.frombuffer(row_lengths.as_buffer(), "<u4"), row_ids.as_buffer()
-    return lengths, np.frombuffer(raw, "<u2" if raw.size == 2 * int(lengths.sum()) else "<u4")
+    Only ids, of two bytes where the vocabulary allows, go on from here; texts are never shuffled.
+    """
+    most = max(end_id, library(path).get_vocab_size() - 1)
+    kind, value = ("<u2", ids_of_two_bytes) if most <= 0xFFFF else ("<u4", ids_of_four_bytes)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = worker_table(PretokenTable, path, value)
+        end = value([end_id])
+        for batch in batches:
+            for part in slices(batch):
+                ids = [b"".join(table.values_of(t)) + end for t in texts(part["text"])]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return written(rows.withColumn("h", F.xxhash64("ids")), "encoded"), kind
 
-def id_frequencies(blocks: DataFrame) -> DataFrame:
-    """id, n over all rows of ``encoded``: a count for each id and task is shuffled, never ids."""
+
+def id_frequencies(rows: DataFrame, kind: str) -> DataFrame:
+    """id, n over the ids of all rows: a count for each id and task is shuffled, never ids."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for pair in zip(batch["lengths"], batch["ids"], strict=True):
-                got = np.bincount(plain_ids(*pair)[1])
+            for part in slices(batch):
+                got = np.bincount(np.frombuffer(b"".join(part["ids"].to_pylist()), kind))
                 total = np.pad(total, (0, max(0, len(got) - len(total))))
                 total[: len(got)] += got
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    return blocks.select("lengths", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int, out: str, block_ids: int = BLOCK_IDS) -> None:
-    """Encodes every whole text, appends end_id, and writes ``out``/blocks and ``out``/ranks.
+    """Encodes every whole text, appends end_id, and writes ``out``/blocks, ``out``/parts and ``out``/ranks.
 
-    Documents stand in ascending doc_id order (null last; repeated ids by text): blocks are numbered within range partitions,
-    and each says how many ids stand before it. A null or empty text is its end id alone. An empty table gives empty files.
-    Columns other than doc_id and text are not read.
+    Documents stand in ascending doc_id order (null last; rows of one doc_id, or of none, by a hash of their ids): blocks are
+    numbered within range partitions and say how many ids of the partition stand before them, ``parts`` how many before it. A null
+    or empty text is its end id alone. A very long text is encoded whole, and is a block of its own once it passes ``block_ids``
+    ids; its ids are held at once. An empty table gives empty files. Columns other than doc_id and text are not read.
     """
-    rows = encoded(docs, path, end_id, block_ids)
+    rows, kind = encoded(docs, path, end_id)
     spark = docs.sparkSession
     # one row for each id of the vocabulary
-    ids = [r[0] for r in id_frequencies(rows).orderBy(F.desc("n"), "id").select("id").collect()]
+    ids = [r[0] for r in id_frequencies(rows, kind).orderBy(F.desc("n"), "id").select("id").collect()]
     spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "id long, rank long").coalesce(1).write.parquet(f"{out}/ranks")
     rank_of = np.zeros(max(ids, default=0) + 1, np.uint32)
     rank_of[ids] = np.arange(len(ids), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)
-    sizes = rows.select("part", "lengths").mapInArrow(part_sizes, "part int, n long").groupBy("part").agg(F.sum("n").alias("n"))
-    offsets = partition_offsets(sizes, "part", "n")
+    columns = "part int, block long, start long, n_ids long, doc_ids array<long>, data binary"
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, pair in enumerate(zip(batch["lengths"], batch["ids"], strict=True)):
-                lengths, plain = plain_ids(*pair)
-                one = batch.slice(k, 1)
-                data = pa.array([block_bytes(lengths, shared.value[plain])], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(one[c] for c in ("part", "block", "start", "doc_ids")), data], ["part", "block", "start", "doc_ids", "data"])
+        doc_ids, held, size, block, start = [], [], 0, 0, 0
+        at = None
 
-    made = rows.mapInArrow(blocks, "part int, block long, start long, doc_ids array<long>, data binary")
-    made.withColumn("start", F.col("start") + offsets).write.option("compression", "zstd").parquet(f"{out}/blocks")
+        def full() -> pa.RecordBatch:
+            lengths = np.array([len(x) for x in held])
+            row = [at, block, start, size, doc_ids, block_bytes(lengths, shared.value[np.concatenate(held)])]
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in columns.split(", ")])
 
+        for batch in batches:
+            for own, doc, raw in zip(batch["part"].to_pylist(), batch["doc_id"].to_pylist(), batch["ids"], strict=True):
+                at = own
+                doc_ids.append(doc)
+                # a copy, as a view would keep its whole batch
+                held.append(np.frombuffer(raw.as_buffer(), kind).copy())
+                size += len(held[-1])
+                if size >= block_ids:
+                    yield full()
+                    doc_ids, held, size, block, start = [], [], 0, block + 1, start + size
+        if held:
+            yield full()
 
-def part_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids of each block, by part."""
-    for batch in batches:
-        n = [int(np.frombuffer(x.as_buffer(), "<u4").sum()) for x in batch["lengths"]]
-        yield pa.RecordBatch.from_arrays([batch["part"], pa.array(n, pa.int64())], ["part", "n"])
+    first = F.col("doc_id").asc_nulls_last()
+    # the bounds of the ranges are sampled from doc_id and h alone
+    dealt = rows.repartitionByRange(first, "h").sortWithinPartitions(first, "h", "ids").withColumn("part", F.spark_partition_id())
+    dealt.select("part", "doc_id", "ids").mapInArrow(blocks, columns).write.option("compression", "zstd").parquet(f"{out}/blocks")
+    # a row for each range partition
+    sizes = spark.read.parquet(f"{out}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes.select("part", F.coalesce(before, F.lit(0)).alias("before")).write.parquet(f"{out}/parts")
 
 
 def read_tokens(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame:
@@ -200,4 +196,5 @@ def read_tokens(spark: SparkSession, out: str, with_ids: bool = False) -> DataFr
                     columns.append(pa.array([all_ids[a:b].astype(np.int32) for a, b in cuts], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in kinds.split(", ")])
 
-    return spark.read.parquet(f"{out}/blocks").select("start", "doc_ids", "data").mapInArrow(run, kinds)
+    rows = spark.read.parquet(f"{out}/blocks").join(spark.read.parquet(f"{out}/parts"), "part")
+    return rows.select((F.col("start") + F.col("before")).alias("start"), "doc_ids", "data").mapInArrow(run, kinds)

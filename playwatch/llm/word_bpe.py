@@ -11,32 +11,34 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playwatch.llm.common import slices, texts
-from playwatch.llm.pretokens import BEYOND, LETTERS, NUMBERS, SPACES, shown
+from playwatch.llm.pretokens import BEYOND, LETTERS, NUMBERS, SPACES, TwoAges, library, shown, worker_table
 
 LONG = 256
 NEVER = 1 << 60
 
-# Unicode White_Space, and the vocabulary's splitting pattern.
-ALL_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CLITICS = "'s|'t|'re|'ve|'m|'ll|'d"
-SPLIT_LATIN = re.compile(rf"{CLITICS}|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
-SPLIT_ANY = regex.compile(rf"{CLITICS}|\p{{L}}+|\p{{N}}|[^{ALL_SPACES}\p{{L}}\p{{N}}]+")
+# Fixed value: the vocabulary's splitting pattern, for characters below U+0250.
+SPLIT_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 
-class WordCodec:
-    """Encoder and decoder for one vocabulary file; ``limit`` bounds the words that it remembers between texts."""
+class WordCodec(TwoAges):
+    """Encoder and decoder for one vocabulary file: a table from words, in the vocabulary's spelling of bytes, to their ids.
+
+    Texts of characters below U+0250 are lower-cased and split here; of others the library normalises and splits each piece, whose
+    Unicode tables they need. Words are encoded by the rank array either way.
+    """
 
     def __init__(self, path: str, limit: int = 300_000):
+        super().__init__(limit)
+        tables = library(path)
+        self.normalizer, self.splitter = tables.normalizer, tables.pre_tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -48,7 +50,8 @@ class WordCodec:
         self.at_added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         names = {i: t for t, i in (self.ids | added).items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
-        self.limit, self.known = limit, {}
+        #: spelling of words that stand in texts as they are
+        self.spelled: dict[str, str] = {}
 
     def rank(self, word: str, bounds: list[int], i: int) -> int:
         """Rank of the pair of parts i and i + 1; NEVER if no merge joins them or part i is the last."""
@@ -103,30 +106,31 @@ class WordCodec:
             left.append(bounds[i])
         return left
 
+    def make(self, word: str) -> tuple[int, ...]:
+        return self.parts(word)
+
     def words(self, piece: str) -> list[str]:
-        """Normalised words of a text without special strings: composed, lower-cased by character, split."""
+        """Spelled words of a text without special strings."""
         if not BEYOND.search(piece):  # below U+0300 every text is composed already
-            piece = piece.lower()
-            if not BEYOND.search(piece):
-                return SPLIT_LATIN.findall(piece)
-            return SPLIT_ANY.findall(piece)
-        # a capital sigma becomes the plain small one wherever it stands, as case is mapped character by character
-        return SPLIT_ANY.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
+            low = piece.lower()
+            if not BEYOND.search(low):
+                spelled, words = self.spelled, SPLIT_LATIN.findall(low)
+                for w in set(words).difference(spelled):
+                    spelled[w] = shown(w)
+                return list(map(spelled.__getitem__, words))
+        return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(piece))]
 
     def encode(self, text: str) -> list[int]:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
+        self.turn()
+        if len(self.spelled) > self.limit:
+            self.spelled.clear()
         pieces = self.at_added.split(text) if self.at_added else [text]
         out: list[int] = []
         for k, piece in enumerate(pieces):
             if k % 2:
                 out.append(self.added[piece])
-                continue
-            words = self.words(piece)
-            for w in set(words).difference(known):
-                known[w] = self.parts(shown(w))
-            out.extend(chain.from_iterable(map(known.__getitem__, words)))
+            else:
+                out.extend(chain.from_iterable(map(self.__getitem__, self.words(piece))))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -138,13 +142,14 @@ def word_bpe(docs: DataFrame, path: str, digests: bool = True) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
     Returns doc_id, n_tokens and, with ``digests``, the SHA-256 of the ids and of the decoded text; without, ``ids`` and
-    ``decoded`` themselves. Null and empty texts have no ids and decode to the empty text; a null doc_id and repeated rows
-    pass through, a row each. Other columns are not read. ``path`` is the vocabulary's file on every machine.
+    ``decoded`` themselves. Null and empty texts have no ids and decode to the empty text; a very long text is encoded whole, and a
+    very long word by a heap. A null doc_id and repeated rows pass through, a row each. An empty table gives no rows. Other columns
+    are not read. ``path`` is the vocabulary's file on every machine.
     """
     kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = WordCodec(path)
+        codec = worker_table(WordCodec, path)
         numbers = [str(i) for i in range(len(codec.names))]
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for batch in batches:
