@@ -1,7 +1,7 @@
 """Token counts by a map-side lookup in two tiers; no pre-token is ever shuffled.
 
 Tier one is a compact hash table of frequent pre-tokens and their lengths in tokens: pre-tokens are counted in a bounded sample of
-whole documents, the most frequent are encoded once on the driver and broadcast as one joined string and one number for each. Tier
+whole documents of some partitions, the most frequent are encoded once on the driver and broadcast as one joined string and one number for each. Tier
 two is a cache in each Python worker, kept from task to task: a pre-token that tier one lacks is encoded by the library at its first
 sight there. Counts do not depend on what either tier holds, so neither the sample nor the tables' bounds change a result.
 """
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,27 +22,31 @@ from playwatch.llm.common import slices, texts
 from playwatch.llm.pretokens import PretokenTable, worker_table
 
 
-def frequent_lengths(docs: DataFrame, path: str, sample_docs: int, entries: int) -> tuple[str, bytes]:
-    """The ``entries`` most frequent pre-tokens of ``sample_docs`` documents, joined by U+0000, and the tokens of each as uint32.
+def frequent_lengths(docs: DataFrame, path: str, sample_tasks: int, task_docs: int, entries: int) -> tuple[str, bytes]:
+    """The most frequent pre-tokens of a sample, ``entries`` at most, joined by U+0000, and the tokens of each as uint32.
 
-    The documents are those first in an order by hash of doc_id, so the choice does not depend on how files lie. A task passes on
-    the counts of its part of the sample.
+    The sample is the first ``task_docs`` documents of each of ``sample_tasks`` partitions, evenly spaced; no other rows are read.
     """
-    mark = F.xxhash64("doc_id")
-    first = docs.select(mark.alias("mark"), F.col("doc_id").cast("string").alias("id"), "text").orderBy("mark", "id").limit(sample_docs)
+    own = docs.select("text")
+    stride = max(1, -(-own.rdd.getNumPartitions() // sample_tasks))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_table(PretokenTable, path, len)
         seen: Counter = Counter()
-        for batch in batches:
-            for text in texts(batch["text"]):
-                for k, piece in enumerate(table.at_special.split(text)):
-                    if k % 2 == 0:
-                        seen.update(table.words(piece))
+        if TaskContext.get().partitionId() % stride == 0:
+            table = worker_table(PretokenTable, path, len)
+            left = task_docs
+            for batch in batches:
+                for text in texts(batch["text"].slice(0, left)):
+                    for k, piece in enumerate(table.at_special.split(text)):
+                        if k % 2 == 0:
+                            seen.update(table.words(piece))
+                left -= batch.num_rows
+                if left <= 0:
+                    break
         top = seen.most_common(entries)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
-    sums = first.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = own.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # at most ``entries`` rows
     words = [r[0] for r in sums.filter(~F.col("word").contains("\0")).orderBy(F.desc("n"), "word").limit(entries).select("word").collect()]
     table = PretokenTable(path, len)
@@ -54,14 +59,15 @@ def table_of(path: str, words: str, lengths: bytes, limit: int) -> PretokenTable
     return PretokenTable(path, len, limit, dict(zip(words.split("\0"), own, strict=True)) if own else {})
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 512, cache: int = 400_000, sample_docs: int = 2_000, entries: int = 50_000) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 512, cache: int = 600_000, sample_tasks: int = 32, task_docs: int = 64, entries: int = 50_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every document.
 
     Null and empty texts count 0 bytes and 0 tokens; a very long text is counted whole, in one task. A null doc_id and repeated
     rows pass through, a row each. An empty table gives no rows. Columns other than doc_id and text are not read. ``path`` is the
-    vocabulary's file on every machine; ``cache`` bounds a worker's table, ``sample_docs`` and ``entries`` tier one.
+    vocabulary's file on every machine; ``cache`` bounds a worker's table, and ``sample_tasks``,
+    ``task_docs`` and ``entries`` bound tier one.
     """
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, sample_docs, entries))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, sample_tasks, task_docs, entries))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = worker_table(table_of, path, *frequent.value, cache)

@@ -25,17 +25,25 @@ LONG = 256
 NEVER = 1 << 60
 
 # Fixed value: the vocabulary's splitting pattern, for characters below U+0250.
-SPLIT_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+SPLIT_LATIN = re.compile(rf"[{LETTERS}]++|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]++")
+
+
+class Spelled(TwoAges):
+    """Words in the vocabulary's spelling of bytes -> ids."""
+
+    def __init__(self, codec: WordCodec, limit: int):
+        super().__init__(limit)
+        self.make = codec.parts
 
 
 class WordCodec(TwoAges):
-    """Encoder and decoder for one vocabulary file: a table from words, in the vocabulary's spelling of bytes, to their ids.
+    """Encoder and decoder for one vocabulary file: a table from words to their ids.
 
     Texts of characters below U+0250 are lower-cased and split here; of others the library normalises and splits each piece, whose
     Unicode tables they need. Words are encoded by the rank array either way.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         super().__init__(limit)
         tables = library(path)
         self.normalizer, self.splitter = tables.normalizer, tables.pre_tokenizer
@@ -50,14 +58,7 @@ class WordCodec(TwoAges):
         self.at_added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         names = {i: t for t, i in (self.ids | added).items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
-        #: spelling of words that stand in texts as they are
-        self.spelled: dict[str, str] = {}
-
-    def rank(self, word: str, bounds: list[int], i: int) -> int:
-        """Rank of the pair of parts i and i + 1; NEVER if no merge joins them or part i is the last."""
-        if i + 2 >= len(bounds):
-            return NEVER
-        return self.ranks.get((word[bounds[i] : bounds[i + 1]], word[bounds[i + 1] : bounds[i + 2]]), NEVER)
+        self.spelled = Spelled(self, limit)
 
     def parts(self, word: str) -> tuple[int, ...]:
         """Ids of one word, given in the vocabulary's spelling of bytes."""
@@ -66,14 +67,17 @@ class WordCodec(TwoAges):
         if len(word) > LONG:
             bounds = self.merge_long(spelled, bounds)
         else:
-            ranks = [self.rank(spelled, bounds, i) for i in range(len(bounds) - 1)]
+            rank = self.ranks.get
+            # of each part with the next; the last has none
+            ranks = [rank((spelled[a:b], spelled[b:c]), NEVER) for a, b, c in zip(bounds, bounds[1:], bounds[2:], strict=False)] + [NEVER]
             while (least := min(ranks)) != NEVER:
                 i = ranks.index(least)
                 del bounds[i + 1], ranks[i + 1]
-                ranks[i] = self.rank(spelled, bounds, i)
+                start, end = bounds[i], bounds[i + 1]
+                ranks[i] = rank((spelled[start:end], spelled[end : bounds[i + 2]]), NEVER) if i + 2 < len(bounds) else NEVER
                 if i:
-                    ranks[i - 1] = self.rank(spelled, bounds, i - 1)
-        return tuple(self.ids[spelled[a:b]] for a, b in zip(bounds, bounds[1:], strict=False))
+                    ranks[i - 1] = rank((spelled[bounds[i - 1] : start], spelled[start:end]), NEVER)
+        return tuple([self.ids[spelled[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)])
 
     def merge_long(self, spelled: str, bounds: list[int]) -> list[int]:
         """The same merges with a heap of (rank, position) and links between the boundaries that are left."""
@@ -107,30 +111,26 @@ class WordCodec(TwoAges):
         return left
 
     def make(self, word: str) -> tuple[int, ...]:
-        return self.parts(word)
+        return self.parts(shown(word))
 
-    def words(self, piece: str) -> list[str]:
-        """Spelled words of a text without special strings."""
+    def ids_of(self, piece: str) -> Iterator[tuple[int, ...]]:
+        """The ids of each word of a text without special strings."""
         if not BEYOND.search(piece):  # below U+0300 every text is composed already
             low = piece.lower()
             if not BEYOND.search(low):
-                spelled, words = self.spelled, SPLIT_LATIN.findall(low)
-                for w in set(words).difference(spelled):
-                    spelled[w] = shown(w)
-                return list(map(spelled.__getitem__, words))
-        return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(piece))]
+                return map(self.__getitem__, SPLIT_LATIN.findall(low))
+        return map(self.spelled.__getitem__, [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(piece))])
 
     def encode(self, text: str) -> list[int]:
         self.turn()
-        if len(self.spelled) > self.limit:
-            self.spelled.clear()
+        self.spelled.turn()
         pieces = self.at_added.split(text) if self.at_added else [text]
         out: list[int] = []
         for k, piece in enumerate(pieces):
             if k % 2:
                 out.append(self.added[piece])
             else:
-                out.extend(chain.from_iterable(map(self.__getitem__, self.words(piece))))
+                out.extend(chain.from_iterable(self.ids_of(piece)))
         return out
 
     def decode(self, ids: list[int]) -> str:
