@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from playwatch.llm.common import written
+
 SALTS = 32
 
 
@@ -27,19 +29,22 @@ def line_hashes(rows: DataFrame, least_chars: int) -> DataFrame:
     # a key is never longer than its line
     lines = lines.filter(F.length("line") >= least_chars).select("doc", "row", "pos", line_key(F.col("line")).alias("key"))
     lines = lines.filter(F.length("key") >= least_chars)
-    return lines.select(F.md5("key").alias("h"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"), "doc", "row", "pos")
+    return lines.select(F.unhex(F.md5("key")).alias("h"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"), "doc", "row", "pos")
 
 
 def dropped_lines(rows: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
     """doc, row, pos of the lines to drop."""
     order = ["h", "salt", F.desc("doc"), "row", "pos"]
-    stream = line_hashes(rows, least_chars).repartitionByRange("h", "salt").sortWithinPartitions(*order)
+    # written first, so that the bounds of the ranges are sampled from hashes and not from texts hashed once more
+    stream = written(line_hashes(rows, least_chars), "hashes").repartitionByRange("h", "salt").sortWithinPartitions(*order)
     run = Window.partitionBy("h", "salt").orderBy(F.desc("doc"))
     # dense_rank grows by one with each further document of the stream
     counted = stream.withColumn("nth", F.dense_rank().over(run))
     keys = counted.groupBy("h", "salt").agg(F.max("nth").alias("n"), F.max("doc").alias("last"))
-    keys = keys.groupBy("h").agg(F.sum("n").alias("n"), F.max("last").alias("last")).filter(F.col("n") >= least_docs)
-    return counted.join(keys.select("h", "last"), "h").filter(F.col("doc") < F.col("last")).select("doc", "row", "pos")
+    common = keys.groupBy("h").agg(F.sum("n").alias("n"), F.max("last").alias("last")).filter(F.col("n") >= least_docs)
+    # a verdict for each hash and salt, so that the lines of a very common key meet theirs in as many tasks as it has salts
+    verdicts = keys.select("h", "salt").join(common.select("h", F.col("last").alias("keeps")), "h")
+    return counted.join(verdicts, ["h", "salt"]).filter(F.col("doc") < F.col("keeps")).select("doc", "row", "pos")
 
 
 def keep_bitmaps(dropped: DataFrame) -> DataFrame:
@@ -88,8 +93,8 @@ def deduped_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -
 
     A line's key is the line without blanks at its ends and with A-Z lower-cased. Keys of ``least_chars`` code points found in
     ``least_docs`` documents lose all their lines but those of the largest doc_id that holds them. A null or empty text is one
-    empty line. Rows without a doc_id take no part and keep their lines; repeated rows of one doc_id count as one document
-    and are treated alike. Other columns are not read. An empty table gives no rows.
+    empty line; a very long text is split whole, as one array of one row. Rows without a doc_id take no part and keep their lines;
+    repeated rows of one doc_id count as one document and are treated alike. Other columns are not read. An empty table gives no rows.
     """
     joined = with_kept(docs.select("doc_id", "text"), least_chars, least_docs)
     n = F.size("lines").cast("long")
