@@ -7,6 +7,7 @@ its target covers it, and once more the documents first in a seeded order whose
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,8 +16,8 @@ from pyspark.sql.window import Window
 
 from playwatch.llm.common import ranked, word_count, written
 
-#: Leading hex digits of the seeded order that make a bin; a source's fractional repetition is cut within one bin.
-BIN_DIGITS = 3
+#: Documents that a bin of the seeded order is to hold about; a source's fractional repetition is cut within one bin.
+BIN_DOCS = 4096
 
 
 def water_filled(sources: DataFrame, total: float, max_epochs: float) -> DataFrame:
@@ -60,10 +61,15 @@ def mixed(
     ``of_total`` of all words unless caps forbid. Size is the number of words, 0 for a null or empty text. A document is taken
     whole: floor(target / source_size) times, and once more if the middle of its words, in the order of its source's draws,
     lies within the rest. So a source misses its target by half a document at most. Draws are MD5 of seed and doc_id; rows of
-    one doc_id (or none) share a draw and stand in order of size, so reruns agree. A source without words has target 0. whole is how often the source is taken whole.
+    one doc_id (or none) share a draw and stand in order of size, so reruns agree. A source without words has target 0. whole is how
+    often the source is taken whole. A very long text is one document like any other: it is taken whole or not. An empty table gives
+    no rows. Columns other than doc_id, text and the source are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col(source).cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    rows = written(rows.select("*", seeded(seed)).withColumn("bin", F.substring("draw", 1, BIN_DIGITS)), "sizes")
+    rows = written(rows.select("*", seeded(seed)), "sizes")
+    # leading hex digits of the draw that make a bin: more with more documents
+    digits = max(1, math.ceil(math.log(max(1, rows.count() / BIN_DOCS), 16)))
+    rows = rows.withColumn("bin", F.substring("draw", 1, digits))
     bins = written(rows.groupBy("source", "bin").agg(F.sum("size").alias("size")), "bins")
     sources = ranked(bins.groupBy("source").agg(F.sum("size").alias("size")), "source", "place")
     turn = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
@@ -78,7 +84,7 @@ def mixed(
         F.floor(times).alias("whole"),
         (F.col("target") - F.floor(times) * F.col("size")).alias("rest"),
     )
-    # a source has at most 16 ** BIN_DIGITS bins, so this window is bounded
+    # a row for each bin of a source: at most 16 for each BIN_DOCS documents
     order = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
     bins = bins.join(plan, F.col("source").eqNullSafe(F.col("its"))).select(
@@ -101,13 +107,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Documents without words are taken as often as their source whole. Repeated rows of one doc_id must have like sizes to be
     told apart; those that agree in doc_id, source and size are taken alike.
     """
-    picks = mixed(docs, **options).select(
-        F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__size"),
-        F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.col("whole")).cast("int").alias("__times"),
-    )
-    picks = picks.groupBy("__doc", "__source", "__size").agg(F.max("__times").alias("__times"))
     source = options.get("source", "source")
-    own = docs.withColumn("__n", word_count(F.col("text")))
-    same = own["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & own[source].cast("string").eqNullSafe(F.col("__source")) & (own["__n"] == F.col("__size"))
-    kept = own.join(picks.filter("__times > 0"), same)
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    plain = docs.select("doc_id", "text", F.col(f"`{source}`").alias("source"))
+    picks = mixed(plain, **{**options, "source": "source"}).select(
+        F.col("doc_id").alias("its_doc"), F.col("source").alias("its_source"), F.col("size").alias("its_size"),
+        F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.col("whole")).cast("int").alias("times"),
+    )
+    picks = picks.groupBy("its_doc", "its_source", "its_size").agg(F.max("times").alias("times")).filter("times > 0")
+    # rows travel as one struct, so their columns clash with none of these
+    own = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col("text")).alias("size")
+    )
+    same = F.col("doc").eqNullSafe(F.col("its_doc")) & F.col("source").eqNullSafe(F.col("its_source")) & (F.col("size") == F.col("its_size"))
+    return own.join(picks, same).select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
