@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 from playwatch.llm.common import written
 
 CENTRES = 16
+#: Bytes of lookup tables that a task holds at once.
+TABLE_BYTES = 64 << 20
 #: Inner products of at least this part of the norms' product are the ones that matter.
 SCORE_THRESHOLD = 0.2
 
@@ -190,11 +192,11 @@ def scanned(index: DataFrame, books: Codebooks, ids: np.ndarray, queries: np.nda
                 inner = tables[q][places, codes].sum(1)
                 guess = inner - half
                 guess[names == query] = -np.inf
-                if len(guess) <= rerank:
-                    measure(q, np.arange(len(guess)))
-                    continue
-                chosen = np.argpartition(-guess, rerank)[:rerank]
-                measure(q, chosen)
+                chosen = np.zeros(0, np.int64)
+                if len(best[q][0]) < k:
+                    # the task's first rows: the best guesses give a k-th distance, which holds for all its later rows
+                    chosen = np.argpartition(-guess, rerank)[:rerank] if len(guess) > rerank else np.arange(len(guess))
+                    measure(q, chosen)
                 # no row is nearer than its code's point less its own distance from that
                 reach = best[q][0][-1] if len(best[q][0]) >= k else np.inf
                 square = norms[q] + norm
@@ -215,10 +217,13 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = 200
 
     Nearness is Euclidean distance in double precision on the original vectors; ties go to the smaller vec_id. A query's own
     vec_id is no candidate. See ``usable`` for vectors that take no part. Repeated rows are candidates each. Where fewer than k
-    candidates exist, all are returned; an empty table gives no rows. Other columns are not read.
+    candidates exist, all are returned; an empty table gives no rows. Other columns are not read. Vectors of many dimensions make
+    smaller blocks of queries.
     """
     spark = vectors.sparkSession
     rows, dim = usable(vectors)
+    # a worker holds a block's lookup tables: 1 KiB for each query and four dimensions
+    block = max(1, min(block, TABLE_BYTES // (1024 * max(1, -(-dim // 4)))))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not dim:
         return empty
