@@ -29,10 +29,13 @@ from playwatch.llm.probminhash import WordHashes, mix, probability_jaccard, shin
 
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Members of a bucket that one task compares; larger buckets are dealt into tiles of about this size.
-TILE = 2048
-#: Registers' agreement may fall below the similarity by this much (four standard deviations at 0.8) before a pair is dropped.
-SLACK = 0.15
+#: Members of a bucket, and bytes of their shingles, that one task compares; larger buckets are dealt into tiles of about this size.
+TILE, TILE_BYTES = 2048, 32 << 20
+#: A pair whose registers agree less than the threshold by this much is not compared. Of 120 registers those that agree are binomial,
+#: so at a similarity of 0.8 this loses a pair in 10 ** 10.
+SLACK = 0.25
+#: Texts that meet one representative in one task.
+STAR = 10_000
 
 
 #: What separates words; str.split alone would split at further characters.
@@ -84,6 +87,9 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, uid binary, bands array<long>")
 
 
+LINK = "a binary, b binary, similarity double"
+
+
 def shingled(rows: DataFrame) -> DataFrame:
     """uid, registers, elements and weights (packed arrays) of rows (uid, text)."""
 
@@ -109,21 +115,29 @@ def unpacked(elements: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def star_links(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """a and b of the pairs (a, b) whose similarity reaches the threshold."""
+    """a, b and similarity of the pairs (a, b, size: of the largest bucket where they meet) whose similarity reaches the threshold.
+
+    A representative of many texts is dealt out: it is copied to as many parts as its largest bucket has STAR members.
+    """
+    parts = F.ceil(F.col("size") / STAR).cast("int")
+    copies = pairs.groupBy("a").agg(F.max(parts).alias("parts")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = known.select(F.col("uid").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa")).join(copies.select("a", "part"), "a")
     left = known.select(F.col("uid").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
-    right = known.select(F.col("uid").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch[c].to_pylist() for c in ("ea", "wa", "eb", "wb")]
-            linked = [probability_jaccard(*unpacked(ea, wa), *unpacked(eb, wb)) >= threshold for ea, wa, eb, wb in zip(*columns, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            alike = np.array([probability_jaccard(*unpacked(ea, wa), *unpacked(eb, wb)) for ea, wa, eb, wb in zip(*columns, strict=True)], float)
+            linked = pa.array(alike >= threshold)
+            columns = [batch["a"].filter(linked), batch["b"].filter(linked), pa.array(alike).filter(linked)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "similarity"])
 
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(run, "a binary, b binary")
+    return dealt.join(left, "b").join(right, ["a", "part"]).select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(run, LINK)
 
 
 def rest_links(members: DataFrame, threshold: float) -> DataFrame:
-    """a and b of the links between different classes within a tile pair. members: bucket, rep, band, tile, tiles, uid, label, ..."""
+    """The links between different classes within a tile pair. members: bucket, rep, band, tile, tiles, uid, label, ..."""
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least("tile", j).alias("p"), F.greatest("tile", j).alias("q"))))
     dealt = members.withColumn("pair", pair).select("*", F.col("pair.p").alias("p"), F.col("pair.q").alias("q")).drop("pair", "tiles")
 
@@ -136,7 +150,7 @@ def rest_links(members: DataFrame, threshold: float) -> DataFrame:
         regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint32).reshape(n, REGISTERS)
         bands = np.array(table["bands"].to_pylist(), np.int64)
         sets = [unpacked(e, w) for e, w in zip(table["elements"].to_pylist(), table["weights"].to_pylist(), strict=True)]
-        a, b = [], []
+        a, b, alike = [], [], []
         counts = np.bincount(labels)
         # the largest class needs no row of its own: the others' rows meet it
         for i in np.flatnonzero(labels != counts.argmax()):
@@ -148,16 +162,18 @@ def rest_links(members: DataFrame, threshold: float) -> DataFrame:
             others = others[(regs[others] == regs[i]).mean(axis=1) >= threshold - SLACK]
             others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)]
             for j in others.tolist():
-                if uid[j] != rep and probability_jaccard(*sets[i], *sets[j]) >= threshold:
+                if uid[j] != rep and (s := probability_jaccard(*sets[i], *sets[j])) >= threshold:
                     a.append(uid[i])
                     b.append(uid[j])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+                    alike.append(s)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "similarity": pa.array(alike, pa.float64())})
 
-    return dealt.groupBy("bucket", "p", "q").applyInArrow(run, "a binary, b binary")
+    return dealt.groupBy("bucket", "p", "q").applyInArrow(run, LINK)
 
 
 def components(links: DataFrame) -> DataFrame:
     """uid and label (the smallest uid that it is linked with through others) of every linked uid."""
+    links = links.select("a", "b")
     both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "uid"), "labels")
     while True:
@@ -172,21 +188,28 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id and class_size of every document: classes of texts linked directly or through others.
+    """doc_id, class_id, class_size and n_links of every document: classes of texts linked directly or through others.
 
-    class_id is the smallest doc_id of the class. Equal texts are one class; a null or empty text, or one of blanks, is a class of
-    its own row. Fewer than five words are one shingle. Rows with a null doc_id take part; a class of only such rows has a
-    null class_id. Repeated rows pass through, a row each, and count in class_size. An empty table gives no rows. Other
-    columns are not read.
+    class_id is the smallest doc_id of the class. n_links counts the other texts that this one was found to be linked with; where a
+    class joins two texts already no further link between them is looked for. Equal texts are one class; a null or empty text, or one
+    of blanks, is a class of its own row. Fewer than five words are one shingle; a very long text is all its shingles, held by one
+    task. Rows with a null doc_id take part; a class of only such rows has a null class_id. Repeated rows pass through, a row each,
+    and count in class_size. An empty table gives no rows. Other columns are not read.
     """
-    classes = classed(docs, threshold)
+    classes, links = classed(docs, threshold)
     sums = classes.filter("worded").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    alone = classes.filter("NOT worded").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return classes.filter("worded").join(sums, "label").select("doc_id", "class_id", "class_size").unionByName(alone)
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    own = ends.groupBy(F.col("a").alias("uid")).agg(F.count(F.lit(1)).alias("n_links"))
+    alone = classes.filter("NOT worded").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
+    found = classes.filter("worded").join(sums, "label").join(own, "uid", "left")
+    return found.select("doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")).unionByName(alone)
+
 
+def classed(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, uid, worded and label (a uid that stands for the class) of every document, and the links: a, b (uids) and similarity.
 
-def classed(docs: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, uid, worded and label (a uid that stands for the class) of every document; without words each is for itself."""
+    Without words each document is for itself.
+    """
     rows = written(signed(docs), "signed")
     worded = rows.filter("bands IS NOT NULL")
     distinct = written(worded.groupBy("uid").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "distinct")
@@ -200,18 +223,19 @@ def classed(docs: DataFrame, threshold: float) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("first"), F.col("text"), text_key(F.col("text")).alias("key"))
     found = own.join(asked, own["first"].eqNullSafe(asked["first"]) & (own["key"] == asked["uid"])).select("uid", "text")
     known = written(shingled(found).dropDuplicates(["uid"]), "known")
-    pairs = members.filter(F.col("uid") != F.col("rep")).select(F.col("rep").alias("a"), F.col("uid").alias("b")).distinct()
+    pairs = members.filter(F.col("uid") != F.col("rep")).groupBy(F.col("rep").alias("a"), F.col("uid").alias("b")).agg(F.max("size").alias("size"))
     links = written(star_links(pairs, known, threshold), "star")
     labels = components(links).withColumnRenamed("uid", "its")
     labelled = members.filter("size > 2").join(labels, F.col("uid") == F.col("its"), "left").withColumn("label", F.coalesce("label", "uid")).drop("its")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    rest = labelled.join(mixed, "bucket").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
-    rest = rest.drop("size").join(known, "uid").join(distinct.select("uid", "bands"), "uid")
+    rest = written(labelled.join(mixed, "bucket").join(known, "uid").join(distinct.select("uid", "bands"), "uid"), "rest")
+    weighed = rest.groupBy("bucket").agg(F.sum(F.length("elements") + F.length("weights")).alias("bytes"))
+    tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
+    rest = rest.join(weighed, "bucket").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int")).drop("size", "bytes")
     links = written(links.unionByName(rest_links(rest, threshold)), "links")
     labels = components(links).withColumnRenamed("uid", "its")
     classes = rows.select("doc_id", "uid", F.col("bands").isNotNull().alias("worded")).join(labels, F.col("uid") == F.col("its"), "left")
-    return classes.select("doc_id", "uid", "worded", F.coalesce("label", "uid").alias("label"))
+    return classes.select("doc_id", "uid", "worded", F.coalesce("label", "uid").alias("label")), links
 
 
 def first_of_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -219,11 +243,13 @@ def first_of_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     A text without words is a class with each doc_id that it has; of rows of like doc_id and text one stays.
     """
-    classes = classed(docs, threshold)
+    classes, _ = classed(docs, threshold)
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     firsts = classes.filter("worded").groupBy("label").agg(F.min_by(F.struct("doc_id", "uid"), place).alias("f")).select("f.doc_id", "f.uid")
     firsts = firsts.unionByName(classes.filter("NOT worded").select("doc_id", "uid").distinct())
-    firsts = firsts.select(F.col("doc_id").alias("__doc"), F.col("uid").alias("__uid"))
-    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", text_key(F.col("text")))
-    kept = own.join(firsts, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__uid")), "left_semi")
-    return kept.dropDuplicates(["__id", "__text"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    firsts = firsts.select(F.col("doc_id").alias("its_doc"), F.col("uid").alias("its_text"))
+    # rows travel as one struct, so their columns clash with none of these
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own = docs.select(row, F.col("doc_id").cast("long").alias("doc"), text_key(F.col("text")).alias("key"))
+    kept = own.join(firsts, F.col("doc").eqNullSafe(F.col("its_doc")) & (F.col("key") == F.col("its_text")), "left_semi")
+    return kept.dropDuplicates(["doc", "key"]).select("row.*")
