@@ -89,7 +89,8 @@ def host_verdicts(judged: DataFrame, max_rate: float) -> DataFrame:
 def quality_verdicts(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """doc_id, n_words, the four counts, base_failed, host_rate and kept of every document.
 
-    ``kept`` is false if base_failed, else what its host's verdict says. A null or empty text has no words and fails; a null
+    ``kept`` is false if base_failed, else what its host's verdict says. A null or empty text has no words and fails; a very long one
+    is judged whole, by sorting the hashes of its windows within its row; a null
     host is a host of its own; a null doc_id and repeated rows pass through, a row each, repeated rows counting as often as
     they stand. An empty table gives no rows. Other columns are not read.
     """
@@ -108,9 +109,8 @@ def kept_documents(docs: DataFrame, host: str = "source", max_rate: float = 0.5)
     Rows are judged by their own text, so repeated rows of one doc_id are kept or not each by itself.
     """
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("text").alias("__text"), F.col(host).alias("__host"))
-    judged = document_rules(own).select("__row", "__host", "base_failed", "failed")
-    # the first pass counts hosts, the second filters; rejected hosts are few and Spark may broadcast them
-    hosts = host_verdicts(written(judged.select("__host", "failed"), "judged"), max_rate).filter("host_failed").select(F.col("__host").alias("__its"))
-    # an exploded array drops rows without a predicate, which would be pushed below the steps and repeat them all
-    passed = judged.select("__row", "__host", F.explode(F.array_repeat(F.lit(1), F.when(F.col("base_failed"), 0).otherwise(1))).alias("__one"))
-    return passed.join(hosts, F.col("__host").eqNullSafe(F.col("__its")), "left_anti").select("__row.*")
+    # judged once and written with its row: hosts are counted and documents filtered from there
+    judged = written(document_rules(own).select("__row", "__host", "base_failed", "failed"), "judged")
+    # rejected hosts are few and Spark may broadcast them
+    hosts = host_verdicts(judged.select("__host", "failed"), max_rate).filter("host_failed").select(F.col("__host").alias("__its"))
+    return judged.filter("NOT base_failed").join(hosts, F.col("__host").eqNullSafe(F.col("__its")), "left_anti").select("__row.*")
