@@ -331,16 +331,130 @@ def test_first_of_classes_tells_rows_of_no_or_one_id_apart(spark):
     assert kept == Counter({(1, "a"): 1, (None, "b"): 1, (None, "c"): 1, (7, "d"): 1, (7, "e"): 1, (None, ""): 2, (8, ""): 1, (9, ""): 1})
 
 
-def test_pipeline_stages_return_the_columns_of_documents(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    cols, before = docs.columns, docs.count()
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = corpus_pipeline.written(stage(spark, docs, "/root/testdata/sf0.001"), "t")
-        if k < 4:
-            assert docs.columns == cols and docs.count() > 0
-        if k < 3:
-            assert docs.count() <= before
-            before = docs.count()
-    assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+def test_ids_and_words_of_all_letters_equal_the_library():
+    from playwatch.llm.pretokens import PretokenTable
+
+    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    table, codec = PretokenTable(BYTE, list), word_bpe.WordCodec(WORD)
+    for c in range(0x20000):
+        if not 0xD800 <= c < 0xE000:
+            t = f"A{chr(c)}b {chr(c)}1"
+            assert [i for v in table.values_of(t) for i in v] == byte.encode(t, add_special_tokens=False).ids, hex(c)
+            assert codec.encode(t) == word.encode(t, add_special_tokens=False).ids, hex(c)
+
+
+def test_tables_of_a_worker_stay_within_their_bound_and_right():
+    from playwatch.llm.pretokens import PretokenTable
+
+    lib, table = Tokenizer.from_file(BYTE), PretokenTable(BYTE, list, limit=20)
+    rng = random.Random(3)
+    for _ in range(200):
+        t = " ".join(f"w{rng.randint(0, 99)}" for _ in range(10)) + " — the"
+        assert [i for v in table.values_of(t) for i in v] == lib.encode(t, add_special_tokens=False).ids
+        # a text's own pre-tokens come on top
+        assert len(table) <= 20 + 32 and len(table.old) <= 20 + 32
+
+
+def test_rows_of_no_doc_id_and_repeated_rows(spark, tmp_path):
+    lib = Tokenizer.from_file(BYTE)
+    texts, ids = ["b b", "a", "b b", None, "a", "long " * 3000], [None, 7, 7, None, 7, 1]
+    df = frame(spark, texts, ids)
+    token_output.write_tokens(df, BYTE, 2, str(tmp_path / "o"))
+    back = token_output.read_tokens(spark, str(tmp_path / "o"), with_ids=True).orderBy("start").collect()
+    assert [r.doc_id for r in back] == [1, 7, 7, 7, None, None]
+    assert Counter(tuple(r.ids) for r in back) == Counter((*lib.encode(t or "", add_special_tokens=False).ids, 2) for t in texts)
+    at = 0
+    for r in back:
+        assert r.start == at
+        at += r.n_tokens
+    assert Counter((r.doc_id, r.n_tokens) for r in token_count.token_counts(df, BYTE).collect()) == Counter((r.doc_id, r.n_tokens - 1) for r in back)
+    assert word_bpe.word_bpe(df, WORD).count() == quality.quality_verdicts(df).count() == 6
+    near = near_dup.near_duplicates(df).collect()
+    assert len(near) == 6 and Counter(r.class_size for r in near) == Counter({1: 2, 2: 4})
+    assert sorted((r.doc_id or -1, r.n_removed) for r in repeats.without_repeats(df).collect())[2] == (1, 15_000)
+    lines = Counter((r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.deduped_lines(df).collect())
+    assert lines == Counter({(None, 1, 0): 2, (7, 1, 0): 3, (1, 1, 0): 1})
+    assert sum(r.taken for r in mixing.mixed(df).collect()) >= 0
+
+
+def test_links_are_counted_and_hubs_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "STAR", 3)
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for i in range(14):
+        own = list(base)
+        own[rng.randrange(120)] = f"n{i}"
+        texts.append(" ".join(own))
+    got = near_dup.near_duplicates(frame(spark, [*texts, "something else that stands alone here"])).collect()
+    assert {(r.doc_id, r.class_id) for r in got} == {(i, 0) for i in range(15)} | {(15, 15)}
+    assert sum(r.n_links for r in got) >= 2 * 14 and [r.n_links for r in got if r.doc_id == 15] == [0]
+    # registers of a pair at the threshold fall short by SLACK about once in 10 ** 10
+    from math import comb
+
+    n, most = near_dup.REGISTERS, int((0.8 - near_dup.SLACK) * near_dup.REGISTERS)
+    assert sum(comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(most)) < 1e-9
+
+
+def test_documents_beyond_a_chunk_of_places(spark, monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(repeats, "CHUNK", 1000)
+    assert_chunked = repeats.Anchors(200)
+    text = "".join(rng.choices("abcdefgh ", k=5000)).encode()
+    at, found = assert_chunked.of(text)
+    monkeypatch.setattr(repeats, "CHUNK", 1 << 20)
+    whole, hashes = repeats.Anchors(200).of(text)
+    assert at.tolist() == whole.tolist() and found.tolist() == hashes.tolist()
+    monkeypatch.undo()
+    seam = "".join(rng.choices("abcdefgh ", k=300))
+    big = "".join(rng.choices("abcdefgh ", k=(1 << 20) + 5000))
+    texts = [big[: (1 << 20) - 100] + seam + big[(1 << 20) - 100 :], "x" + seam + "y", None]
+    got = rows(repeats.without_repeats(frame(spark, texts)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    cut = lambda t: hashlib.sha256(t.replace(seam, "").encode()).hexdigest()
+    assert got == [(0, len(texts[0]), 300, 1, cut(texts[0])), (1, 302, 300, 1, cut(texts[1])), (2, 0, 0, 0, hashlib.sha256(b"").hexdigest())]
+
+
+def test_groups_are_maximal_repeats_with_all_occurrences():
+    rng = random.Random(2)
+    core = "".join(rng.choices("abcd", k=50)).encode()
+    # left sides (last byte first) and right sides of one anchor: three share 50 bytes around it, two of them 52; the last shares 48
+    left = [b"xyzab", b"xyzcd", b"xyqqq", b"zzz"]
+    right = [core[:49] + b"1", core[:49] + b"2", core[:48] + b"33", core[:48] + b"44"]
+    got = sorted((sorted(m.tolist()), a, b) for m, a, b in repeats.repeat_groups(np.zeros(4, np.int64), left, right, 50))
+    assert got == [([0, 1], 3, 49), ([0, 1, 2], 2, 48)]
+
+
+def test_nearest_with_repeated_rows_and_any_batches(spark):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(4000, 12))
+    rows_ = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (1, x[1].tolist())]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(1)
+    found = []
+    for batch in ("100", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        found.append(sorted(map(tuple, ann.nearest(df, every=400).collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1]
+    for q in range(0, 4000, 400):
+        s = np.sqrt(((x - x[q]) ** 2).sum(1))
+        s[q] = np.inf
+        assert [r[2] for r in found[0] if r[0] == q and r[2] != 1] == [i for i in np.lexsort((np.arange(4000), s))[:10].tolist() if i != 1][: sum(1 for r in found[0] if r[0] == q and r[2] != 1)]
+
+
+def test_toxicity_features_and_labels(spark):
+    df = frame(spark, ["You are a GRUBHEAD!!", None, "", "plain words"], [1, 2, None, 1])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(df, labels).collect()
+    assert len(got) == 4 and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in got)
+    assert Counter(r.doc_id for r in got) == Counter({1: 2, 2: 1, None: 1})
+
+
+def test_a_session_elsewhere_must_name_the_shared_folder():
+    from playwatch.llm.common import shared_dir
+
+    class Elsewhere:
+        conf = type("conf", (), {"get": staticmethod(lambda name, default=None: default)})
+        sparkContext = type("context", (), {"master": "spark://there:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Elsewhere())
