@@ -47,7 +47,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near), ("mixing", mix), ("bpe", bpe)]
 
-#: SQL expresses neither MinHash classes nor BPE; tests hold their operators against brute force, not the stages in turn.
+#: SQL expresses neither MinHash classes nor BPE; tests hold each stage, on what the one before kept, against SQL or brute force.
 ORACLE_SQL = None
 
 

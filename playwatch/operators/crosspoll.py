@@ -49,9 +49,9 @@ def pdt_not_advancing(edges: DataFrame, key: list[str]) -> DataFrame:
     return own.filter((F.col("media_sequence") > F.col("prev_sequence")) & (F.col("edge") <= F.col("last_edge")))
 
 
-def sustained(df: DataFrame, key: list[str], predicate: Column, seconds: float) -> DataFrame:
-    """Rows at which a predicate has held, poll by poll, for ``seconds`` at least."""
-    w = Window.partitionBy(*key).orderBy("ts")
+def sustained(df: DataFrame, key: list[str], predicate: Column, seconds: float, tie: str = "fetch_id") -> DataFrame:
+    """Rows at which a predicate has held, poll by poll, for ``seconds`` at least. Polls of one instant stand in the order of ``tie``."""
+    w = Window.partitionBy(*key).orderBy("ts", tie)
     holds = F.coalesce(predicate, F.lit(False))
     own = df.withColumn("__holds", holds).withColumn("__before", F.coalesce(F.lag(holds).over(w), F.lit(False)))
     own = own.withColumn("since", F.last(F.when(F.col("__holds") & ~F.col("__before"), F.col("ts")), ignorenulls=True).over(w))
@@ -59,9 +59,14 @@ def sustained(df: DataFrame, key: list[str], predicate: Column, seconds: float)
     return own.filter(F.col("__holds") & (held >= seconds)).drop("__holds", "__before")
 
 
+#: 2024-01-01 in seconds.
+EPOCH = 1_704_067_200.0
+
+
 def edge_speed(samples: DataFrame, key: list[str], seconds: int = 120) -> DataFrame:
-    """speed: units a minute of value, by least squares over the last seconds."""
-    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    """speed: units a minute of value, by least squares over the last seconds; null where they hold a single instant."""
+    # from a fixed instant on, as squares of seconds since 1970 would leave few digits
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - EPOCH
     own = samples.withColumn("__s", at.cast("long")).withColumn("__at", at)
     w = Window.partitionBy(*key).orderBy("__s").rangeBetween(-seconds, 0)
     return own.withColumn("speed", F.regr_slope("value", "__at").over(w) * 60).drop("__s", "__at")

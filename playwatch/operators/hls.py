@@ -1,7 +1,8 @@
 """HLS playlists decoded to tables. Input: fetch_id and body; every table is keyed by fetch_id and an ordinal.
 
-A body becomes its non-empty trimmed lines, one array; tables are windows over those lines by fetch_id, so all share a shuffle. A URI line becomes a segment if a valid EXTINF stands between the URI line before and itself; date and discontinuity wait for
-the next accepted segment.
+A playlist is one row, and all of it is decoded within that row: the body becomes its trimmed, non-empty lines, one array, and every
+table is a transformation of that array that is exploded at the end, so decoding moves no data between tasks. A URI line becomes a
+segment if a valid EXTINF stands between the URI line before and itself; date and discontinuity wait for the next accepted segment.
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ from pyspark.sql.window import Window
 
 from playwatch.functions.columns import blank_to_null, parse_pdt, safe_float, safe_int
 
+#: Columns of a fetch that tables carry along where they are there.
+POLL = ["poll_id", "vantage", "target", "variant", "ts", "url"]
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0"
+
 
 def playlist_type(body: Column) -> Column:
     return F.when(body.contains("#EXT-X-STREAM-INF"), "master").when(body.contains("#EXTINF"), "media").otherwise("unknown")
@@ -30,128 +35,231 @@ def attr(attrs: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(F.filter(attrs, lambda e: e["key"] == name), F.lit(-1))["value"], F.lit(""))
 
 
-def lines(df: DataFrame) -> DataFrame:
-    """fetch_id, n, line, tag (up to the colon), value and is_uri of every non-empty line."""
-    own = df.select("fetch_id", F.posexplode(F.split("body", "\n")).alias("n", "raw"))
-    own = own.select("fetch_id", "n", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("line")).filter("line <> ''")
-    tag = F.regexp_extract("line", r"^(#[^:]*)", 1)
-    value = F.when(F.col("line").contains(":"), F.regexp_replace("line", "^[^:]*:", "")).otherwise("")
-    return own.withColumn("tag", tag).withColumn("value", value).withColumn("is_uri", ~F.col("line").startswith("#"))
+# Lines within a row
+
+
+def with_lines(df: DataFrame) -> DataFrame:
+    """df with ls: the trimmed, non-empty lines of its bodies."""
+    if "ls" in df.columns:
+        return df
+    return df.withColumn("ls", body_lines(F.col("body")))
+
+
+def body_lines(body: Column) -> Column:
+    return F.filter(F.transform(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
+
+
+def _has(tag: str, line: Column) -> Column:
+    """Whether a line carries a tag, with a value or bare."""
+    return line.startswith(tag + ":") | (line == tag)
+
+
+def _value(line: Column) -> Column:
+    return F.when(line.contains(":"), F.regexp_replace(line, "^[^:]*:", "")).otherwise("")
+
+
+def _last(found: Column) -> Column:
+    """The last element that is not null."""
+    return F.try_element_at(F.filter(found, lambda x: x.isNotNull()), F.lit(-1))
 
 
-def _ordered(df: DataFrame, *cols: Column) -> DataFrame:
-    """Rows numbered from 0 within their fetch in line order."""
-    return df.select("fetch_id", (F.row_number().over(Window.partitionBy("fetch_id").orderBy("n")) - 1).alias("ord"), *cols)
+def _places(lines: Column, holds) -> Column:
+    """0-based places of the lines of which ``holds`` is true."""
+    return F.filter(F.transform(lines, lambda x, i: F.when(holds(x), i)), lambda i: i.isNotNull())
 
 
-def _tagged(df: DataFrame, tag: str) -> DataFrame:
-    return lines(df).filter(F.col("tag") == tag).withColumn("a", hls_attrs(F.col("value")))
+def _between(lines: Column, after: Column, until: Column) -> Column:
+    """The lines after one place (null: from the start) and before another."""
+    start = F.coalesce(after + 1, F.lit(0))
+    return F.slice(lines, start + 1, F.greatest(until - start, F.lit(0)))
+
+
+def _values(tag: str) -> Column:
+    """Values of the lines that carry a tag, in order."""
+    return F.transform(F.filter("ls", lambda x: _has(tag, x)), _value)
+
+
+def carried(df: DataFrame) -> list[str]:
+    return ["fetch_id", *(c for c in POLL if c in df.columns)]
+
+
+def _table(df: DataFrame, rows: Column, *cols: Column) -> DataFrame:
+    """A row for each element of ``rows``, numbered from 0 by ord; ``cols`` read the element as e."""
+    own = carried(df)
+    return exploded(df.select(*own, F.posexplode_outer(rows).alias("ord", "e"))).select(*own, "ord", *cols)
+
+
+def exploded(df: DataFrame) -> DataFrame:
+    """Without the rows that an empty array left. A plain explode would have Spark test the array for being empty in a filter below
+    all the steps that make it, and so make it several times."""
+    return df.filter("ord IS NOT NULL")
+
+
+def _tagged(df: DataFrame, tag: str, *cols: Column) -> DataFrame:
+    """A row for each line of a tag; ``cols`` read its attributes as a."""
+    own = with_lines(df).select(*carried(df), F.posexplode_outer(_values(tag)).alias("ord", "v"))
+    return exploded(own).select(*carried(df), "ord", hls_attrs(F.col("v")).alias("a")).select(*carried(df), "ord", *cols)
 
 
 def _yes(c: Column) -> Column:
     return F.upper(c) == "YES"
 
 
+def _a(name: str) -> Column:
+    return attr(F.col("a"), name)
+
+
+# Masters
+
+
+def with_variants(df: DataFrame) -> DataFrame:
+    """df with ls and infs: URI and the attributes in force of every variant, in order."""
+    own = with_lines(df).withColumn("uris", _places(F.col("ls"), lambda x: ~x.startswith("#")))
+    inf = lambda p, k: _last(F.transform(_between(F.col("ls"), F.get("uris", k - 1), p), lambda x: F.when(_has("#EXT-X-STREAM-INF", x), _value(x))))
+    each = F.filter(F.transform("uris", lambda p, k: F.struct(F.get("ls", p).alias("uri"), inf(p, k).alias("inf"))), lambda v: v["inf"].isNotNull())
+    return own.withColumn("infs", each).drop("uris")
+
+
 def hls_variants(df: DataFrame) -> DataFrame:
-    w = Window.partitionBy("fetch_id").orderBy("n")
-    own = lines(df).filter((F.col("tag") == "#EXT-X-STREAM-INF") | F.col("is_uri"))
-    own = own.withColumn("run", F.coalesce(F.sum(F.col("is_uri").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    pending = F.last(F.when(~F.col("is_uri"), F.col("value")), ignorenulls=True).over(Window.partitionBy("fetch_id", "run").orderBy("n"))
-    own = own.withColumn("inf", pending).filter(F.col("is_uri") & F.col("inf").isNotNull()).withColumn("a", hls_attrs(F.col("inf")))
-    a = lambda n: attr(F.col("a"), n)
-    return _ordered(
-        own, F.col("line").alias("uri"), safe_int(a("BANDWIDTH")).alias("bandwidth"), safe_int(a("AVERAGE-BANDWIDTH")).alias("avg_bandwidth"),
-        a("RESOLUTION").alias("resolution"), a("CODECS").alias("codecs"), safe_float(a("FRAME-RATE")).alias("frame_rate"), a("AUDIO").alias("audio_group"),
-        a("VIDEO").alias("video_group"), a("SUBTITLES").alias("subtitle_group"), a("CLOSED-CAPTIONS").alias("closed_captions"),
+    own = _table(with_variants(df), F.col("infs"), F.col("e.uri").alias("uri"), hls_attrs(F.col("e.inf")).alias("a"))
+    return own.select(
+        *carried(df), "ord", "uri", safe_int(_a("BANDWIDTH")).alias("bandwidth"), safe_int(_a("AVERAGE-BANDWIDTH")).alias("avg_bandwidth"),
+        _a("RESOLUTION").alias("resolution"), _a("CODECS").alias("codecs"), safe_float(_a("FRAME-RATE")).alias("frame_rate"), _a("AUDIO").alias("audio_group"),
+        _a("VIDEO").alias("video_group"), _a("SUBTITLES").alias("subtitle_group"), _a("CLOSED-CAPTIONS").alias("closed_captions"),
     )
 
 
 def hls_renditions(df: DataFrame) -> DataFrame:
-    a = lambda n: attr(F.col("a"), n)
-    return _ordered(
-        _tagged(df, "#EXT-X-MEDIA"), F.upper(a("TYPE")).alias("type"), a("GROUP-ID").alias("group_id"), a("NAME").alias("name"), a("LANGUAGE").alias("language"),
-        a("URI").alias("uri"), _yes(a("DEFAULT")).alias("is_default"), _yes(a("AUTOSELECT")).alias("autoselect"), _yes(a("FORCED")).alias("forced"),
-        a("CHANNELS").alias("channels"), a("INSTREAM-ID").alias("instream_id"),
+    return _tagged(
+        df, "#EXT-X-MEDIA", F.upper(_a("TYPE")).alias("type"), _a("GROUP-ID").alias("group_id"), _a("NAME").alias("name"), _a("LANGUAGE").alias("language"),
+        _a("URI").alias("uri"), _yes(_a("DEFAULT")).alias("is_default"), _yes(_a("AUTOSELECT")).alias("autoselect"), _yes(_a("FORCED")).alias("forced"),
+        _a("CHANNELS").alias("channels"), _a("INSTREAM-ID").alias("instream_id"),
     )
 
 
-def _keys(df: DataFrame, tag: str) -> DataFrame:
-    names = {"METHOD": "method", "URI": "uri", "IV": "iv", "KEYFORMAT": "keyformat", "KEYFORMATVERSIONS": "keyformatversions"}
-    return _ordered(_tagged(df, tag), *(attr(F.col("a"), n).alias(c) for n, c in names.items()))
+_KEY = {"METHOD": "method", "URI": "uri", "IV": "iv", "KEYFORMAT": "keyformat", "KEYFORMATVERSIONS": "keyformatversions"}
 
 
 def hls_session_keys(df: DataFrame) -> DataFrame:
-    return _keys(df, "#EXT-X-SESSION-KEY")
+    return _tagged(df, "#EXT-X-SESSION-KEY", *(_a(n).alias(c) for n, c in _KEY.items()))
+
+
+# Media playlists
 
 
 def hls_keys(df: DataFrame) -> DataFrame:
-    return _keys(df, "#EXT-X-KEY")
+    return _tagged(df, "#EXT-X-KEY", *(_a(n).alias(c) for n, c in _KEY.items()))
 
 
 def hls_maps(df: DataFrame) -> DataFrame:
-    return _ordered(_tagged(df, "#EXT-X-MAP"), attr(F.col("a"), "URI").alias("uri"), attr(F.col("a"), "BYTERANGE").alias("byterange"))
+    return _tagged(df, "#EXT-X-MAP", _a("URI").alias("uri"), _a("BYTERANGE").alias("byterange"))
 
 
 def hls_preload_hints(df: DataFrame) -> DataFrame:
-    a = lambda n: attr(F.col("a"), n)
-    return _ordered(_tagged(df, "#EXT-X-PRELOAD-HINT"), F.upper(a("TYPE")).alias("type"), a("URI").alias("uri"), a("BYTERANGE-START").alias("byterange"))
+    return _tagged(df, "#EXT-X-PRELOAD-HINT", F.upper(_a("TYPE")).alias("type"), _a("URI").alias("uri"), _a("BYTERANGE-START").alias("byterange"))
 
 
-def hls_media(df: DataFrame) -> DataFrame:
-    """One header row for each fetch; of repeated tags the last counts."""
-    last = lambda tag: F.max_by(F.when(F.col("tag") == tag, F.col("value")), F.when(F.col("tag") == tag, F.col("n")))
-    own = lines(df).groupBy("fetch_id").agg(
-        *(last(f"#EXT-X-{t}").alias(c) for t, c in (("VERSION", "v"), ("TARGETDURATION", "td"), ("MEDIA-SEQUENCE", "ms"), ("PART-INF", "pi"), ("SERVER-CONTROL", "sc"), ("SKIP", "sk"))),
-        F.bool_or(F.col("line") == "#EXT-X-ENDLIST").alias("endlist"),
-    )
+def hls_media(df: DataFrame, *more: Column) -> DataFrame:
+    """One header row for each fetch with lines, and ``more`` columns of its row; of repeated tags the last counts."""
+    names = {"VERSION": "v", "TARGETDURATION": "td", "MEDIA-SEQUENCE": "ms", "PART-INF": "pi", "SERVER-CONTROL": "sc", "SKIP": "sk"}
+    own = with_lines(df).filter(F.size("ls") > 0)
+    own = own.select(*carried(df), *(_last(_values(f"#EXT-X-{t}")).alias(c) for t, c in names.items()), F.exists("ls", lambda x: x == "#EXT-X-ENDLIST").alias("endlist"), *more)
     at = lambda c, n: attr(hls_attrs(F.col(c)), n)
+    known = [*carried(df), *names.values(), "endlist"]
     return own.select(
-        "fetch_id", safe_int(F.col("v")).alias("version"), safe_int(F.col("td")).alias("target_duration"), safe_int(F.col("ms")).alias("media_sequence"), "endlist",
+        *carried(df), *(c for c in own.columns if c not in known), safe_int(F.col("v")).alias("version"), safe_int(F.col("td")).alias("target_duration"), safe_int(F.col("ms")).alias("media_sequence"), "endlist",
         safe_float(at("pi", "PART-TARGET")).alias("part_target"), safe_int(at("sk", "SKIPPED-SEGMENTS")).alias("skipped"), F.col("sc").isNotNull().alias("has_control"),
         F.coalesce(_yes(at("sc", "CAN-BLOCK-RELOAD")), F.lit(False)).alias("can_block_reload"), safe_float(at("sc", "PART-HOLD-BACK")).alias("part_hold_back"),
         safe_float(at("sc", "HOLD-BACK")).alias("hold_back"), safe_float(at("sc", "CAN-SKIP-UNTIL")).alias("can_skip_until"),
     )
 
 
-def _accepted(df: DataFrame) -> DataFrame:
-    """Lines with dur (the EXTINF in force) and accepted on URI lines, and group: accepted URI lines strictly before."""
-    before = Window.partitionBy("fetch_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    number = F.trim(F.split_part("value", F.lit(","), F.lit(1))).try_cast("double")
-    own = lines(df).withColumn("inf", F.when(F.col("tag") == "#EXTINF", number))
-    own = own.withColumn("run", F.coalesce(F.sum(F.col("is_uri").cast("int")).over(before), F.lit(0)))
-    in_run = Window.partitionBy("fetch_id", "run").orderBy("n")
-    own = own.withColumn("dur", F.last("inf", ignorenulls=True).over(in_run)).withColumn("accepted", F.col("is_uri") & F.col("dur").isNotNull())
-    return own.withColumn("group", F.coalesce(F.sum(F.col("accepted").cast("int")).over(before), F.lit(0)))
+def with_accepted(df: DataFrame) -> DataFrame:
+    """df with ls and acc: place, duration and the lines since the accepted segment before, of every accepted segment."""
+    if "acc" in df.columns:
+        return df
+    own = with_lines(df).withColumn("uris", _places(F.col("ls"), lambda x: ~x.startswith("#")))
+    number = lambda x: F.when(_has("#EXTINF", x), F.trim(F.split_part(_value(x), F.lit(","), F.lit(1))).try_cast("double"))
+    duration = lambda p, k: _last(F.transform(_between(F.col("ls"), F.get("uris", k - 1), p), number))
+    own = own.withColumn("acc", F.filter(F.transform("uris", lambda p, k: F.struct(p.alias("p"), duration(p, k).alias("d"))), lambda s: s["d"].isNotNull()))
+    own = own.withColumn("acc", F.transform("acc", lambda s, j: F.struct(s["p"].alias("p"), s["d"].alias("d"), _between(F.col("ls"), F.get("acc", j - 1)["p"], s["p"]).alias("own"))))
+    return own.drop("uris")
+
+
+def with_segments(df: DataFrame) -> DataFrame:
+    """df with segs: uri, duration, pdt, discontinuity, key and map (in force, null for none) of every segment, in order."""
+    if "segs" in df.columns:
+        return df
+    own = with_accepted(df)
+    tagged = lambda tag, row: F.filter(F.transform("ls", lambda x, i: F.when(_has(tag, x), row(hls_attrs(_value(x)), i))), lambda r: r.isNotNull())
+
+    def key(a: Column, i: Column) -> Column:
+        found = F.struct(*(attr(a, n).alias(c) for n, c in list(_KEY.items())[:4]))
+        return F.struct(i.alias("p"), F.when(~F.upper(attr(a, "METHOD")).isin("", "NONE"), found).alias("key"))
+
+    maps = lambda a, i: F.struct(i.alias("p"), F.struct(attr(a, "URI").alias("uri"), attr(a, "BYTERANGE").alias("byterange")).alias("map"))
+    own = own.withColumn("ks", tagged("#EXT-X-KEY", key)).withColumn("ms", tagged("#EXT-X-MAP", maps))
+    in_force = lambda c, s: F.try_element_at(F.filter(c, lambda k: k["p"] < s["p"]), F.lit(-1))
+    pdt = lambda s: _last(F.transform(s["own"], lambda x: F.when(_has("#EXT-X-PROGRAM-DATE-TIME", x), parse_pdt(_value(x)))))
+    segs = F.transform(
+        "acc",
+        lambda s: F.struct(
+            F.get("ls", s["p"]).alias("uri"), s["d"].alias("duration"), pdt(s).alias("pdt"), F.exists(s["own"], lambda x: x == "#EXT-X-DISCONTINUITY").alias("discontinuity"),
+            in_force("ks", s)["key"].alias("key"), in_force("ms", s)["map"].alias("map"),
+        ),
+    )
+    return own.withColumn("segs", segs).drop("ks", "ms")
 
 
 def hls_segments(df: DataFrame) -> DataFrame:
     """fetch_id, ord, uri, duration, pdt, discontinuity, key and map (in force, null for none) of every segment."""
-    so_far = Window.partitionBy("fetch_id").orderBy("n")
-    in_group = Window.partitionBy("fetch_id", "group").orderBy("n")
-    last = lambda tag, value, w: F.last(F.when(F.col("tag") == tag, value), ignorenulls=True).over(w)
-    own = _accepted(df)
-    own = own.withColumn("pdt", last("#EXT-X-PROGRAM-DATE-TIME", parse_pdt(F.col("value")), in_group))
-    own = own.withColumn("disc", F.coalesce(F.max((F.col("line") == "#EXT-X-DISCONTINUITY").cast("int")).over(in_group), F.lit(0)) == 1)
-    own = own.withColumn("k", last("#EXT-X-KEY", F.col("value"), so_far)).withColumn("m", last("#EXT-X-MAP", F.col("value"), so_far))
-    own = own.filter("accepted").withColumn("ka", hls_attrs(F.col("k"))).withColumn("ma", hls_attrs(F.col("m")))
-    a = lambda c, n: attr(F.col(c), n)
-    key = F.struct(a("ka", "METHOD").alias("method"), a("ka", "URI").alias("uri"), a("ka", "IV").alias("iv"), a("ka", "KEYFORMAT").alias("keyformat"))
-    clear = F.upper(a("ka", "METHOD")).isin("", "NONE")
-    return _ordered(
-        own, F.col("line").alias("uri"), F.col("dur").alias("duration"), "pdt", F.col("disc").alias("discontinuity"), F.when(F.col("k").isNotNull() & ~clear, key).alias("key"),
-        F.when(F.col("m").isNotNull(), F.struct(a("ma", "URI").alias("uri"), a("ma", "BYTERANGE").alias("byterange"))).alias("map"),
+    return _table(with_segments(df), F.col("segs"), "e.*")
+
+
+def with_parts(df: DataFrame) -> DataFrame:
+    """df with parts: attributes of the parts after the last segment, which are those of the segment in production."""
+    if "parts" in df.columns:
+        return df
+    own = with_accepted(df)
+    last = F.coalesce(F.try_element_at("acc", F.lit(-1))["p"], F.lit(-1))
+    late = F.filter(F.transform("ls", lambda x, i: F.when((i > last) & _has("#EXT-X-PART", x), hls_attrs(_value(x)))), lambda v: v.isNotNull())
+    part = lambda a: F.struct(
+        attr(a, "URI").alias("uri"), safe_float(attr(a, "DURATION")).alias("duration"), _yes(attr(a, "INDEPENDENT")).alias("independent"), attr(a, "BYTERANGE").alias("byterange"),
+        _yes(attr(a, "GAP")).alias("gap"),
     )
+    return own.withColumn("parts", F.transform(late, part))
 
 
 def hls_parts(df: DataFrame) -> DataFrame:
     """Parts after the last segment: those of the segment in production."""
-    whole = Window.partitionBy("fetch_id")
-    own = _accepted(df).withColumn("last", F.coalesce(F.max(F.when(F.col("accepted"), F.col("n"))).over(whole), F.lit(-1)))
-    own = own.filter((F.col("tag") == "#EXT-X-PART") & (F.col("n") > F.col("last"))).withColumn("a", hls_attrs(F.col("value")))
-    a = lambda n: attr(F.col("a"), n)
-    return _ordered(
-        own, a("URI").alias("uri"), safe_float(a("DURATION")).alias("duration"), _yes(a("INDEPENDENT")).alias("independent"), a("BYTERANGE").alias("byterange"), _yes(a("GAP")).alias("gap")
-    )
+    return _table(with_parts(df), F.col("parts"), "e.*")
+
+
+def _seconds(rows: Column | str) -> Column:
+    return F.aggregate(rows, F.lit(0.0), lambda a, s: a + s["duration"])
+
+
+def part_columns() -> list[Column]:
+    """n_parts, part_s and independent of rows with parts."""
+    return [F.size("parts").cast("long").alias("n_parts"), _seconds("parts").alias("part_s"), F.exists("parts", lambda p: p["independent"]).alias("independent")]
+
+
+def summary_columns() -> list[Column]:
+    """window_s, clear, encrypted, discontinuities and edge (see live_edge) of rows with segs."""
+    dated = F.array_max(_places(F.col("segs"), lambda s: s["pdt"].isNotNull()))
+    tail = F.slice("segs", dated + 1, F.size("segs"))
+    edge = F.unix_micros(F.get("segs", dated)["pdt"]) + F.round(_seconds(tail) * 1e6).cast("long")
+    count = lambda holds: F.size(F.filter("segs", holds)).cast("long")
+    return [
+        _seconds("segs").alias("window_s"), count(lambda s: s["key"].isNull()).alias("clear"), F.exists("segs", lambda s: s["key"].isNotNull()).alias("encrypted"),
+        count(lambda s: s["discontinuity"]).alias("discontinuities"), F.when(dated.isNotNull(), F.timestamp_micros(edge)).alias("edge"),
+    ]
+
+
+def segment_summary(df: DataFrame) -> DataFrame:
+    """fetch_id, n_segments and summary_columns of every playlist with segments, within its row."""
+    own = with_segments(df).filter(F.size("segs") > 0)
+    return own.select(*carried(df), F.size("segs").cast("long").alias("n_segments"), *summary_columns())
 
 
 def rendition_label(kind: Column, group: Column, name: Column, language: Column) -> Column:

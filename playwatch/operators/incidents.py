@@ -7,11 +7,15 @@ finding before that sweep still belongs to it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from playwatch.operators.maintenance import suppressed_by
+from playwatch.operators.maintenance import suppressed_by, window_active
 
 KEY = ["vantage", "target", "variant", "check"]
 MICRO = 1_000_000
@@ -30,14 +34,53 @@ def ends_at(last: Column, resolve_after: float, sweep: float) -> Column:
     return (F.ceil(quiet / step) * step).cast("long")
 
 
+#: Findings of a key are numbered within stretches of this many microseconds, so that a key of any length is many tasks' work.
+STRETCH = 86_400 * MICRO
+
+
 def with_islands(findings: DataFrame, resolve_after: float, sweep: float) -> DataFrame:
-    """Findings with at (microseconds) and island, a running number within the key."""
-    order = Window.partitionBy(*KEY).orderBy("at", "message")
-    rows = findings.withColumn("at", micros(F.col("ts")))
-    before = F.lag("at").over(order)
-    over = ends_at(before, resolve_after, sweep)
-    starts = before.isNull() | (over <= F.col("at") if not sweep else over < F.col("at"))
-    return rows.withColumn("starts", starts.cast("int")).withColumn("island", F.sum("starts").over(order)).drop("starts")
+    """Findings with at (microseconds), began (when their incident began), nth (their place in it) and island (a number within the key).
+
+    Windows run within a key's stretches of a day. What a stretch needs from those before it, the last instant, the last start and
+    how many rows there were, comes from a table of a row for each stretch, over which alone a window spans a whole key.
+    """
+    rows = findings.withColumn("at", micros(F.col("ts"))).withColumn("stretch", F.floor(F.col("at") / STRETCH))
+    own = Window.partitionBy(*KEY, "stretch").orderBy("at", "message")
+    rows = rows.withColumn("before", F.lag("at").over(own)).withColumn("place", F.row_number().over(own))
+    starts = lambda before, at: before.isNull() | _over_by(before, at, resolve_after, sweep)
+    # within a stretch all but the first row know whether they start an incident
+    inner = F.when(F.col("place") > 1, starts(F.col("before"), F.col("at")))
+    rows = rows.withColumn("inner", F.coalesce(inner, F.lit(False)))
+    ends = rows.groupBy(*KEY, "stretch").agg(
+        F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("rows"),
+        F.max(F.when(F.col("inner"), F.struct("at", "place"))).alias("last_start"),
+    )
+    key = Window.partitionBy(*KEY).orderBy("stretch")
+    ends = ends.withColumn("opens", starts(F.lag("last_at").over(key), F.col("first_at")))
+    ends = ends.withColumn("rows_before", F.coalesce(F.sum("rows").over(key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # the last start of a stretch, counted over the key; its first row's where only that starts
+    latest = F.coalesce(
+        F.when(F.col("last_start").isNotNull(), F.struct(F.col("last_start.at").alias("at"), (F.col("rows_before") + F.col("last_start.place")).alias("place"))),
+        F.when(F.col("opens"), F.struct(F.col("first_at").alias("at"), (F.col("rows_before") + 1).alias("place"))),
+    )
+    ends = ends.withColumn("carried", F.last(latest, ignorenulls=True).over(key.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.select(*(F.col(c).alias(f"its_{c}") for c in (*KEY, "stretch")), "opens", "rows_before", "carried")
+    same = F.lit(True)
+    for c in (*KEY, "stretch"):
+        same &= F.col(c).eqNullSafe(F.col(f"its_{c}"))
+    rows = rows.join(ends, same).withColumn("place", F.col("rows_before") + F.col("place"))
+    begins = F.col("inner") | (F.col("opens") & F.col("before").isNull())
+    start = F.last(F.when(begins, F.struct("at", "place")), ignorenulls=True).over(own)
+    rows = rows.withColumn("start", F.coalesce(start, "carried"))
+    return rows.select(
+        *(F.col(f"`{c}`") for c in findings.columns), "at", F.col("start.at").alias("began"), F.col("start.place").alias("island"), (F.col("place") - F.col("start.place") + 1).alias("nth")
+    )
+
+
+def _over_by(before: Column, at: Column, resolve_after: float, sweep: float) -> Column:
+    """Whether an incident last seen at ``before`` is over at ``at``."""
+    end = ends_at(before, resolve_after, sweep)
+    return end < at if sweep else end <= at
 
 
 def incidents(findings: DataFrame, resolve_after: float = 90, sweep: float = 0, persist: float = 0) -> DataFrame:
@@ -46,8 +89,6 @@ def incidents(findings: DataFrame, resolve_after: float = 90, sweep: float = 0,
     opened_at is the first finding ``persist`` seconds after the first, null where none is; rows of null keys form incidents too.
     """
     rows = with_islands(findings, resolve_after, sweep)
-    first = Window.partitionBy(*KEY, "island")
-    rows = rows.withColumn("began", F.min("at").over(first)) if persist else rows.withColumn("began", F.col("at"))
     late = F.when(F.col("at") - F.col("began") >= int(persist * MICRO), F.col("at"))
     latest = F.max_by(F.struct("severity", "message"), F.struct("at", "message"))
     out = rows.groupBy(*KEY, "island").agg(
@@ -60,42 +101,56 @@ def incidents(findings: DataFrame, resolve_after: float = 90, sweep: float = 0,
     )
 
 
+def _reminded(due: DataFrame, wait: int) -> DataFrame:
+    """Of the findings that may be told, those that are: each incident's first, and then the next one ``wait`` after the last told.
+
+    Each depends on the one before, so an incident's findings stream sorted through one task, which keeps the last notice alone.
+    """
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, told = None, 0
+        for batch in batches:
+            keys = list(zip(*(batch[c].to_pylist() for c in (*KEY, "island")), strict=True))
+            picked = []
+            for i, (own, at) in enumerate(zip(keys, batch["at"].to_pylist(), strict=True)):
+                if own != key or at - told >= wait:
+                    key, told = own, at
+                    picked.append(i)
+            yield batch.take(pa.array(picked, pa.int64()))
+
+    dealt = due.repartition(*KEY, "island").sortWithinPartitions(*KEY, "island", "at", "message")
+    return dealt.mapInArrow(tell, dealt.schema)
+
+
 def notifications(
     findings: DataFrame, maintenance: DataFrame, resolve_after: float = 90, sweep: float = 0, persist: float = 0, repeat: float = 0
 ) -> DataFrame:
     """Finding columns with status, count and first_seen: announcements, reminders and resolutions.
 
     A finding under maintenance counts but says nothing. The first open, unsuppressed finding announces; with ``repeat`` seconds,
-    the next one that long after the last notice reminds. An announced incident is resolved once over. Reminders depend on one
-    another, so an incident's findings are folded as one sorted array; it grows with its polls, not with the table.
+    the next one that long after the last notice reminds. An announced incident is resolved once over.
     """
     rows = suppressed_by(with_islands(findings, resolve_after, sweep), maintenance)
-    own = F.struct("at", "message", "severity", F.col("window").isNotNull().alias("quiet"))
-    islands = rows.groupBy(*KEY, "island").agg(F.array_sort(F.collect_list(own)).alias("obs"))
-    islands = islands.withColumn("began", F.element_at("obs", 1)["at"]).withColumn("n", F.size("obs"))
-    nobody = F.struct(F.lit(None).cast("long").alias("told"), F.array().cast("array<int>").alias("picks"))
-    wait = int(repeat * MICRO)
-
-    def step(state: Column, i: Column) -> Column:
-        o = F.element_at(F.col("obs"), i)
-        due = state["told"].isNull() | (F.lit(wait > 0) & (o["at"] - state["told"] >= wait))
-        tells = (o["at"] - F.col("began") >= int(persist * MICRO)) & ~o["quiet"] & due
-        return F.struct(F.when(tells, o["at"]).otherwise(state["told"]).alias("told"), F.when(tells, F.concat(state["picks"], F.array(i))).otherwise(state["picks"]).alias("picks"))
-
-    islands = islands.withColumn("picks", F.aggregate(F.sequence(F.lit(1), F.col("n")), nobody, step)["picks"])
-    told = islands.filter(F.size("picks") > 0)
-    said = told.select(*KEY, "began", "obs", F.explode("picks").alias("i")).withColumn("o", F.element_at("obs", F.col("i")))
-    firing = said.select(
-        F.timestamp_micros("o.at").alias("ts"), *KEY, "o.severity", "o.message", F.lit("firing").alias("status"),
-        F.col("i").cast("long").alias("count"), F.timestamp_micros("began").alias("first_seen"),
-    )
-    last = F.element_at("obs", -1)
-    seconds = F.round((last["at"] - F.col("began")) / MICRO).cast("long")
-    resolved = told.select(
-        F.timestamp_micros(ends_at(last["at"], resolve_after, sweep)).alias("ts"), *KEY, last["severity"].alias("severity"),
+    may = F.col("window").isNull() & (F.col("at") - F.col("began") >= int(persist * MICRO))
+    own = F.struct("at", "message", "severity", "nth")
+    ended = rows.groupBy(*KEY, "island").agg(
+        F.min("began").alias("began"), F.min(F.when(may, own)).alias("told"), F.max(own).alias("last"), F.count(F.lit(1)).alias("n")
+    )
+    ended = ended.filter("told IS NOT NULL")
+    if repeat > 0:
+        due = rows.filter(may).select(*KEY, "island", "at", "message", "severity", "nth", "began")
+        firing = _reminded(due, int(repeat * MICRO))
+    else:
+        firing = ended.select(*KEY, "told.*", "began")
+    firing = firing.select(
+        F.timestamp_micros("at").alias("ts"), *KEY, "severity", "message", F.lit("firing").alias("status"), F.col("nth").cast("long").alias("count"), F.timestamp_micros("began").alias("first_seen")
+    )
+    seconds = F.round((F.col("last.at") - F.col("began")) / MICRO).cast("long")
+    resolved = ended.select(
+        F.timestamp_micros(ends_at(F.col("last.at"), resolve_after, sweep)).alias("ts"), *KEY, F.col("last.severity").alias("severity"),
         F.concat(F.lit("cleared after "), F.col("n").cast("string"), F.lit(" observation(s) over "), seconds.cast("string"), F.lit("s")).alias("message"),
-        F.lit("resolved").alias("status"), F.col("n").cast("long").alias("count"), F.timestamp_micros("began").alias("first_seen"),
-    )
+        F.lit("resolved").alias("status"), "n", F.timestamp_micros("began").alias("first_seen"),
+    ).withColumnRenamed("n", "count")
     return firing.unionByName(resolved)
 
 
@@ -110,15 +165,52 @@ def forget(incidents: DataFrame, removed: DataFrame, now: Column) -> DataFrame:
     return gone.select(now.alias("ts"), *KEY, "severity", F.lit("target removed").alias("message"), F.lit("resolved").alias("status"), "count", "first_seen")
 
 
+def announced(incidents: DataFrame, notices: DataFrame) -> DataFrame:
+    """Incidents with announced: whether a notice told of them."""
+    told = notices.filter("status = 'firing'").select(*(F.col(c).alias(f"its_{c}") for c in (*KEY, "first_seen"))).distinct()
+    same = F.lit(True)
+    for c in (*KEY, "first_seen"):
+        same &= F.col(c).eqNullSafe(F.col(f"its_{c}"))
+    own = incidents.join(told.withColumn("announced", F.lit(True)), same, "left")
+    return own.select(*(F.col(f"`{c}`") for c in incidents.columns), F.coalesce("announced", F.lit(False)).alias("announced"))
+
+
 def incident_gauges(incidents: DataFrame, now: Column) -> DataFrame:
-    """open and critical: incidents that are open at ``now``, by target."""
+    """open, critical and, of incidents that say so, announced: how many incidents are open at ``now``, by target."""
     own = resolve(incidents, now).filter("open")
-    return own.groupBy("target").agg(F.count(F.lit(1)).alias("open"), F.count_if(F.col("severity") == "critical").alias("critical"))
+    told = F.col("announced") if "announced" in incidents.columns else F.lit(False)
+    return own.groupBy("target").agg(F.count(F.lit(1)).alias("open"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(told).alias("announced"))
+
 
+def maintenance_gauges(maintenance: DataFrame, now: Column) -> DataFrame:
+    """window and active (1 or 0) of every maintenance window at ``now``."""
+    return maintenance.select(F.col("name").alias("window"), window_active(now).cast("int").alias("active"))
 
-def incident_totals(notices: DataFrame) -> DataFrame:
-    """opened (reminders count as openings) and resolved, by target."""
-    return notices.groupBy("target").agg(F.count_if(F.col("status") == "firing").alias("opened"), F.count_if(F.col("status") == "resolved").alias("resolved"))
+
+def incident_totals(notices: DataFrame, suppressed: DataFrame | None = None) -> DataFrame:
+    """opened (reminders count as openings), resolved and withheld, by target. suppressed: see suppressed_total."""
+    own = notices.groupBy("target").agg(F.count_if(F.col("status") == "firing").alias("opened"), F.count_if(F.col("status") == "resolved").alias("resolved"))
+    if suppressed is None:
+        return own.withColumn("suppressed", F.lit(0).cast("long"))
+    quiet = suppressed.groupBy("target").agg(F.sum("n").alias("suppressed"))
+    return own.join(quiet, "target", "full_outer").na.fill({"opened": 0, "resolved": 0, "suppressed": 0})
+
+
+def suppressed_total(
+    findings: DataFrame, maintenance: DataFrame, resolve_after: float = 90, sweep: float = 0, persist: float = 0
+) -> DataFrame:
+    """target, check, window and n: findings of open incidents that a maintenance window kept quiet."""
+    rows = suppressed_by(with_islands(findings, resolve_after, sweep), maintenance)
+    own = rows.filter(F.col("window").isNotNull() & (F.col("at") - F.col("began") >= int(persist * MICRO)))
+    return own.groupBy("target", "check", "window").agg(F.count(F.lit(1)).alias("n"))
+
+
+def incident_active(notices: DataFrame) -> DataFrame:
+    """target, variant, check, severity and active: 1 while the last notice fires, 0 once it resolves."""
+    own = notices.groupBy("target", "variant", "check", "severity")
+    return own.agg(F.max_by("status", F.struct("ts", (F.col("status") == "resolved").alias("r"), "vantage")).alias("s")).select(
+        "target", "variant", "check", "severity", (F.col("s") == "firing").cast("int").alias("active")
+    )
 
 
 def open_incidents(incidents: DataFrame, now: Column) -> DataFrame:
@@ -129,8 +221,32 @@ def open_incidents(incidents: DataFrame, now: Column) -> DataFrame:
 
 
 def save_snapshot(incidents: DataFrame, now: Column) -> DataFrame:
-    """Open incidents as a snapshot to write: version and saved_at beside their columns."""
-    return resolve(incidents, now).filter("open").drop("open").withColumn("version", F.lit(1)).withColumn("saved_at", now)
+    """Open incidents as a snapshot to write, in the order of their keys: version and saved_at beside their columns."""
+    own = resolve(incidents, now).filter("open").drop("open").withColumn("version", F.lit(1)).withColumn("saved_at", now)
+    return own.orderBy(*KEY, "first_seen")
+
+
+def write_snapshot(incidents: DataFrame, now: Column, path: str) -> bool:
+    """Writes the snapshot of ``now`` to a folder of its own under ``path`` unless the newest one there says the same; whether it wrote.
+
+    A new folder for each write leaves the one before whole if the write fails.
+    """
+    spark = incidents.sparkSession
+    own = save_snapshot(incidents, now)
+    try:
+        old = newest_snapshot(spark, path)
+    except AnalysisException:  # nothing written yet
+        old = None
+    if old is not None and not incidents_changed(old.drop("saved_at"), own.drop("saved_at")):
+        return False
+    at = spark.range(1).select(micros(now)).first()[0]
+    own.write.mode("overwrite").parquet(f"{path}/saved={at}")
+    return True
+
+
+def newest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    own = spark.read.option("basePath", path).parquet(f"{path}/saved=*")
+    return own.filter(F.col("saved") == own.agg(F.max("saved")).scalar()).drop("saved")
 
 
 def restore_snapshot(snapshot: DataFrame, now: Column, most_age: float = 3600) -> DataFrame:

@@ -13,59 +13,36 @@ SCHEMA = (
 )
 
 
-def window_active(ts: Column) -> Column:
-    """Whether a window's columns cover an instant: from start until before end, by date or by local clock.
-
-    A daily window that crosses midnight belongs to the weekday on which it opens.
-    """
-    one_off = (ts >= F.col("start")) & (ts < F.col("end"))
-    tz = F.coalesce("tz", F.lit("UTC"))
+def window_active(ts: Column, window: Column | None = None) -> Column:
+    """Whether a window, a struct or by default the row's own columns, covers an instant: from start until before end, by date or by
+    local clock. A daily window that crosses midnight belongs to the weekday on which it opens."""
+    own = (lambda c: F.col(f"`{c}`")) if window is None else (lambda c: window[c])
+    one_off = (ts >= own("start")) & (ts < own("end"))
+    tz = F.coalesce(own("tz"), F.lit("UTC"))
     minute, day = local_minute(ts, tz), local_weekday(ts, tz)
-    on = lambda d: (F.coalesce(F.size("days"), F.lit(0)) < 1) | F.array_contains("days", d)
-    opens, closes = F.col("daily_start_min"), F.col("daily_end_min")
+    on = lambda d: (F.coalesce(F.size(own("days")), F.lit(0)) < 1) | F.array_contains(own("days"), d)
+    opens, closes = own("daily_start_min"), own("daily_end_min")
     same_day = (opens < closes) & (minute >= opens) & (minute < closes) & on(day)
     over_night = (opens > closes) & (((minute >= opens) & on(day)) | ((minute < closes) & on((day + 6) % 7)))
-    return F.coalesce(F.when(F.col("start").isNotNull(), one_off).otherwise(same_day | over_night), F.lit(False))
+    return F.coalesce(F.when(own("start").isNotNull(), one_off).otherwise(same_day | over_night), F.lit(False))
 
 
-def suppressed_by(findings: DataFrame, maintenance: DataFrame, most_windows: int = 10_000) -> DataFrame:
-    """``findings`` with window: the name of the first window that covers each, null for none.
+FIELDS = ["ord", "name", "targets", "checks", "tz", "start", "end", "daily_start_min", "daily_end_min", "days"]
 
-    Windows are configuration. Up to ``most_windows`` are gathered into one array that every row tests; beyond, findings with an id
-    of their own meet the windows of their target in a join.
-    """
-    rows = maintenance.limit(most_windows + 1).count()
-    if rows <= most_windows:
-        listed = maintenance.select(F.struct("ord", "name", "targets", "checks", "tz", "start", "end", "daily_start_min", "daily_end_min", "days").alias("w"))
-        found = listed.agg(F.array_sort(F.collect_list("w")).alias("ws")).first()["ws"]
-        out = findings.withColumn("window", F.lit(None).cast("string"))
-        names = []
-        for w in found:
-            holds = _literal_window(w)
-            names.append(F.when(holds, F.lit(w["name"])))
-        return out.withColumn("window", F.coalesce(*names)) if names else out
-    own = findings.withColumn("__id", F.monotonically_increasing_id())
-    every = maintenance.withColumn("__target", F.explode_outer("targets"))
-    hit = own.alias("f").join(every.alias("m"), F.col("__target").isNull() | (F.col("f.target") == F.col("__target")))
-    hit = hit.filter(scope_contains(F.col("checks"), F.col("f.check")) & window_active(F.col("f.ts")))
-    first = hit.groupBy("__id").agg(F.min_by("m.name", "ord").alias("window"))
-    return own.join(first, "__id", "left").drop("__id")
 
+def suppressed_by(findings: DataFrame, maintenance: DataFrame) -> DataFrame:
+    """``findings`` with window: the name of the first window, in their order, that covers each; null for none.
 
-def _literal_window(w) -> Column:
-    """The predicate of one window on the columns of findings."""
-    holds = F.lit(True)
-    if w["targets"]:
-        holds &= F.col("target").isin(*w["targets"])
-    if w["checks"]:
-        holds &= F.col("check").isin(*w["checks"])
-    ts = F.col("ts")
-    if w["start"] is not None:
-        return holds & (ts >= F.lit(w["start"])) & (ts < F.lit(w["end"]))
-    tz = F.lit(w["tz"] or "UTC")
-    minute, day = local_minute(ts, tz), local_weekday(ts, tz)
-    days = w["days"] or list(range(7))
-    opens, closes = w["daily_start_min"], w["daily_end_min"]
-    if opens < closes:
-        return holds & (minute >= opens) & (minute < closes) & day.isin(*days)
-    return holds & (((minute >= opens) & day.isin(*days)) | ((minute < closes) & ((day + 6) % 7).isin(*days)))
+    Windows are configuration, and each finding tests those that concern its target: windows that name targets meet it by an equi-join
+    on the target, as one array for each; windows without targets come as one array, a scalar subquery. Nothing runs before an action.
+    """
+    packed = F.struct(*(F.col(f"`{c}`") for c in FIELDS)).alias("w")
+    general = maintenance.filter("coalesce(size(targets), 0) < 1").select(packed).agg(F.array_sort(F.collect_list("w")).alias("ws"))
+    named = maintenance.filter("size(targets) > 0").select(F.explode(F.array_distinct("targets")).alias("target"), packed)
+    named = named.groupBy("target").agg(F.array_sort(F.collect_list("w")).alias("__named"))
+    covers = lambda w: scope_contains(w["checks"], F.col("check")) & window_active(F.col("ts").cast("timestamp"), w)
+    first = lambda ws: F.get(F.filter(ws, covers), F.lit(0))
+    out = findings.join(named, "target", "left").withColumn("__general", general.scalar())
+    out = out.withColumn("__a", first(F.col("__named"))).withColumn("__b", first(F.col("__general")))
+    by_order = F.when(F.col("__a").isNull() | (F.col("__b.ord") < F.col("__a.ord")), F.col("__b.name")).otherwise(F.col("__a.name"))
+    return out.select(*(F.col(f"`{c}`") for c in findings.columns), by_order.alias("window"))

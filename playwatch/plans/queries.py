@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playwatch.functions import columns as C
-from playwatch.operators import crosspoll, dash, hls, incidents, maintenance, rules, transport, views
-from playwatch.plans import render
+from playwatch.operators import crosspoll, dash, decode, hls, incidents, maintenance, rules, transport, views
+from playwatch.plans import fetchlog, render
 from playwatch.sources.stored import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,10 +107,12 @@ def a11_findings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.findings_rollup(render.findings(spark, sf_dir)).withColumnRenamed("check", "check_name")
 
 
-@query(f"WITH {FINDINGS} SELECT target, check_ AS check_name, count(DISTINCT vantage) AS seen, 3 - count(DISTINCT vantage) AS silent FROM findings GROUP BY target, check_ HAVING count(DISTINCT vantage) < 3")
+@query("""WITH f AS (SELECT user_id::VARCHAR AS target, event_type AS check_, event_id % 3 AS vantage, value >= 100 AS bad FROM events),
+probed AS (SELECT target, count(DISTINCT vantage) AS n FROM f GROUP BY 1), seen AS (SELECT target, check_, count(DISTINCT vantage) AS n FROM f WHERE bad GROUP BY 1, 2)
+SELECT s.target, s.check_ AS check_name, s.n AS seen, p.n - s.n AS silent FROM seen s JOIN probed p ON s.target = p.target WHERE p.n > s.n""")
 def j13_regional_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = render.findings(spark, sf_dir)
-    return views.regional_divergence(own, own).select("target", F.col("check").alias("check_name"), "seen", "silent")
+    own = stored(render.seen_from(spark, sf_dir), "seen")
+    return views.regional_divergence(own.filter("severity = 'critical'"), own).select("target", F.col("check").alias("check_name"), "seen", "silent")
 
 
 @query(f"WITH {FINDINGS} SELECT epoch_us(time_bucket(INTERVAL '5 minutes', ts)) AS start, check_ AS check_name, severity, count(*) AS n, count(*) / 5.0::DOUBLE AS rate FROM findings GROUP BY ALL")
@@ -119,9 +121,10 @@ def x8_findings_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.unix_micros("start").alias("start"), F.col("check").alias("check_name"), "severity", "n", "rate")
 
 
-@query(f"WITH {FINDINGS} SELECT message FROM findings ORDER BY ts DESC, vantage, target, variant, check_ LIMIT 200")
+@query(f"WITH {FINDINGS} SELECT us_at, vantage, target, variant, check_ AS check_name, severity, message FROM findings ORDER BY ts DESC, vantage, target, variant, check_ LIMIT 200")
 def k6_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.recent(render.findings(spark, sf_dir), 200).select("message")
+    own = views.recent(render.findings(spark, sf_dir), 200)
+    return own.select(F.unix_micros("ts").alias("us_at"), "vantage", "target", "variant", F.col("check").alias("check_name"), "severity", "message")
 
 
 # Polls
@@ -158,8 +161,8 @@ def x3_not_advancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspoll.pdt_not_advancing(own, ["target", "variant"]).select("fetch_id")
 
 
-@query(f"""WITH {POLLS}, a AS (SELECT *, value >= 20 AS h, coalesce(lag(value >= 20) OVER (PARTITION BY target ORDER BY ts), false) AS b FROM polls),
-s AS (SELECT *, max(CASE WHEN h AND NOT b THEN ts END) OVER (PARTITION BY target ORDER BY ts) AS since FROM a)
+@query(f"""WITH {POLLS}, a AS (SELECT *, value >= 20 AS h, coalesce(lag(value >= 20) OVER (PARTITION BY target ORDER BY ts, fetch_id), false) AS b FROM polls),
+s AS (SELECT *, max(CASE WHEN h AND NOT b THEN ts END) OVER (PARTITION BY target ORDER BY ts, fetch_id) AS since FROM a)
 SELECT fetch_id FROM s WHERE h AND epoch_us(ts) - epoch_us(since) >= 7200000000""")
 def x9_sustained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspoll.sustained(render.polls(spark, sf_dir), ["target"], F.col("value") >= 20, 7200).select("fetch_id")
@@ -172,10 +175,12 @@ def x6_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("target", F.array_join(F.transform("values", lambda v: F.format_string("%.2f", v)), ",").alias("last_values"))
 
 
-@query(f"""WITH {POLLS}, s AS (SELECT *, epoch_us(ts) / 1e6 AS us_at, CAST(trunc(epoch_us(ts) / 1e6) AS BIGINT) AS sec FROM polls)
-SELECT fetch_id, count(*) OVER (PARTITION BY target ORDER BY sec RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) > 1 AS known FROM s""")
+@query(f"""WITH {POLLS}, s AS (SELECT *, epoch_us(ts) / 1e6 - 1704067200.0::DOUBLE AS at_s, CAST(trunc(epoch_us(ts) / 1e6 - 1704067200.0::DOUBLE) AS BIGINT) AS sec FROM polls),
+w AS (SELECT fetch_id, (regr_slope(value, at_s) OVER r) * 60 AS speed, (min(at_s) OVER r) = (max(at_s) OVER r) AS single FROM s WINDOW r AS (PARTITION BY target ORDER BY sec RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW))
+SELECT fetch_id, CASE WHEN NOT single THEN round(speed, 4) + 0.0 END AS speed FROM w""")
 def x7_edge_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crosspoll.edge_speed(render.polls(spark, sf_dir), ["target"], 86_400).select("fetch_id", F.col("speed").isNotNull().alias("known"))
+    own = crosspoll.edge_speed(render.polls(spark, sf_dir), ["target"], 86_400)
+    return own.select("fetch_id", (F.round("speed", 4) + F.lit(0.0)).alias("speed"))
 
 
 # HLS
@@ -200,24 +205,35 @@ def h6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LINES}, d AS (SELECT l_orderkey AS fetch_id, max(ord) AS last, count(*) AS n, sum(l_quantity) AS window_s, count(*) FILTER (l_returnflag = 'N') AS clear FROM lines GROUP BY 1)
 SELECT d.fetch_id, n AS n_segments, round(window_s, 3) AS window_s, clear, epoch_us(l.l_shipdate) + CAST(l.l_quantity * 1e6 AS BIGINT) AS edge FROM d JOIN lines l ON l.l_orderkey = d.fetch_id AND l.ord = d.last""")
 def x2_live_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = hls.hls_segments(render.hls_media_bodies(spark, sf_dir))
-    own = hls.window_seconds(segments).join(hls.clear_segments(segments), "fetch_id").join(hls.live_edge(segments), "fetch_id")
+    own = hls.segment_summary(render.hls_media_bodies(spark, sf_dir))
     return own.select("fetch_id", "n_segments", F.round("window_s", 3).alias("window_s"), "clear", F.unix_micros("edge").alias("edge"))
 
 
+@query(f"""WITH {LINES}, d AS (SELECT l_orderkey AS fetch_id, max(ord) AS last, sum(l_quantity) AS window_s, count(*) FILTER (l_returnflag = 'N') AS clear FROM lines GROUP BY 1)
+SELECT d.fetch_id, round(window_s, 3) AS window_s, clear, epoch_us(l.l_shipdate) + CAST(l.l_quantity * 1e6 AS BIGINT) AS edge FROM d JOIN lines l ON l.l_orderkey = d.fetch_id AND l.ord = d.last""")
+def a1_segment_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What x2_live_edge gives within rows, from a table of segments."""
+    segments = stored(hls.hls_segments(render.hls_media_bodies(spark, sf_dir)), "segments")
+    own = hls.window_seconds(segments).join(hls.clear_segments(segments), "fetch_id").join(hls.live_edge(segments), "fetch_id")
+    return own.select("fetch_id", F.round("window_s", 3).alias("window_s"), "clear", F.unix_micros("edge").alias("edge"))
+
+
 @query(f"""WITH {LINES}, k AS (SELECT l_orderkey AS fetch_id, l_returnflag AS f, min(ord) AS ord FROM lines WHERE l_returnflag <> 'N' GROUP BY 1, 2) SELECT fetch_id, 'https://k.example/' || f || '?a=1,2' AS uri, ord::INT AS ord FROM k""")
 def a4_distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hls.distinct_keys(hls.hls_keys(render.hls_media_bodies(spark, sf_dir))).select("fetch_id", "uri", "ord")
 
 
-@query("""SELECT p_size AS fetch_id, (row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1)::INT AS ord, 'v/' || p_partkey || '.m3u8' AS uri, p_partkey * 1000 AS bandwidth,
+PART_DOC = "p_size || '-' || (p_partkey // 1000)"
+
+
+@query(f"""SELECT {PART_DOC} AS fetch_id, (row_number() OVER (PARTITION BY {PART_DOC} ORDER BY p_partkey) - 1)::INT AS ord, 'v/' || p_partkey || '.m3u8' AS uri, p_partkey * 1000 AS bandwidth,
 (p_size * 16) || 'x' || (p_size * 9) AS resolution, p_brand AS audio_group, 'avc1.64001f,mp4a.40.2' AS codecs FROM part""")
 def h3_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hls.hls_variants(render.hls_master_bodies(spark, sf_dir)).select("fetch_id", "ord", "uri", "bandwidth", "resolution", "audio_group", "codecs")
 
 
-@query("""WITH v AS (SELECT DISTINCT p_size, p_brand FROM part), d AS (SELECT DISTINCT p_size, p_brand FROM part WHERE p_partkey % 2 = 0)
-SELECT v.p_size AS fetch_id, v.p_brand AS group_id FROM v ANTI JOIN d ON v.p_size = d.p_size AND v.p_brand = d.p_brand""")
+@query(f"""WITH v AS (SELECT DISTINCT {PART_DOC} AS doc, p_brand FROM part), d AS (SELECT DISTINCT {PART_DOC} AS doc, p_brand FROM part WHERE p_partkey % 2 = 0)
+SELECT v.doc AS fetch_id, v.p_brand AS group_id FROM v ANTI JOIN d ON v.doc = d.doc AND v.p_brand = d.p_brand""")
 def j2_missing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = render.hls_master_bodies(spark, sf_dir)
     poll = [F.lit(None).cast("timestamp").alias("ts"), *(F.lit("").alias(c) for c in ("vantage", "target", "variant"))]
@@ -225,7 +241,7 @@ def j2_missing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.missing_groups(variants, hls.hls_renditions(bodies)).select("fetch_id", "group_id")
 
 
-@query("""SELECT p_size AS fetch_id, p_brand AS group_id, p_type AS name, 'audio/' || p_brand || '/' || p_type AS label FROM (SELECT DISTINCT p_size, p_brand, p_type FROM part WHERE p_partkey % 2 = 0)""")
+@query(f"""SELECT doc AS fetch_id, p_brand AS group_id, p_type AS name, 'audio/' || p_brand || '/' || p_type AS label FROM (SELECT DISTINCT {PART_DOC} AS doc, p_brand, p_type FROM part WHERE p_partkey % 2 = 0)""")
 def h4_renditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = hls.hls_renditions(render.hls_master_bodies(spark, sf_dir))
     return own.select("fetch_id", "group_id", "name", hls.rendition_label(F.col("type"), F.col("group_id"), F.col("name"), F.col("language")).alias("label"))
@@ -259,13 +275,17 @@ def ladder_reps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(dash.representations(dash.adaptation_sets(dash.periods(dash.mpd(render.mpd_ladders(spark, sf_dir))))), "representations")
 
 
-@query("""WITH r AS (SELECT *, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) - 1 AS s, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey DESC) AS n FROM customer)
-SELECT c_mktsegment AS fetch_id, s::INT AS set_ord, 'c' || c_custkey AS rep_id, 'video/n' || c_nationkey || '/c' || c_custkey AS label, (c_custkey * 10 + 1)::BIGINT AS bandwidth FROM r WHERE n <= 2""")
+CUSTOMER_DOC = "c_mktsegment || '-' || (c_custkey // 1000)"
+
+
+@query(f"""WITH d AS (SELECT *, {CUSTOMER_DOC} AS doc FROM customer),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY doc ORDER BY c_nationkey) - 1 AS s, row_number() OVER (PARTITION BY doc, c_nationkey ORDER BY c_custkey DESC) AS n FROM d)
+SELECT doc AS fetch_id, s::INT AS set_ord, 'c' || c_custkey AS rep_id, 'video/n' || c_nationkey || '/c' || c_custkey AS label, (c_custkey * 10 + 1)::BIGINT AS bandwidth FROM r WHERE n <= 2""")
 def k3_top_per_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dash.select_representations(ladder_reps(spark, sf_dir), 2).select("fetch_id", "set_ord", "rep_id", "label", "bandwidth")
 
 
-@query("SELECT c_mktsegment AS fetch_id, 'c' || c_custkey AS rep_id, i + 3 AS number, i * 40 AS time, 'https://cdn.example/c' || c_custkey || '-' || (i + 3) || '.m4s' AS uri FROM customer, range(13, 20) t(i)")
+@query(f"SELECT {CUSTOMER_DOC} AS fetch_id, 'c' || c_custkey AS rep_id, i + 3 AS number, i * 40 AS time, 'https://cdn.example/c' || c_custkey || '-' || (i + 3) || '.m4s' AS uri FROM customer, range(13, 20) t(i)")
 def d17_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     reps = ladder_reps(spark, sf_dir)
     own = dash.dash_segments(reps).join(reps.select(*dash.REP_KEY, "rep_id"), dash.REP_KEY)
@@ -275,19 +295,71 @@ def d17_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Transport streams
 
 PACKETS = f"{LINES}, packets AS (SELECT l_orderkey AS f, l_suppkey % 3 + 32 AS pid, l_linenumber % 16 AS cc, ord FROM lines)"
+COUNTED = f"""{PACKETS}, a AS (SELECT *, lag(cc) OVER w AS p FROM packets WINDOW w AS (PARTITION BY f, pid ORDER BY ord)),
+b AS (SELECT *, coalesce(p = cc, false) AS rep, coalesce(p <> cc, false) AS step FROM a), c AS (SELECT *, sum(step::INT) OVER (PARTITION BY f, pid ORDER BY ord) AS run FROM b),
+d AS (SELECT *, sum(rep::INT) OVER (PARTITION BY f, pid, run ORDER BY ord) AS nth FROM c),
+counted AS (SELECT f, pid, count(*) AS packets, count(*) FILTER ((step AND cc <> (p + 1) % 16) OR (rep AND nth % 2 = 0)) AS errors FROM d GROUP BY f, pid)"""
 
 
-@query(f"""WITH {PACKETS}, a AS (SELECT *, lag(cc) OVER w AS p FROM packets WINDOW w AS (PARTITION BY f, pid ORDER BY ord)),
-b AS (SELECT *, coalesce(p = cc, false) AS rep, coalesce(p <> cc, false) AS step FROM a), c AS (SELECT *, sum(step::INT) OVER (PARTITION BY f, pid ORDER BY ord) AS run FROM b),
-d AS (SELECT *, sum(rep::INT) OVER (PARTITION BY f, pid, run ORDER BY ord) AS nth FROM c)
-SELECT f AS fetch_id, pid::INT AS pid, count(*) AS packets, count(*) FILTER ((step AND cc <> (p + 1) % 16) OR (rep AND nth % 2 = 0)) AS errors FROM d GROUP BY f, pid""")
+@query(f"""WITH {COUNTED}, every AS (SELECT f, pid, packets, errors FROM counted UNION ALL SELECT DISTINCT f, 0, 1, 0 FROM packets WHERE f % 8 <> 4 UNION ALL SELECT DISTINCT f, 256, 1, 0 FROM packets WHERE f % 8 <> 5)
+SELECT f AS fetch_id, pid::INT AS pid, packets::BIGINT AS packets, errors::BIGINT AS errors FROM every WHERE f % 8 <> 6""")
 def t4_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport.ts_pid_stats(transport.ts_packets(render.ts_bytes(spark, sf_dir))).select("fetch_id", "pid", "packets", "errors")
+    return transport.ts_pid_stats(render.ts_bytes(spark, sf_dir)).select("fetch_id", "pid", "packets", "errors")
 
 
-@query("SELECT l_orderkey AS fetch_id, true AS aligned, false AS truncated, count(*) AS packets, 0::BIGINT AS sync_errors, false AS has_pat FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1")
+@query(f"""WITH {COUNTED}, o AS (SELECT f, f % 8 AS k, sum(packets) AS n, sum(errors) AS e FROM counted GROUP BY f)
+SELECT f AS fetch_id, k <> 6 AS aligned, k = 1 AS truncated, CASE WHEN k = 6 THEN 0 ELSE n + 3 + (k <> 4)::INT + (k <> 5)::INT + (k IN (2, 3))::INT END::BIGINT AS packets, (k = 3)::BIGINT AS sync_errors,
+(k = 2)::BIGINT AS transport_errors, CASE WHEN k = 6 THEN 0 ELSE e END::BIGINT AS continuity_errors, k NOT IN (4, 6) AS has_pat, k NOT IN (4, 5, 6) AS has_pmt FROM o""")
 def t8_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport.ts_analysis(render.ts_bytes(spark, sf_dir)).select("fetch_id", "aligned", "truncated", "packets", "sync_errors", "has_pat")
+    names = ["aligned", "truncated", "packets", "sync_errors", "transport_errors", "continuity_errors", "has_pat", "has_pmt"]
+    return transport.ts_analysis(render.ts_bytes(spark, sf_dir)).select("fetch_id", *names)
+
+
+@query(f"""WITH {COUNTED}, w AS (SELECT f, max_by(pid, (errors, -pid)) AS pid, max(errors) AS errors FROM counted WHERE errors > 0 AND f % 8 <> 6 GROUP BY f)
+SELECT f AS fetch_id, pid::INT AS pid, CASE WHEN pid = 32 AND f % 8 NOT IN (4, 5) THEN 'H.264' ELSE 'PID 0x00' || CASE pid WHEN 32 THEN '20' WHEN 33 THEN '21' ELSE '22' END END AS name, errors::BIGINT AS errors FROM w""")
+def t9_worst_pid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = transport.with_tables(transport.with_pids(render.ts_bytes(spark, sf_dir))).select("fetch_id", "pids", "pmts")
+    own = stored(own, "transport")
+    return transport.worst_pid(transport.name_pid(transport.ts_pid_stats(own), transport.ts_streams(own))).select("fetch_id", "pid", "name", "errors")
+
+
+# Rules: logs with planted faults; SQL says which findings must come out, and no others may
+
+
+def rule_rows(found: DataFrame) -> DataFrame:
+    return found.select("target", "vantage", "variant", F.col("check").alias("check_name"), "severity", F.unix_seconds("ts").alias("at"))
+
+
+@query(fetchlog.expected_sql(fetchlog.HLS, fetchlog.HLS_FAULTS))
+def rules_hls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, targets = fetchlog.hls_log(spark, sf_dir)
+    return rule_rows(decode.findings_of(decode.decode_fetches(stored(log, "log"), stored(targets, "targets"), formats=("hls",))))
+
+
+@query(fetchlog.expected_sql(fetchlog.DASH, fetchlog.DASH_FAULTS))
+def rules_dash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, targets = fetchlog.dash_log(spark, sf_dir)
+    return rule_rows(decode.findings_of(decode.decode_fetches(stored(log, "log"), stored(targets, "targets"), formats=("dash",))))
+
+
+@query(f"""SELECT 't' || o_orderkey AS target, x.check_name, x.severity FROM orders
+JOIN (VALUES {", ".join(f"({f}, '{c}', '{v}')" for f, found in fetchlog.MEDIA.items() for c, v in found)}) x(f, check_name, severity) ON o_orderkey % {fetchlog.MEDIA_FAULTS} = x.f""")
+def rules_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, targets, probes, logs = fetchlog.media_log(spark, sf_dir)
+    tables = decode.decode_fetches(stored(log, "log"), targets, media_probes=stored(probes, "probes"), content_logs=stored(logs, "logs"), freeze_bar=0.5, formats=("hls",))
+    names = ["media_unreadable", "no_streams", "audio_track_missing", "video_track_missing", "codec_mismatch", "resolution_mismatch", "black_frames", "frozen_video", "silent_audio"]
+    return rule_rows(decode.findings_of(tables, names)).select("target", "check_name", "severity")
+
+
+@query(f"""WITH {COUNTED}, o AS (SELECT f, f % 8 AS k, sum(errors) AS e FROM counted GROUP BY f),
+x AS (SELECT f, CASE k WHEN 1 THEN 'ts_truncated' WHEN 2 THEN 'ts_transport_errors' WHEN 3 THEN 'ts_sync_loss' WHEN 4 THEN 'ts_pat_missing' WHEN 5 THEN 'ts_pmt_missing' WHEN 6 THEN 'ts_sync_loss' END AS c FROM o
+UNION ALL SELECT f, 'ts_continuity_errors' FROM o WHERE e > 0 AND k <> 6) SELECT f::VARCHAR AS target, c AS check_name, 'critical' AS severity FROM x WHERE c IS NOT NULL""")
+def rules_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = render.ts_bytes(spark, sf_dir).select("*", F.lit("v").alias("vantage"), F.col("fetch_id").cast("string").alias("target"), F.lit("direct").alias("variant"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    tables = transport.ts_analysis(own, "vantage", "target", "variant", "ts", "pids", "pmts")
+    tables = {"ts": stored(tables, "transport")}
+    tables["worst"] = transport.worst_pid(transport.name_pid(transport.ts_pid_stats(tables["ts"]), transport.ts_streams(tables["ts"])))
+    return rule_rows(decode.findings_of(tables)).select("target", "check_name", "severity")
 
 
 # Headers, codecs, configuration, views
@@ -356,7 +428,13 @@ def g1_prober_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("vantage", F.unix_micros(F.col("last_ts").cast("timestamp")).alias("last_us"))
 
 
-@query("""WITH d AS (SELECT url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS head, page_id FROM pages) SELECT page_id, head || '/a/c?q=1' AS resolved FROM d WHERE head <> ''""")
+REFERENCES = ["/a/b/../c?q=1", "x/./y.m4s", "//other.example/z", "?only=query", "", "http://abs.example/p"]
+
+
+@query(r"""WITH d AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+):', 1) AS s, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS head, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+regexp_extract(url, '^[^?#]*(\?[^#]*)?', 1) AS q FROM pages), e AS (SELECT *, regexp_replace(path, '[^/]*$', '') AS dir FROM d)
+SELECT page_id, unnest([1, 2, 3, 4, 5, 6]) AS ref, unnest([head || '/a/c?q=1', head || CASE WHEN dir = '' THEN '/' ELSE dir END || 'x/y.m4s', s || '://other.example/z', head || path || '?only=query', head || path || q, 'http://abs.example/p']) AS resolved
+FROM e""")
 def d4_resolve_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = render.table(spark, sf_dir, "pages").filter(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1) != "")
-    return own.select("page_id", C.resolve_url(F.col("url"), F.lit("/a/b/../c?q=1")).alias("resolved"))
+    own = render.table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(F.array(*(F.lit(r) for r in REFERENCES))).alias("i", "r"))
+    return own.select("page_id", (F.col("i") + 1).alias("ref"), C.resolve_url(F.col("url"), F.col("r")).alias("resolved"))

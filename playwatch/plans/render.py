@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Keys in a stretch: documents are rendered by stretches too, so that more rows are more documents, not longer ones.
+STRETCH = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; its zoneless timestamps are read as UTC, which sessions are pinned to."""
     own = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,6 +27,13 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def seen_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as findings again, where every target is probed from several vantages: the event's number says which."""
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("event "), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("message"))
+    own = findings(spark, sf_dir).drop("vantage").join(e, "message")
+    return own.withColumn("vantage", F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string"))).drop("event_id")
+
+
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as polls of a key: sequence floor(value / 10), edge the event's own second."""
     e = table(spark, sf_dir, "events")
@@ -51,15 +62,15 @@ def hls_media_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hls_master_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A master for each part size: parts are variants with a group by brand; suppliers of like number declare some groups."""
-    p = table(spark, sf_dir, "part")
+    """A master for each part size and stretch of part keys: parts are variants with a group by brand; parts of even number declare some groups."""
+    p = table(spark, sf_dir, "part").withColumn("stretch", F.floor(F.col("p_partkey") / STRETCH))
     inf = F.concat(F.lit("#EXT-X-STREAM-INF:BANDWIDTH="), (F.col("p_partkey") * 1000).cast("string"), F.lit(',CODECS="avc1.64001f,mp4a.40.2",RESOLUTION='), (F.col("p_size") * 16).cast("string"), F.lit("x"), (F.col("p_size") * 9).cast("string"), F.lit(',AUDIO="'), "p_brand", F.lit('"\nv/'), F.col("p_partkey").cast("string"), F.lit(".m3u8"))
-    variants = p.groupBy("p_size").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", inf.alias("t")))), lambda x: x["t"]), "\n").alias("vs"))
+    variants = p.groupBy("p_size", "stretch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", inf.alias("t")))), lambda x: x["t"]), "\n").alias("vs"))
     media = F.concat(F.lit('#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="'), "p_brand", F.lit('",NAME="'), "p_type", F.lit('",LANGUAGE="en",DEFAULT=YES,URI="a.m3u8"'))
-    declared = p.filter(F.col("p_partkey") % 2 == 0).select("p_size", "p_brand", "p_type", media.alias("m")).distinct()
-    groups = declared.groupBy("p_size").agg(F.array_join(F.array_sort(F.collect_list("m")), "\n").alias("ms"))
-    own = variants.join(groups, "p_size", "left")
-    return own.select(F.col("p_size").alias("fetch_id"), F.concat_ws("\n", F.lit("#EXTM3U"), "ms", "vs").alias("body"))
+    declared = p.filter(F.col("p_partkey") % 2 == 0).select("p_size", "stretch", "p_brand", "p_type", media.alias("m")).distinct()
+    groups = declared.groupBy("p_size", "stretch").agg(F.array_join(F.array_sort(F.collect_list("m")), "\n").alias("ms"))
+    own = variants.join(groups, ["p_size", "stretch"], "left")
+    return own.select(F.concat_ws("-", "p_size", "stretch").alias("fetch_id"), F.concat_ws("\n", F.lit("#EXTM3U"), "ms", "vs").alias("body"))
 
 
 def mpd_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,23 +89,42 @@ def mpd_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mpd_ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dynamic, number-addressed MPD for each customer segment and nation: customers are representations in sets by nation."""
-    c = table(spark, sf_dir, "customer")
+    """A dynamic, number-addressed MPD for each market segment and stretch of customer keys: customers are representations in sets by nation."""
+    c = table(spark, sf_dir, "customer").withColumn("stretch", F.floor(F.col("c_custkey") / STRETCH))
     rep = F.concat(F.lit('<Representation id="c'), F.col("c_custkey").cast("string"), F.lit('" bandwidth="'), (F.col("c_custkey") * 10 + 1).cast("string"), F.lit('" codecs="avc1"/>'))
-    sets = c.groupBy("c_mktsegment", "c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", rep.alias("r")))).alias("t"))
+    sets = c.groupBy("c_mktsegment", "stretch", "c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", rep.alias("r")))).alias("t"))
     text = F.concat(F.lit('<AdaptationSet contentType="video" lang="n'), F.col("c_nationkey").cast("string"), F.lit('">'), F.array_join(F.transform("t", lambda x: x["r"]), ""), F.lit("</AdaptationSet>"))
-    docs = sets.groupBy("c_mktsegment").agg(F.array_sort(F.collect_list(F.struct("c_nationkey", text.alias("a")))).alias("t"))
+    docs = sets.groupBy("c_mktsegment", "stretch").agg(F.array_sort(F.collect_list(F.struct("c_nationkey", text.alias("a")))).alias("t"))
     head = '<MPD type="dynamic" availabilityStartTime="2024-01-01T00:00:00Z" timeShiftBufferDepth="PT30S" minimumUpdatePeriod="PT2S"><BaseURL>https://cdn.example/a/</BaseURL><Period start="PT10S"><SegmentTemplate timescale="10" duration="40" startNumber="3" media="../$RepresentationID$-$Number$.m4s"/>'
-    return docs.select(F.col("c_mktsegment").alias("fetch_id"), F.lit("https://o.example/m.mpd").alias("url"), F.lit("2024-01-01 00:01:33").cast("timestamp").alias("ts"), F.concat(F.lit(head), F.array_join(F.transform("t", lambda x: x["a"]), ""), F.lit("</Period></MPD>")).alias("body"))
+    return docs.select(F.concat_ws("-", "c_mktsegment", "stretch").alias("fetch_id"), F.lit("https://o.example/m.mpd").alias("url"), F.lit("2024-01-01 00:01:33").cast("timestamp").alias("ts"), F.concat(F.lit(head), F.array_join(F.transform("t", lambda x: x["a"]), ""), F.lit("</Period></MPD>")).alias("body"))
+
+
+#: Faults of transport streams, by order key: none, a partial packet, a corrupt one, a lost sync byte, no PAT, no PMT, no sync at all, a grid that begins late.
+TS_FAULTS = 8
+PAT = "0000b00d0001c100000001e10000000000"
+PMT = "0002b0120001c10000e020f0001be020f00000000000"
+
+
+def packet(pid: Column | int, cc: Column | int = 0, flags: int = 0, payload: str = "", sync: str = "47") -> Column:
+    """Hex of a packet with a payload; flags: the bits above the PID."""
+    number = lambda x: F.lit(x) if isinstance(x, int) else x
+    head = F.concat(F.lit(sync), F.lpad(F.hex((number(pid) + flags * 256).cast("long")), 4, "0"), F.lit("1"), F.hex(number(cc).cast("long")))
+    return F.concat(head, F.rpad(F.lit(payload), 368, "f" if payload else "0"))
 
 
 def ts_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A transport stream for each order: a packet for each line item, PID by supplier, counter by line number."""
+    """A transport stream for each order, with the fault of its key: a PAT, a PMT, three null packets, and a packet for each line item,
+    PID by supplier, counter by line number."""
     own = lines(spark, sf_dir)
-    pid = F.col("l_suppkey") % 3 + 32
-    header = F.concat(F.lit("47"), F.lpad(F.hex(pid), 4, "0"), F.lit("1"), F.hex(F.col("l_linenumber").cast("long") % 16), F.repeat(F.lit("00"), F.lit(184)))
-    packets = own.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("ord", header.alias("h")))).alias("t"))
-    return packets.select(F.col("l_orderkey").alias("fetch_id"), F.unhex(F.array_join(F.transform("t", lambda x: x["h"]), "")).alias("data"))
+    each = packet((F.col("l_suppkey") % 3 + 32).cast("int"), (F.col("l_linenumber") % 16).cast("int"))
+    packets = own.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("ord", each.alias("h")))).alias("t"))
+    f = F.col("l_orderkey") % TS_FAULTS
+    text = F.concat(
+        F.when(f == 7, "000000").otherwise(""), F.when(f == 4, "").otherwise(packet(0, flags=0x40, payload=PAT)), F.when(f == 5, "").otherwise(packet(256, flags=0x40, payload=PMT)),
+        *(packet(8191) for _ in range(3)), F.array_join(F.transform("t", lambda x: x["h"]), ""), F.when(f == 2, packet(100, flags=0x80)).when(f == 3, packet(101, sync="00")).otherwise(""),
+        F.when(f == 1, "47" + "00" * 9).otherwise(""),
+    )
+    return packets.select(F.col("l_orderkey").alias("fetch_id"), F.unhex(F.when(f == 6, F.repeat(F.lit("00"), F.length(text).cast("int"))).otherwise(text)).alias("data"))
 
 
 def windows(spark: SparkSession) -> DataFrame:

@@ -124,23 +124,26 @@ def test_transport_tables(spark):
     pmt = bytes([0, 2, 0xB0, 18, 0, 1, 0xC1, 0, 0, 0xE0, 101, 0xF0, 0, 0x1B, 0xE0, 101, 0xF0, 0, 0, 0, 0, 0])
     start = lambda pid, body: bytes([0x47, 0x40 | pid >> 8, pid & 255, 0x10]) + body.ljust(184, b"\xff")
     df = spark.createDataFrame([(1, bytearray(start(0, pat) + start(256, pmt) + packet(1, 101) + packet(5, 101)))], "fetch_id int, data binary")
-    packets = transport.ts_packets(df)
-    streams = transport.ts_streams(packets)
+    streams = transport.ts_streams(df)
     assert [(r.pid, r.type, r.pcr_pid) for r in streams.collect()] == [(101, 27, 101)]
     got = transport.ts_analysis(df).first()
     assert got.has_pat and got.has_pmt and got.continuity_errors == 1
-    worst = transport.worst_pid(transport.name_pid(transport.ts_pid_stats(packets), streams)).first()
+    assert [(r.i, r.pid, r.pusi, r.cc) for r in transport.ts_packets(df).orderBy("i").collect()] == [(0, 0, True, 0), (1, 256, True, 0), (2, 101, False, 1), (3, 101, False, 5)]
+    # a program map before the table that names its PID does not count
+    early = spark.createDataFrame([(1, bytearray(start(256, pmt) + start(0, pat) + packet(1, 101)))], "fetch_id int, data binary")
+    assert transport.ts_streams(early).count() == 0 and not transport.ts_analysis(early).first().has_pmt
+    worst = transport.worst_pid(transport.name_pid(transport.ts_pid_stats(df), streams)).first()
     assert (worst.pid, worst.name) == (101, "H.264")
 
 
 def test_rules_fire_and_stay_silent(spark):
     poll = "fetch_id int, poll_id int, vantage string, target string, variant string, kind string, ts timestamp, url string, status int, error string, body string, body_len long"
     rows = [(i, i, "v", "t", "", "manifest", None, "u", s, e, "#EXTINF", 9) for i, (s, e) in enumerate([(200, None), (404, None), (200, "refused")])]
-    found = rules.run_rules(["manifest_fetch", "unknown_playlist"], {"fetches": spark.createDataFrame(rows, poll)}).collect()
+    found = rules.run_rules(["manifest_fetch"], {"fetches": spark.createDataFrame(rows, poll)}).collect()
     assert sorted(r.message for r in found) == ["refused for u", "status 404 for u"]
     bodies = spark.createDataFrame([(1, MEDIA)], "fetch_id int, body string")
     fetches = spark.createDataFrame([(1, 1, "v", "t", "", "media", None, "u", 200, None, "", 9)], poll)
-    media = rules.with_poll(hls.hls_media(bodies).join(hls.window_seconds(hls.hls_segments(bodies)), "fetch_id"), fetches)
+    media = rules.with_poll(hls.hls_media(bodies).join(hls.segment_summary(bodies), "fetch_id"), fetches)
     targets = spark.createDataFrame([("t", True, 60.0)], "name string, expect_live boolean, min_window_s double")
     got = rules.run_rules(["targetduration_missing", "hls_no_segments", "hls_short_window", "unexpected_endlist"], {"media": media, "targets": targets}).collect()
     assert [r.check for r in got] == ["short_window"]
