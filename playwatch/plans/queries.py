@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playwatch.functions import columns as C
-from playwatch.operators import crosspoll, dash, decode, hls, incidents, maintenance, rules, transport, views
+from playwatch.operators import crosspoll, dash, decode, gauges, hls, incidents, maintenance, rules, transport, views
 from playwatch.plans import fetchlog, render
 from playwatch.sources.stored import stored
 
@@ -91,7 +91,17 @@ def i4_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.unix_micros("ts").alias("us_at"), "vantage", "target", F.col("check").alias("check_name"), "severity", "status", "count")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PLAIN}, {CLOCKS % 'islands'}, judged AS (SELECT *, {MATCHED} IS NOT NULL AS quiet, row_number() OVER (PARTITION BY {KEYS}, island ORDER BY us_at, message) AS nth,
+  min(us_at) OVER (PARTITION BY {KEYS}, island) AS began FROM clocked),
+due AS (SELECT * FROM judged WHERE NOT quiet AND us_at - began >= 600000000),
+chain AS (SELECT vantage, target, check_, island, min(nth) AS nth, min(us_at) AS us_at FROM due GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT c.vantage, c.target, c.check_, c.island, min(d.nth), min(d.us_at) FROM chain c JOIN due d ON c.vantage = d.vantage AND c.target = d.target AND c.check_ = d.check_ AND c.island = d.island
+  WHERE d.us_at >= c.us_at + 10800000000 GROUP BY 1, 2, 3, 4),
+ended AS (SELECT vantage, target, check_, island, max(us_at) AS ended, count(*) AS n, max_by(severity, (us_at, message)) AS severity FROM judged GROUP BY 1, 2, 3, 4)
+SELECT j.us_at, j.vantage, j.target, j.check_ AS check_name, j.severity, 'firing' AS status, j.nth::BIGINT AS count FROM chain c
+JOIN judged j ON c.vantage = j.vantage AND c.target = j.target AND c.check_ = j.check_ AND c.island = j.island AND c.nth = j.nth
+UNION ALL SELECT e.ended + {DAY}::BIGINT * 1000000, e.vantage, e.target, e.check_, e.severity, 'resolved', e.n::BIGINT FROM ended e
+SEMI JOIN chain c ON c.vantage = e.vantage AND c.target = e.target AND c.check_ = e.check_ AND c.island = e.island""")
 def i5_reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = incidents.notifications(render.findings(spark, sf_dir), render.windows(spark), resolve_after=DAY, persist=600, repeat=3 * 3600)
     return own.select(F.unix_micros("ts").alias("us_at"), "vantage", "target", F.col("check").alias("check_name"), "severity", "status", "count")
@@ -399,27 +409,93 @@ def j9_diff_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.diff_targets(old, new)
 
 
-SAMPLES = "samples AS (SELECT ts, 'v' || (user_id % 3) AS vantage, user_id::VARCHAR AS target, '' AS variant, CASE event_type WHEN 'view' THEN 'up' ELSE event_type END AS name, value FROM events)"
+SAMPLES = """samples AS (SELECT ts, 'v' || (user_id % 3) AS vantage, user_id::VARCHAR AS target, CASE event_type WHEN 'view' THEN '' WHEN 'error' THEN 's2' ELSE 's1' END AS variant,
+  CASE event_type WHEN 'view' THEN 'probe_up' WHEN 'click' THEN 'segment_count' WHEN 'signup' THEN 'stream_live' WHEN 'error' THEN 'variant_up' ELSE 'segment_ttfb_seconds' END AS name,
+  CASE WHEN event_type IN ('view', 'error', 'signup') THEN (value >= 20)::INT::DOUBLE WHEN event_type = 'click' THEN floor(value / 30) ELSE value END AS value FROM events)"""
 
 
 def gauge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as gauges: views say whether a target can be reached, the others speak of two streams."""
     e = render.table(spark, sf_dir, "events")
-    name = F.when(F.col("event_type") == "view", "up").otherwise(F.col("event_type"))
-    return e.select("ts", F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("vantage"), F.col("user_id").cast("string").alias("target"), F.lit("").alias("variant"), name.alias("name"), "value", F.lit("gauge").alias("kind"))
+    kind = F.col("event_type")
+    name = F.when(kind == "view", "probe_up").when(kind == "click", "segment_count").when(kind == "signup", "stream_live").when(kind == "error", "variant_up").otherwise("segment_ttfb_seconds")
+    value = F.when(kind.isin("view", "error", "signup"), (F.col("value") >= 20).cast("double")).when(kind == "click", F.floor(F.col("value") / 30).cast("double")).otherwise(F.col("value"))
+    variant = F.when(kind == "view", "").when(kind == "error", "s2").otherwise("s1")
+    return e.select("ts", F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("vantage"), F.col("user_id").cast("string").alias("target"), variant.alias("variant"), name.alias("name"), value.alias("value"), F.lit("gauge").alias("kind"))
 
 
-@query(f"WITH {SAMPLES} SELECT vantage, target, name, max_by(value, (ts, value)) AS value FROM samples GROUP BY ALL")
+@query(f"WITH {SAMPLES} SELECT vantage, target, variant, name, max_by(value, (ts, value)) AS value FROM samples GROUP BY ALL")
 def a10_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.current_gauges(gauge_samples(spark, sf_dir)).select("vantage", "target", "name", "value")
+    return views.current_gauges(gauge_samples(spark, sf_dir)).select("vantage", "target", "variant", "name", "value")
+
+
+NOW = "2024-01-20"
+STATUS = f"""WITH {SAMPLES}, {PLAIN}, g AS (SELECT target, variant, name, max_by(value, (ts, value)) AS value FROM samples GROUP BY ALL),
+v AS (SELECT target, variant, max(CASE WHEN name = 'probe_up' THEN (value <> 0)::INT END) AS probe, max(CASE WHEN name = 'variant_up' THEN (value <> 0)::INT END) AS own,
+  max(CASE WHEN name = 'segment_count' THEN value END) AS n, max(CASE WHEN name = 'stream_live' THEN (value <> 0)::INT END) AS live, max(CASE WHEN name = 'segment_ttfb_seconds' THEN value END) AS ttfb FROM g GROUP BY 1, 2),
+s AS (SELECT target, max(CASE WHEN variant = '' THEN probe END) = 1 AS up, count(*) FILTER (variant <> '') AS streams, count(*) FILTER (variant <> '' AND coalesce(own = 1, n > 0, false)) AS streams_up,
+  max_by(live, variant) FILTER (live IS NOT NULL) = 1 AS live, coalesce(max(ttfb) FILTER (ttfb > 0), 0) AS ttfb FROM v GROUP BY 1),
+inc AS (SELECT target, check_, max_by(severity, (us_at, message)) AS severity, max_by(message, (us_at, message)) AS message, min(us_at) AS first_seen, max(us_at) + {DAY}::BIGINT * 1000000 AS ends,
+  max(us_at) FILTER (severity = 'critical') IS NOT NULL AS announced FROM islands GROUP BY {KEYS}, island),
+running AS (SELECT * FROM inc WHERE ends > epoch_us(TIMESTAMP '{NOW}')),
+f AS (SELECT target, count(*) AS firing, arg_min(severity, (CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, first_seen, check_)) AS worst,
+  arg_min(message, (CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, first_seen, check_)) AS message FROM running GROUP BY 1)"""
+
+
+def status_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Status of every target, and incidents; those that ever were critical count as announced."""
+    samples = gauge_samples(spark, sf_dir)
+    current = views.current_gauges(samples).select("target", "variant", "name", "value")
+    targets = current.select(F.col("target").alias("name")).distinct()
+    found = render.findings(spark, sf_dir)
+    told = incidents.with_islands(found, DAY, 0).filter("severity = 'critical'").select(*incidents.KEY, F.timestamp_micros("began").alias("first_seen"), F.lit("firing").alias("status"))
+    own = incidents.resolve(incidents.incidents(found, resolve_after=DAY), F.lit(NOW).cast("timestamp"))
+    own = stored(incidents.announced(own, told), "incidents")
+    return stored(views.status(targets, current, own, history=samples), "status"), own
+
+
+@query(f"""{STATUS} SELECT (SELECT count(*) FROM s) AS targets, (SELECT count(*) FILTER (up) FROM s) AS up, (SELECT sum(streams)::BIGINT FROM s) AS streams, (SELECT sum(streams_up)::BIGINT FROM s) AS streams_up,
+(SELECT count(*) FILTER (announced) FROM running) AS firing, (SELECT count(*) FILTER (NOT announced) FROM running) AS suppressed, (SELECT count(*) FROM f) AS in_trouble""")
+def g7_status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.status_summary(*status_tables(spark, sf_dir))
 
 
-@query(f"""WITH {SAMPLES}, g AS (SELECT target, name, max_by(value, (ts, value)) AS value FROM samples GROUP BY ALL),
-t AS (SELECT target, max(CASE WHEN name = 'up' THEN (value <> 0)::INT END) AS up FROM g GROUP BY target) SELECT count(*) AS targets, count(*) FILTER (up = 1) AS up FROM t""")
-def g7_status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gauges = views.current_gauges(gauge_samples(spark, sf_dir)).select("target", "variant", "name", "value")
-    targets = gauges.select(F.col("target").alias("name")).distinct()
-    none = incidents.resolve(incidents.incidents(render.findings(spark, sf_dir), resolve_after=0), F.lit("2100-01-01").cast("timestamp"))
-    return views.status_summary(views.status(targets, gauges, none)).select("targets", "up")
+@query(f"""{STATUS}, r AS (SELECT target, value, row_number() OVER (PARTITION BY target ORDER BY ts DESC, value DESC) AS n FROM samples WHERE name = 'segment_ttfb_seconds'),
+t AS (SELECT target, array_to_string(list(printf('%.2f', value) ORDER BY n DESC), ',') AS line FROM r WHERE n <= 60 GROUP BY 1 HAVING count(*) >= 2)
+SELECT s.target, s.up, s.live, s.streams AS n_streams, s.streams_up, coalesce(f.firing, 0) AS firing, f.worst, coalesce(t.line, '') AS trend FROM s LEFT JOIN f ON s.target = f.target LEFT JOIN t ON s.target = t.target""")
+def g7_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, _ = status_tables(spark, sf_dir)
+    first = F.get(F.filter("streams", lambda s: s["variant"] == "s1"), F.lit(0))["trends"]
+    line = F.get(F.transform(F.filter(first, lambda t: t["key"] == "segment_ttfb_seconds"), lambda t: t["value"]), F.lit(0))
+    trend = F.coalesce(F.array_join(F.transform(line, lambda v: F.format_string("%.2f", v)), ","), F.lit(""))
+    return own.select("target", "up", "live", F.col("n_streams").cast("long"), F.col("streams_up").cast("long"), "firing", "worst", trend.alias("trend"))
+
+
+@query(f"""{STATUS} SELECT s.target, CASE WHEN NOT s.up THEN 'critical' ELSE coalesce(f.worst, 'ok') END AS health, coalesce(f.message, CASE WHEN NOT s.up THEN 'unreachable' END, '') AS message, s.ttfb AS ttfb_s
+FROM s LEFT JOIN f ON s.target = f.target""")
+def k9_tile_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.tile_health(*status_tables(spark, sf_dir)).select("target", "health", "message", "ttfb_s")
+
+
+GAUGES = """o AS (SELECT o_orderkey AS k, o_orderkey % 43 AS f, q.p FROM orders JOIN (VALUES (0), (1)) q(p) ON true),
+g AS (SELECT *, CASE WHEN f >= 35 THEN '1280x720' ELSE 'direct' END AS variant, CASE WHEN f >= 35 THEN f NOT IN (36, 37, 42) ELSE f NOT IN (1, 3) AND NOT (f = 2 AND p = 1) END AS came FROM o),
+every AS (SELECT k, p, '' AS variant, 'probe_up' AS name, (NOT (f IN (1, 42) OR (f = 2 AND p = 1)))::INT AS value FROM o
+UNION ALL SELECT k, p, variant, 'variant_up', came::INT FROM g WHERE came OR f = 36
+UNION ALL SELECT k, p, variant, 'segment_count', CASE f WHEN 5 THEN 0 WHEN 9 THEN 2 ELSE 5 END FROM g WHERE came
+UNION ALL SELECT k, p, variant, 'stream_live', (f <> 8)::INT FROM g WHERE came
+UNION ALL SELECT k, p, variant, 'low_latency', (f BETWEEN 15 AND 23)::INT FROM g WHERE came
+UNION ALL SELECT k, p, variant, 'media_sequence', CASE WHEN f = 5 THEN 0 WHEN p = 0 OR f = 11 THEN 100 WHEN f = 10 THEN 50 ELSE 110 END FROM g WHERE came
+UNION ALL SELECT k, p, variant, 'playlist_window_seconds', CASE f WHEN 5 THEN 0 WHEN 7 THEN 31 WHEN 9 THEN 12 ELSE 30 END FROM g WHERE came
+UNION ALL SELECT k, p, variant, 'key_count', (f BETWEEN 25 AND 32)::INT FROM g WHERE came)"""
+GAUGE_NAMES = ["probe_up", "variant_up", "segment_count", "stream_live", "low_latency", "media_sequence", "playlist_window_seconds", "key_count"]
+
+
+@query(f"WITH {GAUGES} SELECT 't' || k AS target, p::BIGINT AS poll, variant, name, value::DOUBLE AS value FROM every")
+def g8_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, targets = fetchlog.hls_log(spark, sf_dir)
+    own = gauges.samples(decode.decode_fetches(stored(log, "log"), stored(targets, "targets"), formats=("hls",))).filter(F.col("name").isin(*GAUGE_NAMES))
+    poll = (F.unix_seconds("ts") % 120 / 60).cast("long")
+    return own.select("target", poll.alias("poll"), "variant", "name", "value")
 
 
 @query(f"WITH {SAMPLES}, l AS (SELECT vantage, max(ts) AS last FROM samples GROUP BY 1) SELECT vantage, epoch_us(last) AS last_us FROM l WHERE TIMESTAMP '2024-02-02' - last > INTERVAL 2 MINUTE")

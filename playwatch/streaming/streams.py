@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from playwatch.functions.columns import NS, stall_ns
+from playwatch.operators import dash, decode, rules
 from playwatch.operators.incidents import KEY
+from playwatch.operators.maintenance import suppressed_by
 
 NOTICE = "ts timestamp, vantage string, target string, variant string, check string, severity string, message string, status string, count long, first_seen timestamp"
 
@@ -19,11 +24,91 @@ def with_lateness(df: DataFrame, delay: str = "5 minutes") -> DataFrame:
     return df.withWatermark("ts", delay)
 
 
+def without_late(delay_s: float, late: Callable[[DataFrame, int], None], sink: Callable[[DataFrame, int], None], state: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that hands rows older than the watermark to ``late`` and the others to ``sink``.
+
+    The watermark is the newest instant of all batches before, less ``delay_s`` seconds, as Structured Streaming has it. It is kept under
+    ``state``, in a folder for each batch, so that a batch run again meets the watermark that it met first.
+    """
+
+    def send(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        marks = spark.read.schema("batch_id long, newest timestamp").option("recursiveFileLookup", "true").json(state) if batch_id else None
+        newest = marks.filter(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0] if marks is not None else None
+        batch = batch.persist()
+        try:
+            held = batch.agg(F.max("ts")).select(F.lit(batch_id).cast("long").alias("batch_id"), F.col("max(ts)").alias("newest"))
+            held.write.mode("overwrite").json(f"{state}/batch-{batch_id}")
+            if newest is None:
+                sink(batch, batch_id)
+                return
+            mark = F.lit(newest) - F.make_dt_interval(secs=F.lit(float(delay_s)))
+            is_late = F.coalesce(F.col("ts") < mark, F.lit(False))
+            late(batch.filter(is_late), batch_id)
+            sink(batch.filter(~is_late), batch_id)
+        finally:
+            batch.unpersist()
+
+    return send
+
+
 def stream_findings(fetches: DataFrame, rules: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str):
     """A query that applies per-poll rules to every micro-batch of fetches, with the functions that batch jobs use."""
     return fetches.writeStream.foreachBatch(lambda batch, n: sink(rules(batch), n)).option("checkpointLocation", checkpoint)
 
 
+#: Rules that compare polls, which a micro-batch cannot: stream_cross_poll has their state.
+CROSS_POLL = [
+    "hls_playlist_rollback", "hls_playlist_stalled", "pdt_not_advancing", "hls_key_rotation_stalled", "dash_playlist_rollback", "dash_playlist_stalled", "dash_key_rotation_stalled",
+]
+FACT = "fetch_id string, ts timestamp, vantage string, target string, variant string, stream string, format string, seq long, edge timestamp, identity string, stall_s double, rotation_s double"
+
+
+def poll_facts(tables: dict[str, DataFrame]) -> DataFrame:
+    """What one poll says that the next is held against, a row (see FACT) for each live playlist or representation.
+
+    stream is the playlist's URL or the representation's label; seq and edge are null where only keys are compared.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    out = []
+    if "media" in tables:
+        media = tables["media"]
+        live = media.filter("NOT endlist AND n_segments > 0")
+        stall = 3.0 * F.greatest(F.col("target_duration"), F.lit(2))
+        keys = rules.last_keys(tables["keys"])
+        own = ["fetch_id", "ts", "vantage", "target", "variant", F.col("url").alias("stream"), F.lit("hls").alias("format")]
+        moved = live.select(*own, F.col("media_sequence").alias("seq"), "edge", none("string").alias("identity"), stall.alias("stall_s"), none("double").alias("rotation_s"))
+        turned = rules.with_target(keys, tables["targets"].select("name", "key_rotation_max_s")).filter("key_rotation_max_s > 0")
+        turned = turned.select(*own, none("long").alias("seq"), none("timestamp").alias("edge"), "identity", none("double").alias("stall_s"), F.col("key_rotation_max_s").cast("double").alias("rotation_s"))
+        out += [moved, turned]
+    if "edges" in tables:
+        label = ["fetch_id", "ts", "vantage", "target", F.col("label").alias("variant"), F.concat_ws("|", "url", "label").alias("stream"), F.lit("dash").alias("format")]
+        edges = tables["edges"].join(tables["mpd"].select("fetch_id", "min_update_ns"), "fetch_id")
+        moved = edges.select(*label, F.col("tick").alias("seq"), none("timestamp").alias("edge"), none("string").alias("identity"), (stall_ns(F.col("seg_ns"), F.col("min_update_ns")) / NS).cast("double").alias("stall_s"), none("double").alias("rotation_s"))
+        kept = dash.protection_identity(tables["present"].filter("size(protections) > 0"))
+        kept = rules.with_target(kept, tables["targets"].select("name", "key_rotation_max_s")).filter("key_rotation_max_s > 0")
+        turned = kept.select(*label, none("long").alias("seq"), none("timestamp").alias("edge"), "identity", none("double").alias("stall_s"), F.col("key_rotation_max_s").cast("double").alias("rotation_s"))
+        out += [moved, turned]
+    return reduce(DataFrame.unionByName, out)
+
+
+def stream_polls(fetches: DataFrame, targets: DataFrame, findings: Callable[[DataFrame, int], None], facts: Callable[[DataFrame, int], None], checkpoint: str):
+    """The first of two queries over a stream of fetches: decodes each micro-batch, hands the findings of all rules within a poll to
+    ``findings`` and its poll_facts to ``facts``, the table that the second, stream_cross_poll, streams from. A poll must lie within one
+    micro-batch, as a collector that lands a poll as one file has it."""
+
+    def send(batch: DataFrame, batch_id: int) -> None:
+        tables = decode.decode_fetches(batch.persist(), targets)
+        try:
+            names = [n for n, (_, needs, _) in rules.RULES.items() if n not in CROSS_POLL and all(t in tables for t in needs)]
+            findings(decode.findings_of(tables, names), batch_id)
+            facts(poll_facts(tables), batch_id)
+        finally:
+            batch.unpersist()
+
+    return fetches.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
+
+
 def stream_rates(findings: DataFrame, minutes: int = 5) -> DataFrame:
     return findings.groupBy(F.window("ts", f"{minutes} minutes"), "check", "severity").agg(F.count(F.lit(1)).alias("n"))
 
@@ -35,33 +120,54 @@ def stream_sessions(findings: DataFrame, gap_s: int = 90) -> DataFrame:
 
 
 class Incidents(StatefulProcessor):
-    """One incident of a key: announced once it has lasted ``persist`` seconds, reminded every ``repeat``, resolved by a timer."""
+    """One incident of a key: announced once it has lasted ``persist`` seconds, reminded every ``repeat``, resolved by a timer at the
+    first sweep (every ``sweep`` seconds of the epoch; 0 for at once) after ``resolve_after`` quiet seconds. A finding with a window
+    counts and says nothing. What a snapshot restored is the state to begin with."""
 
-    def __init__(self, resolve_after: float, persist: float, repeat: float):
-        self.resolve_after, self.persist, self.repeat = resolve_after, persist, repeat
+    def __init__(self, resolve_after: float, persist: float, repeat: float, sweep: float = 0):
+        self.resolve_after, self.persist, self.repeat, self.sweep = resolve_after, persist, repeat, sweep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("incident", "body string")
 
+    def ends(self, inc: dict) -> float:
+        quiet = inc["last"] + self.resolve_after
+        return math.ceil(quiet / self.sweep) * self.sweep if self.sweep else quiet
+
+    def over(self, inc: dict, at: float) -> bool:
+        return self.ends(inc) < at if self.sweep else self.ends(inc) <= at
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.iloc[0]
+        inc = {
+            "first": row["first_seen"].timestamp(), "last": row["last_seen"].timestamp(), "count": int(row["count"]), "severity": row["severity"], "message": row["message"],
+            "told": row["told_at"].timestamp() if pd.notna(row["told_at"]) else None,
+        }
+        self.keep(inc)
+
+    def keep(self, inc: dict) -> None:
+        self.state.update((json.dumps(inc),))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+        self.handle.registerTimer(int(self.ends(inc) * 1000))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["ts", "message"])
         inc = json.loads(self.state.get()[0]) if self.state.exists() else None
         out = []
         for row in frame.itertuples():
             at = row.ts.timestamp()
-            if inc and at - inc["last"] >= self.resolve_after:
+            if inc and self.over(inc, at):
                 out += self.closing(key, inc)
                 inc = None
             inc = inc or {"first": at, "count": 0, "told": None}
-            inc |= {"last": at, "count": inc["count"] + 1, "severity": row.severity, "message": row.message}
+            inc |= {"last": max(at, inc.get("last", at)), "count": inc["count"] + 1, "severity": row.severity, "message": row.message}
             due = inc["told"] is None or (self.repeat > 0 and at - inc["told"] >= self.repeat)
-            if at - inc["first"] >= self.persist and due:
+            if at - inc["first"] >= self.persist and due and pd.isna(row.window):
                 inc["told"] = at
                 out.append(self.notice(key, inc, at, row.message, "firing"))
-        self.state.update((json.dumps(inc),))
-        self.forget_timers()
-        self.handle.registerTimer(int((inc["last"] + self.resolve_after) * 1000))
+        self.keep(inc)
         if out:
             yield pd.DataFrame(out)
 
@@ -71,15 +177,11 @@ class Incidents(StatefulProcessor):
         if out:
             yield pd.DataFrame(out)
 
-    def forget_timers(self) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-
     def closing(self, key, inc: dict) -> list[dict]:
         if inc["told"] is None:
             return []
         text = f"cleared after {inc['count']} observation(s) over {round(inc['last'] - inc['first'])}s"
-        return [self.notice(key, inc, inc["last"] + self.resolve_after, text, "resolved")]
+        return [self.notice(key, inc, self.ends(inc), text, "resolved")]
 
     def notice(self, key, inc: dict, at: float, message: str, status: str) -> dict:
         stamp = lambda s: pd.Timestamp(round(s * 1e6), unit="us")
@@ -91,33 +193,87 @@ class Incidents(StatefulProcessor):
         pass
 
 
-def stream_incidents(findings: DataFrame, resolve_after: float = 90, persist: float = 0, repeat: float = 0, delay: str = "0 seconds") -> DataFrame:
-    """Notices of incidents as a stream, by event time; needs the RocksDB state store."""
+def stream_incidents(
+    findings: DataFrame,
+    resolve_after: float = 90,
+    persist: float = 0,
+    repeat: float = 0,
+    delay: str = "0 seconds",
+    sweep: float = 0,
+    maintenance: DataFrame | None = None,
+    restored: DataFrame | None = None,
+) -> DataFrame:
+    """Notices of incidents as a stream, by event time; needs the RocksDB state store.
+
+    maintenance: windows, joined before the state, so a window that is read again applies from the next micro-batch on. restored: the
+    incidents of a snapshot (see restore_snapshot), which go on as open ones; those with announced, or without that column, as told at
+    their last_seen.
+    """
     own = findings.select("ts", *KEY, "severity", "message").withWatermark("ts", delay)
-    return own.groupBy(*KEY).transformWithStateInPandas(Incidents(resolve_after, persist, repeat), NOTICE, "Append", "eventtime")
+    own = own.withColumn("window", F.lit(None).cast("string")) if maintenance is None else suppressed_by(own, maintenance)
+    before = None
+    if restored is not None:
+        told = F.when(F.col("announced") if "announced" in restored.columns else F.lit(True), F.col("last_seen"))
+        before = restored.select(*KEY, "severity", "message", "first_seen", "last_seen", F.col("count").cast("long").alias("count"), told.alias("told_at")).groupBy(*KEY)
+    return own.groupBy(*KEY).transformWithStateInPandas(Incidents(resolve_after, persist, repeat, sweep), NOTICE, "Append", "eventtime", before)
 
 
-class PreviousPoll(StatefulProcessor):
-    """The value of the poll before, by key; rows of a micro-batch in order of time."""
+class CrossPoll(StatefulProcessor):
+    """What a stream's last polls said: sequence and since when, newest edge, key and since when. Forgotten after ``ttl_s`` seconds
+    without a poll."""
+
+    def __init__(self, ttl_s: float):
+        self.ttl_s = ttl_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("previous", "value long")
+        self.handle = handle
+        self.state = handle.getValueState("polls", "body string", int(self.ttl_s * 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["ts", "fetch_id"])
-        before = int(self.state.get()[0]) if self.state.exists() else None
-        values = [int(v) for v in frame["value"]]
-        yield pd.DataFrame({"fetch_id": frame["fetch_id"], "value": values, "prev_value": pd.array([before, *values[:-1]], dtype="Int64")})
-        self.state.update((values[-1],))
+        was = json.loads(self.state.get()[0]) if self.state.exists() else {}
+        out = []
+
+        def tell(row, check: str, severity: str, message: str) -> None:
+            out.append({"ts": row.ts, "vantage": row.vantage, "target": row.target, "variant": row.variant, "check": check, "severity": severity, "message": message})
+
+        for row in frame.itertuples():
+            at = row.ts.timestamp()
+            if pd.notna(row.seq):
+                seq, before = int(row.seq), was.get("seq")
+                edge = row.edge.timestamp() if pd.notna(row.edge) else None
+                what = "media sequence" if row.format == "hls" else "the edge"
+                if before is not None and seq < before:
+                    tell(row, "playlist_rollback", "critical", f"{what} went from {before} to {seq}")
+                if before is not None and seq > before and edge is not None and was.get("edge") is not None and edge <= was["edge"]:
+                    tell(row, "pdt_not_advancing", "warning", "the sequence advanced, the live edge did not")
+                if before != seq:
+                    was |= {"seq": seq, "seq_at": at}
+                elif at - was["seq_at"] > row.stall_s:
+                    tell(row, "playlist_stalled", "critical", f"unchanged for {at - was['seq_at']:.1f}s")
+                if edge is not None:
+                    was["edge"] = edge
+            if pd.notna(row.rotation_s):
+                if was.get("key") != row.identity:
+                    was |= {"key": row.identity, "key_at": at}
+                elif at - was["key_at"] > row.rotation_s:
+                    tell(row, "key_rotation_stalled", "warning", f"the same key{'s' if row.format == 'dash' else ''} for {at - was['key_at']:.1f}s")
+        self.state.update((json.dumps(was),))
+        if out:
+            yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
-def stream_cross_poll(polls: DataFrame, key: list[str]) -> DataFrame:
-    """fetch_id, value and prev_value (null on the first poll of a key)."""
-    own = polls.select("ts", "fetch_id", F.col("value").cast("long").alias("value"), *key)
-    return own.groupBy(*key).transformWithStateInPandas(PreviousPoll(), "fetch_id long, value long, prev_value long", "Append", "none")
+FINDING = "ts timestamp, vantage string, target string, variant string, check string, severity string, message string"
+
+
+def stream_cross_poll(facts: DataFrame, ttl_s: float = 86_400) -> DataFrame:
+    """Findings of the rules that compare polls, from a stream of poll_facts: rollback, stall, an edge that does not advance, and keys
+    that do not rotate. The state of a stream that is not polled for ``ttl_s`` seconds is dropped, so its next poll is a first one."""
+    own = facts.select(*(f.split(" ")[0] for f in FACT.split(", ")))
+    return own.groupBy("vantage", "target", "stream").transformWithStateInPandas(CrossPoll(ttl_s), FINDING, "Append", "processingtime")
 
 
 def apply_targets(old: DataFrame, new: DataFrame, incidents: DataFrame, samples: DataFrame, now) -> tuple[DataFrame, DataFrame, DataFrame]:

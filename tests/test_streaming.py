@@ -2,21 +2,83 @@
 
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
+from playwatch.operators import incidents, maintenance
 from playwatch.streaming import streams
 
 T0 = datetime(2024, 1, 1)
+FINDING = "ts timestamp, vantage string, target string, variant string, check string, severity string, message string"
 
 
-def test_incidents_of_a_stream(spark, tmp_path):
-    schema = "ts timestamp, vantage string, target string, variant string, check string, severity string, message string"
-    seconds = [10, 20, 30, 300, 1000]
-    rows = [(T0 + timedelta(seconds=s), "v", "a", "", "c", "critical", f"m{s}") for s in seconds]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+def run(spark, tmp_path, rows, schema, make, name, files=1):
+    """The rows of a stream over ``rows``, which come as ``files`` files, each a micro-batch."""
+    folder = str(tmp_path / "in")
+    size = -(-len(rows) // files)
+    for k in range(files):
+        spark.createDataFrame(rows[k * size : (k + 1) * size], schema).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     query = (
-        streams.stream_incidents(source).writeStream.format("memory").queryName("notices").outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        make(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True).start()
     )
-    query.awaitTermination(120)
-    got = [(r.status, r["count"], int((r.ts - T0).total_seconds())) for r in spark.table("notices").orderBy("ts", "status").collect()]
-    assert got[:5] == [("firing", 1, 10), ("resolved", 3, 120), ("firing", 1, 300), ("resolved", 1, 390), ("firing", 1, 1000)]
+    query.awaitTermination(240)
+    return spark.table(name)
+
+
+def said(df):
+    return sorted((r.target, r.status, r["count"], int((r.ts - T0).total_seconds())) for r in df.collect())
+
+
+def findings(seconds, target="a"):
+    return [(T0 + timedelta(seconds=s), "v", target, "", "c", "critical", f"m{s:05}") for s in seconds]
+
+
+# a stream resolves what its watermark has passed, so a last finding of another target moves it on
+PUSH = findings([100_000], "z")
+
+
+@pytest.mark.parametrize("name, options", [("plain", {}), ("swept", {"sweep": 60, "persist": 15}), ("reminded", {"repeat": 20})])
+def test_incidents_of_a_stream_are_those_of_a_batch(spark, tmp_path, name, options):
+    rows = findings([10, 20, 30, 45, 300, 1000, 1010, 1030, 1100])
+    windows = spark.createDataFrame([(0, "w", ["a"], None, "UTC", T0, T0 + timedelta(seconds=20), None, None, None)], maintenance.SCHEMA)
+    got = run(spark, tmp_path, rows + PUSH, FINDING, lambda s: streams.stream_incidents(s, maintenance=windows, **options), name)
+    want = incidents.notifications(spark.createDataFrame(rows + PUSH, FINDING), windows, **options)
+    # the last incident of all is still open in a stream
+    assert said(got) == [x for x in said(want) if x[:2] != ("z", "resolved")]
+
+
+def test_a_snapshot_goes_on_in_a_stream(spark, tmp_path):
+    old = incidents.incidents(spark.createDataFrame(findings([0, 5, 40]), FINDING))
+    now = F.lit("2024-01-01 00:00:50").cast("timestamp")
+    back = incidents.restore_snapshot(incidents.save_snapshot(old, now), now)
+    got = run(spark, tmp_path, findings([60, 70]) + PUSH, FINDING, lambda s: streams.stream_incidents(s, restored=back), "restored")
+    # announced before, so only its end is told
+    assert [x for x in said(got) if x[0] == "a"] == [("a", "resolved", 5, 160)]
+
+
+def facts(rows):
+    return [(f"f{i}", T0 + timedelta(seconds=s), "v", "t", "direct", "u", "hls", seq, T0 + timedelta(seconds=e) if e is not None else None, key, 18.0 if seq is not None else None, 30.0 if key else None) for i, (s, seq, e, key) in enumerate(rows)]
+
+
+def test_polls_of_a_stream_are_held_against_the_ones_before(spark, tmp_path):
+    rows = facts([(0, 5, 0, None), (10, 6, 10, None), (20, 7, 10, None), (30, 3, 30, None), (40, 3, None, None), (60, 3, 60, None), (61, None, None, "k1"), (95, None, None, "k1"), (96, None, None, "k2")])
+    got = run(spark, tmp_path, rows, streams.FACT, streams.stream_cross_poll, "crossed", files=3)
+    assert sorted((int((r.ts - T0).total_seconds()), r.check) for r in got.collect()) == [
+        (20, "pdt_not_advancing"), (30, "playlist_rollback"), (60, "playlist_stalled"), (95, "key_rotation_stalled"),
+    ]
+
+
+def test_late_rows_go_to_a_table_of_their_own(spark, tmp_path):
+    late, kept = [], []
+    split = streams.without_late(
+        60, lambda df, n: late.extend(r.message for r in df.collect()), lambda df, n: kept.extend(r.message for r in df.collect()), str(tmp_path / "marks")
+    )
+    batches = [findings([0, 100]), findings([50, 10, 200]), findings([150, 141, 139])]
+    for n, rows in enumerate(batches):
+        split(spark.createDataFrame(rows, FINDING), n)
+    assert sorted(late) == ["m00010", "m00139"] and len(kept) == 6
+    # run again, a batch meets the mark that it met first
+    split(spark.createDataFrame(batches[1], FINDING), 1)
+    assert sorted(late) == ["m00010", "m00010", "m00139"]
