@@ -187,8 +187,9 @@ def stall_ns(segment_ns: Column, update_ns: Column) -> Column:
 
 def staleness_ns(segment_ns: Column, latency_max_ms: Column, latency_target_ms: Column, delay_ns: Column) -> Column:
     """How old an edge may be: the declared maximum, or twice the target, or the suggested delay, with four segments' slack."""
-    four = 4 * F.coalesce(segment_ns, F.lit(0))
-    delay = F.coalesce(delay_ns, F.lit(0))
+    four = 4 * F.coalesce(segment_ns, F.lit(0)).cast("long")
+    delay = F.coalesce(delay_ns, F.lit(0)).cast("long")
+    latency_max_ms, latency_target_ms = latency_max_ms.cast("long"), latency_target_ms.cast("long")
     by_target = F.greatest(2 * latency_target_ms * 1_000_000, four)
     plain = F.greatest(F.lit(30 * NS), four, F.when(delay > 0, delay + four).otherwise(0))
     return F.when(latency_max_ms > 0, latency_max_ms * 1_000_000).when(latency_target_ms > 0, by_target).otherwise(plain)

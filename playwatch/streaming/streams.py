@@ -119,6 +119,14 @@ def stream_sessions(findings: DataFrame, gap_s: int = 90) -> DataFrame:
     return own.select(*KEY, F.col("w.start").alias("first_seen"), "last_seen", "count")
 
 
+def keep(handle: StatefulProcessorHandle, state, body: dict, until: float) -> None:
+    """Stores a key's state and sets its one timer."""
+    state.update((json.dumps(body),))
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+    handle.registerTimer(int(until * 1000))
+
+
 class Incidents(StatefulProcessor):
     """One incident of a key: announced once it has lasted ``persist`` seconds, reminded every ``repeat``, resolved by a timer at the
     first sweep (every ``sweep`` seconds of the epoch; 0 for at once) after ``resolve_after`` quiet seconds. A finding with a window
@@ -147,10 +155,7 @@ class Incidents(StatefulProcessor):
         self.keep(inc)
 
     def keep(self, inc: dict) -> None:
-        self.state.update((json.dumps(inc),))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-        self.handle.registerTimer(int(self.ends(inc) * 1000))
+        keep(self.handle, self.state, inc, self.ends(inc))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["ts", "message"])
@@ -219,15 +224,15 @@ def stream_incidents(
 
 
 class CrossPoll(StatefulProcessor):
-    """What a stream's last polls said: sequence and since when, newest edge, key and since when. Forgotten after ``ttl_s`` seconds
-    without a poll."""
+    """What a stream's last polls said: sequence and since when, newest edge, key and since when. A timer forgets it once ``ttl_s``
+    seconds of event time have passed without a poll."""
 
     def __init__(self, ttl_s: float):
         self.ttl_s = ttl_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("polls", "body string", int(self.ttl_s * 1000))
+        self.state = handle.getValueState("polls", "body string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["ts", "fetch_id"])
@@ -258,10 +263,15 @@ class CrossPoll(StatefulProcessor):
                     was |= {"key": row.identity, "key_at": at}
                 elif at - was["key_at"] > row.rotation_s:
                     tell(row, "key_rotation_stalled", "warning", f"the same key{'s' if row.format == 'dash' else ''} for {at - was['key_at']:.1f}s")
-        self.state.update((json.dumps(was),))
+            was["at"] = max(at, was.get("at", at))
+        keep(self.handle, self.state, was, was["at"] + self.ttl_s)
         if out:
             yield pd.DataFrame(out)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
@@ -269,11 +279,11 @@ class CrossPoll(StatefulProcessor):
 FINDING = "ts timestamp, vantage string, target string, variant string, check string, severity string, message string"
 
 
-def stream_cross_poll(facts: DataFrame, ttl_s: float = 86_400) -> DataFrame:
+def stream_cross_poll(facts: DataFrame, ttl_s: float = 86_400, delay: str = "10 minutes") -> DataFrame:
     """Findings of the rules that compare polls, from a stream of poll_facts: rollback, stall, an edge that does not advance, and keys
     that do not rotate. The state of a stream that is not polled for ``ttl_s`` seconds is dropped, so its next poll is a first one."""
-    own = facts.select(*(f.split(" ")[0] for f in FACT.split(", ")))
-    return own.groupBy("vantage", "target", "stream").transformWithStateInPandas(CrossPoll(ttl_s), FINDING, "Append", "processingtime")
+    own = facts.select(*(f.split(" ")[0] for f in FACT.split(", "))).withWatermark("ts", delay)
+    return own.groupBy("vantage", "target", "stream").transformWithStateInPandas(CrossPoll(ttl_s), FINDING, "Append", "eventtime")
 
 
 def apply_targets(old: DataFrame, new: DataFrame, incidents: DataFrame, samples: DataFrame, now) -> tuple[DataFrame, DataFrame, DataFrame]:
