@@ -96,7 +96,8 @@ def test_bpe_encodes_what_the_mix_took_as_the_library_does(run):
 
 def test_stages_hold_with_nulls_repeats_and_clashing_names(spark):
     long = " ".join(f"w{i}" for i in range(40))
-    texts = [long, long, long + " x", None, "", " \n", "\n".join([long] * 2), "é " * 30 + long] * 2
+    other = [" ".join(f"{a}{i}" for i in range(50)) for a in "abcdefgh"]
+    texts = [long, long, long + " x", None, "", " \n", "\n".join([long] * 2), "é " * 10 + long, *other] * 2
     rows = [(None if i % 5 == 4 else i // 2, t, "en", None if i % 3 else "s", 1, "r", 1, 2, "d", 3) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, ODD)
     for given, kept in stages(spark, docs)[:4]:
