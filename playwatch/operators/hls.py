@@ -49,6 +49,11 @@ def body_lines(body: Column) -> Column:
     return F.filter(F.transform(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: a column that steps of a row refer to within their loops might be put in there whole."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _has(tag: str, line: Column) -> Column:
     """Whether a line carries a tag, with a value or bare."""
     return line.startswith(tag + ":") | (line == tag)
@@ -114,10 +119,18 @@ def _a(name: str) -> Column:
 
 def with_variants(df: DataFrame) -> DataFrame:
     """df with ls and infs: URI and the attributes in force of every variant, in order."""
-    own = with_lines(df).withColumn("uris", _places(F.col("ls"), lambda x: ~x.startswith("#")))
-    inf = lambda p, k: _last(F.transform(_between(F.col("ls"), F.get("uris", k - 1), p), lambda x: F.when(_has("#EXT-X-STREAM-INF", x), _value(x))))
-    each = F.filter(F.transform("uris", lambda p, k: F.struct(F.get("ls", p).alias("uri"), inf(p, k).alias("inf"))), lambda v: v["inf"].isNotNull())
-    return own.withColumn("infs", each).drop("uris")
+
+    def variants(v: Column) -> Column:
+        inf = lambda p, k: _last(F.transform(_between(v["ls"], F.get(v["uris"], k - 1), p), lambda x: F.when(_has("#EXT-X-STREAM-INF", x), _value(x))))
+        each = F.transform(v["uris"], lambda p, k: F.struct(F.get(v["ls"], p).alias("uri"), inf(p, k).alias("inf")))
+        return F.filter(each, lambda x: x["inf"].isNotNull())
+
+    return with_lines(df).withColumn("infs", let(F.col("ls"), lambda ls: let(_with_uris(ls), variants)))
+
+
+def _with_uris(ls: Column) -> Column:
+    """ls and uris: the lines, and the places of those that are no tags."""
+    return F.struct(ls.alias("ls"), _places(ls, lambda x: ~x.startswith("#")).alias("uris"))
 
 
 def hls_variants(df: DataFrame) -> DataFrame:
@@ -178,37 +191,44 @@ def with_accepted(df: DataFrame) -> DataFrame:
     """df with ls and acc: place, duration and the lines since the accepted segment before, of every accepted segment."""
     if "acc" in df.columns:
         return df
-    own = with_lines(df).withColumn("uris", _places(F.col("ls"), lambda x: ~x.startswith("#")))
     number = lambda x: F.when(_has("#EXTINF", x), F.trim(F.split_part(_value(x), F.lit(","), F.lit(1))).try_cast("double"))
-    duration = lambda p, k: _last(F.transform(_between(F.col("ls"), F.get("uris", k - 1), p), number))
-    own = own.withColumn("acc", F.filter(F.transform("uris", lambda p, k: F.struct(p.alias("p"), duration(p, k).alias("d"))), lambda s: s["d"].isNotNull()))
-    own = own.withColumn("acc", F.transform("acc", lambda s, j: F.struct(s["p"].alias("p"), s["d"].alias("d"), _between(F.col("ls"), F.get("acc", j - 1)["p"], s["p"]).alias("own"))))
-    return own.drop("uris")
+
+    def accepted(v: Column) -> Column:
+        duration = lambda p, k: _last(F.transform(_between(v["ls"], F.get(v["uris"], k - 1), p), number))
+        timed = F.filter(F.transform(v["uris"], lambda p, k: F.struct(p.alias("p"), duration(p, k).alias("d"))), lambda s: s["d"].isNotNull())
+        own = lambda found: F.transform(found, lambda s, j: F.struct(s["p"].alias("p"), s["d"].alias("d"), _between(v["ls"], F.get(found, j - 1)["p"], s["p"]).alias("own")))
+        return let(timed, own)
+
+    return with_lines(df).withColumn("acc", let(F.col("ls"), lambda ls: let(_with_uris(ls), accepted)))
 
 
 def with_segments(df: DataFrame) -> DataFrame:
     """df with segs: uri, duration, pdt, discontinuity, key and map (in force, null for none) of every segment, in order."""
     if "segs" in df.columns:
         return df
-    own = with_accepted(df)
-    tagged = lambda tag, row: F.filter(F.transform("ls", lambda x, i: F.when(_has(tag, x), row(hls_attrs(_value(x)), i))), lambda r: r.isNotNull())
+    tagged = lambda ls, tag, row: F.filter(F.transform(ls, lambda x, i: F.when(_has(tag, x), row(hls_attrs(_value(x)), i))), lambda r: r.isNotNull())
 
     def key(a: Column, i: Column) -> Column:
         found = F.struct(*(attr(a, n).alias(c) for n, c in list(_KEY.items())[:4]))
         return F.struct(i.alias("p"), F.when(~F.upper(attr(a, "METHOD")).isin("", "NONE"), found).alias("key"))
 
     maps = lambda a, i: F.struct(i.alias("p"), F.struct(attr(a, "URI").alias("uri"), attr(a, "BYTERANGE").alias("byterange")).alias("map"))
-    own = own.withColumn("ks", tagged("#EXT-X-KEY", key)).withColumn("ms", tagged("#EXT-X-MAP", maps))
     in_force = lambda c, s: F.try_element_at(F.filter(c, lambda k: k["p"] < s["p"]), F.lit(-1))
     pdt = lambda s: _last(F.transform(s["own"], lambda x: F.when(_has("#EXT-X-PROGRAM-DATE-TIME", x), parse_pdt(_value(x)))))
-    segs = F.transform(
-        "acc",
-        lambda s: F.struct(
-            F.get("ls", s["p"]).alias("uri"), s["d"].alias("duration"), pdt(s).alias("pdt"), F.exists(s["own"], lambda x: x == "#EXT-X-DISCONTINUITY").alias("discontinuity"),
-            in_force("ks", s)["key"].alias("key"), in_force("ms", s)["map"].alias("map"),
-        ),
-    )
-    return own.withColumn("segs", segs).drop("ks", "ms")
+
+    def segments(v: Column) -> Column:
+        return F.transform(
+            v["acc"],
+            lambda s: F.struct(
+                F.get(v["ls"], s["p"]).alias("uri"), s["d"].alias("duration"), pdt(s).alias("pdt"), F.exists(s["own"], lambda x: x == "#EXT-X-DISCONTINUITY").alias("discontinuity"),
+                in_force(v["ks"], s)["key"].alias("key"), in_force(v["ms"], s)["map"].alias("map"),
+            ),
+        )
+
+    own = with_accepted(df)
+    both = F.struct("ls", "acc")
+    known = lambda v: F.struct(v["ls"].alias("ls"), v["acc"].alias("acc"), tagged(v["ls"], "#EXT-X-KEY", key).alias("ks"), tagged(v["ls"], "#EXT-X-MAP", maps).alias("ms"))
+    return own.withColumn("segs", let(both, lambda v: let(known(v), segments)))
 
 
 def hls_segments(df: DataFrame) -> DataFrame:
@@ -222,7 +242,7 @@ def with_parts(df: DataFrame) -> DataFrame:
         return df
     own = with_accepted(df)
     last = F.coalesce(F.try_element_at("acc", F.lit(-1))["p"], F.lit(-1))
-    late = F.filter(F.transform("ls", lambda x, i: F.when((i > last) & _has("#EXT-X-PART", x), hls_attrs(_value(x)))), lambda v: v.isNotNull())
+    late = let(last, lambda p: F.filter(F.transform("ls", lambda x, i: F.when((i > p) & _has("#EXT-X-PART", x), hls_attrs(_value(x)))), lambda v: v.isNotNull()))
     part = lambda a: F.struct(
         attr(a, "URI").alias("uri"), safe_float(attr(a, "DURATION")).alias("duration"), _yes(attr(a, "INDEPENDENT")).alias("independent"), attr(a, "BYTERANGE").alias("byterange"),
         _yes(attr(a, "GAP")).alias("gap"),
@@ -258,8 +278,11 @@ def summary_columns() -> list[Column]:
 
 def segment_summary(df: DataFrame) -> DataFrame:
     """fetch_id, n_segments and summary_columns of every playlist with segments, within its row."""
-    own = with_segments(df).filter(F.size("segs") > 0)
-    return own.select(*carried(df), F.size("segs").cast("long").alias("n_segments"), *summary_columns())
+    own = with_segments(df)
+    sums = F.struct(F.size("segs").cast("long").alias("n_segments"), *summary_columns())
+    # an exploded row is made once, where a filter would have its array made again below
+    own = own.select(*carried(df), F.explode_outer(F.array(F.when(F.size("segs") > 0, sums))).alias("e")).filter("e IS NOT NULL")
+    return own.select(*carried(df), "e.*")
 
 
 def rendition_label(kind: Column, group: Column, name: Column, language: Column) -> Column:
