@@ -111,6 +111,7 @@ def kept_documents(docs: DataFrame, host: str = "source", max_rate: float = 0.5)
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("text").alias("__text"), F.col(host).alias("__host"))
     # judged once and written with its row: hosts are counted and documents filtered from there
     judged = written(document_rules(own).select("__row", "__host", "base_failed", "failed"), "judged")
-    # rejected hosts are few and Spark may broadcast them
+    # written, so that Spark knows how small they are and broadcasts them, where else it would shuffle all documents by host
     hosts = host_verdicts(judged.select("__host", "failed"), max_rate).filter("host_failed").select(F.col("__host").alias("__its"))
+    hosts = written(hosts, "hosts")
     return judged.filter("NOT base_failed").join(hosts, F.col("__host").eqNullSafe(F.col("__its")), "left_anti").select("__row.*")
