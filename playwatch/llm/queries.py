@@ -7,12 +7,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from playwatch.llm.ann import nearest
 from playwatch.llm.common import shared_dir
+from playwatch.llm.conversation_repair import damaged, repairs
+from playwatch.llm.decontaminate import contamination, contamination_digests
 from playwatch.llm.line_dedup import line_digests
 from playwatch.llm.mixing import mixed
 from playwatch.llm.near_dup import near_duplicates
+from playwatch.llm.periodic import periodic_runs, run_digests, with_planted_periods
 from playwatch.llm.quality import quality_verdicts
 from playwatch.llm.repeats import without_repeats
 from playwatch.llm.token_count import token_counts
@@ -69,6 +73,19 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"), length=200)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repairs(damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digests(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")), least=24, repeats=3))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    chosen = (op1_token_output, op2_near_duplicates, op3_mixing, op4_nearest, op5_word_bpe, op6_line_dedup, op7_token_counts, op8_quality, op9_toxicity, op10_repeats)
+    chosen = (op1_token_output, op2_near_duplicates, op3_mixing, op4_nearest, op5_word_bpe, op6_line_dedup, op7_token_counts, op8_quality, op9_toxicity, op10_repeats,
+              op11_conversation_repair, op12_decontamination, op13_periodic_runs)
     return {f.__name__: f for f in chosen}
