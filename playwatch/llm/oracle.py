@@ -81,5 +81,98 @@ FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
 """
 
 
+CONTAMINATION = """
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+items AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, n, list_slice(w, i, i + n - 1) AS words
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(10, len(w)) AS n FROM items WHERE len(w) > 0))),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS words
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n)),
+hits AS (SELECT p.doc_id, p.i, p.n, v.item_id FROM places p JOIN windows v ON p.words = v.words),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(n.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(n.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id
+"""
+
+# each state's cheapest edit, as in the recursion below: (cost, edits) from row i on, for no role yet, system, user and assistant before
+_NEXT = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+_PUT = {0: 2, 1: 2, 2: 3, 3: 2}
+
+
+def _edit(state: int) -> str:
+    keeps = " ".join(f"WHEN initial = '{r}' THEN {{'c': extra + b{to}.c, 'a': 'K' || b{to}.a}}" for r, to in _NEXT[state].items())
+    rerole = f"{{'c': 3 + extra + b{_PUT[state]}.c, 'a': 'R' || b{_PUT[state]}.a}}"
+    return f"list_min([{{'c': 4 + b{state}.c, 'a': 'D' || b{state}.a}}, CASE WHEN gone THEN {{'c': 1000000000, 'a': ''}} ELSE {rerole} END, CASE WHEN gone THEN {{'c': 1000000000, 'a': ''}} {keeps} ELSE {{'c': 1000000000, 'a': ''}} END])"
+
+
+def _put(state: int) -> str:
+    return f"least(e{state}, {{'c': 3 + e{_PUT[state]}.c, 'a': 'I' || e{_PUT[state]}.a}})"
+
+
+CONVERSATIONS = f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations),
+crc(key, k, c) AS (
+  SELECT DISTINCT key, 0, 4294967295::BIGINT FROM keyed
+  UNION ALL
+  SELECT key, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+  FROM (SELECT key, k, CASE WHEN k % 8 = 0 THEN xor(c, unicode(substr(key, k // 8 + 1, 1))) ELSE c END AS x FROM crc WHERE k < 8 * length(key))),
+damage AS (SELECT key, xor(c, 4294967295) % 20 AS h FROM crc WHERE k = 8 * length(key)),
+hurt AS (
+  SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE h WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS time
+  FROM keyed JOIN damage USING (key)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), time) AS i FROM hurt),
+judged AS (
+  SELECT *, substr(role, 1, 1) AS initial,
+         CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+              WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 't' ELSE '' END AS fault
+  FROM placed),
+stepped AS (
+  SELECT *, fault IN ('b', 'd') AS gone, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS extra,
+         i > 1 AND lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS wrong
+  FROM judged),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (wrong) AS illegal, count(*) AS n
+  FROM stepped GROUP BY conv_id),
+togo(conv_id, i, b0, b1, b2, b3) AS (
+  SELECT conv_id, n + 1, {{'c': 0, 'a': ''}}, {{'c': 6, 'a': 'II'}}, {{'c': 3, 'a': 'I'}}, {{'c': 0, 'a': ''}} FROM counts
+  UNION ALL
+  SELECT conv_id, i, least({_put(0)}, {{'c': 6 + e3.c, 'a': 'II' || e3.a}}), least({_put(1)}, {{'c': 6 + e3.c, 'a': 'II' || e3.a}}), {_put(2)}, {_put(3)}
+  FROM (SELECT t.conv_id, s.i, {_edit(0)} AS e0, {_edit(1)} AS e1, {_edit(2)} AS e2, {_edit(3)} AS e3
+        FROM togo t JOIN stepped s ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND s.i = t.i - 1)),
+audits AS (SELECT conv_id, b0.c AS cost, b0.a AS audit FROM togo WHERE i = 1),
+edits AS (
+  SELECT conv_id, p, substr(audit, p, 1) AS edit, p - length(replace(substr(audit, 1, p), 'I', '')) AS put_in, p - length(replace(substr(audit, 1, p), 'D', '')) AS gone_by
+  FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS p FROM audits)),
+left_ AS (
+  SELECT e.conv_id, e.p, e.edit, e.p - gone_by AS j, s.role, s.text, bool_or(e.p - gone_by = 1 AND e.edit = 'K' AND s.initial = 's') OVER (PARTITION BY e.conv_id) AS led
+  FROM edits e LEFT JOIN stepped s ON e.conv_id IS NOT DISTINCT FROM s.conv_id AND e.edit <> 'I' AND s.i = e.p - e.put_in WHERE e.edit <> 'D'),
+texts AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS repaired
+  FROM left_ GROUP BY conv_id),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT v.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM every v LEFT JOIN counts c ON v.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN audits a ON v.conv_id IS NOT DISTINCT FROM a.conv_id
+     LEFT JOIN texts t ON v.conv_id IS NOT DISTINCT FROM t.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": MIXING, "op6_line_dedup": LINES, "op8_quality": QUALITY}
+    return {"op3_mixing": MIXING, "op6_line_dedup": LINES, "op8_quality": QUALITY, "op11_conversation_repair": CONVERSATIONS, "op12_decontamination": CONTAMINATION}
