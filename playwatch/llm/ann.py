@@ -5,8 +5,8 @@ quantised. As an error along x costs an inner product most, the loss weighs the
 (anisotropic loss), both when a row takes its codes and when codebooks are fitted. Codebooks have 16 centres for each pair of
 dimensions, so that two codes make a byte; a scan adds up one looked-up value a byte.
 
-The index covers every row. Queries run against all rows in blocks of bounded size: each task scans its rows for the whole
-block, reranks the best by exact distance and passes on its k nearest for each query, which are then merged by query.
+The index covers every row, in shards of bounded size. All queries go to every shard in one exchange and stream past it in blocks: a
+task holds one shard, scans it for each query, reranks the best by exact distance and passes on the k nearest, merged then by query.
 
 A row also keeps how far it lies from its code's point, so codes bound distances: no row is nearer to a query than its code's point
 less that. Once the best guesses have given a k-th distance, every row whose bound does not exceed it is measured too, so results
@@ -28,6 +28,8 @@ from playwatch.llm.common import written
 CENTRES = 16
 #: Bytes of lookup tables that a task holds at once.
 TABLE_BYTES = 64 << 20
+#: Bytes of vectors of a shard, which a task holds at once.
+SHARD_BYTES = 64 << 20
 #: Inner products of at least this part of the norms' product are the ones that matter.
 SCORE_THRESHOLD = 0.2
 
@@ -151,95 +153,117 @@ def build_index(rows: DataFrame, dim: int, fit_rows: int) -> tuple[DataFrame, Co
     return written(rows.mapInArrow(encode, kinds), "index"), books
 
 
-def first_of_equals(names: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-    """Places of the rows among the n smallest ids of their very vector: the others cannot be among n - 1 nearest of another row."""
+def first_of_equals(names: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that can be among the k nearest of a query of another id: of each very vector, k rows of an id, and of those
+    the 2k of smallest ids. A query's own id holds k of them at most, so k others are left where there are as many."""
     whole = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).reshape(-1)
     _, group = np.unique(whole, return_inverse=True)
     order = np.lexsort((names, group))
-    start = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
-    nth = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
-    return np.sort(order[nth < n])
 
-
-def scanned(index: DataFrame, books: Codebooks, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int) -> DataFrame:
-    """query_id, vec_id and score of the k nearest that each task found for each query of a bounded block."""
-    shared = index.sparkSession.sparkContext.broadcast((ids, queries, books))
+    def nth(new: np.ndarray) -> np.ndarray:
+        start = np.flatnonzero(np.r_[True, new])
+        return np.arange(len(new) + 1) - np.repeat(start, np.diff(np.r_[start, len(new) + 1]))
+
+    if len(order):
+        order = order[nth((np.diff(group[order]) != 0) | (np.diff(names[order]) != 0)) < k]
+        order = order[nth(np.diff(group[order]) != 0) < 2 * k]
+    return np.sort(order)
+
+
+class Shard:
+    """A part of the index in a task's memory, against which queries are held."""
+
+    def __init__(self, books: Codebooks, batches: list[pa.RecordBatch], k: int, rerank: int):
+        self.books, self.k, self.rerank = books, k, rerank
+        column = lambda c: np.concatenate([np.asarray(b[c]) for b in batches]) if batches else np.zeros(0)
+        names = column("vec_id").astype(np.int64)
+        x = np.concatenate([matrix(b["embedding"], books.dim) for b in batches] or [np.zeros((0, books.dim))])
+        codes = np.frombuffer(b"".join(c for b in batches for c in b["code"].to_pylist()), np.uint8).reshape(len(names), -1)
+        first = first_of_equals(names, x, k)
+        self.names, self.x, self.codes, self.half, self.norm, self.off = (a[first] for a in (names, x, codes, column("half_norm"), column("code_norm"), column("off")))
+
+    def nearest(self, ids: np.ndarray, queries: np.ndarray) -> pa.RecordBatch:
+        """query_id, vec_id and score of the k nearest rows of each query of a block."""
+        tables, wrong, norms = self.books.tables(queries), self.books.wrong(queries), (queries**2).sum(1)
+        places, found = np.arange(tables.shape[1]), []
+        for q, query in enumerate(queries):
+            others = self.names != ids[q]
+            inner = tables[q][places, self.codes].sum(1)
+            guess = np.where(others, inner - self.half, -np.inf)
+            # the best guesses give a k-th distance
+            chosen = np.argpartition(-guess, self.rerank)[: self.rerank] if len(guess) > self.rerank else np.arange(len(guess))
+            chosen = chosen[others[chosen]]
+            far = np.sqrt(((self.x[chosen] - query) ** 2).sum(1))
+            reach = np.partition(far, self.k - 1)[self.k - 1] if len(far) >= self.k else np.inf
+            # no row is nearer than its code's point less its own distance from that; what is no number is measured
+            square = norms[q] + self.norm
+            point = np.sqrt(np.maximum(square - 2.0 * inner - 2 * wrong[q] - 1e-12 * square, 0))
+            open_ = others & ~(point - self.off > reach * (1 + 1e-12) + 1e-12 * self.off)
+            open_[chosen] = False
+            more = np.flatnonzero(open_)
+            far = np.r_[far, np.sqrt(((self.x[more] - query) ** 2).sum(1))]
+            names = self.names[np.r_[chosen, more]]
+            first = np.lexsort((names, far))[: self.k]
+            found.append((far[first], names[first]))
+        columns = [np.repeat(ids, [len(f) for f, _ in found]), *(np.concatenate([f[i] for f in found] or [[]]) for i in (1, 0))]
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+
+def scanned(rows: DataFrame, books: Codebooks, k: int, rerank: int, block: int) -> DataFrame:
+    """query_id, vec_id and score of the k nearest that each shard of the index holds for each query.
+
+    ``rows`` hold, by shard, the index (asks is false) and all queries (asks is true). They are sorted so that a shard comes first and its
+    queries stream past it.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(books)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, books = shared.value
-        tables = books.tables(queries)
-        places = np.arange(tables.shape[1])
-        norms = (queries**2).sum(1)
-        wrong = books.wrong(queries)
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        books, held, loaded, now = shared.value, [], None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names, x = np.asarray(batch["vec_id"]), matrix(batch["embedding"], books.dim)
-            codes = np.frombuffer(b"".join(batch["code"].to_pylist()), np.uint8).reshape(len(names), -1)
-            half, norm, off = (np.asarray(batch[c]) for c in ("half_norm", "code_norm", "off"))
-            first = first_of_equals(names, x, k + 1)
-            names, x, codes, half, norm, off = (a[first] for a in (names, x, codes, half, norm, off))
-
-            def measure(q: int, chosen: np.ndarray, names: np.ndarray = names, x: np.ndarray = x) -> None:
-                chosen = chosen[names[chosen] != ids[q]]
-                far = np.sqrt(((x[chosen] - queries[q]) ** 2).sum(1))
-                far, name = np.concatenate([best[q][0], far]), np.concatenate([best[q][1], names[chosen]])
-                first = np.lexsort((name, far))[:k]
-                best[q] = far[first], name[first]
-
-            for q, query in enumerate(ids):
-                inner = tables[q][places, codes].sum(1)
-                guess = inner - half
-                guess[names == query] = -np.inf
-                chosen = np.zeros(0, np.int64)
-                if len(best[q][0]) < k:
-                    # the task's first rows: the best guesses give a k-th distance, which holds for all its later rows
-                    chosen = np.argpartition(-guess, rerank)[:rerank] if len(guess) > rerank else np.arange(len(guess))
-                    measure(q, chosen)
-                # no row is nearer than its code's point less its own distance from that
-                reach = best[q][0][-1] if len(best[q][0]) >= k else np.inf
-                square = norms[q] + norm
-                nearest_point = np.sqrt(np.maximum(square - 2.0 * inner - 2 * wrong[q] - 1e-12 * square, 0))
-                # what is no number is measured
-                open_ = ~(nearest_point - off > reach * (1 + 1e-12) + 1e-12 * off)
-                open_[chosen] = False
-                if open_.any():
-                    measure(q, np.flatnonzero(open_))
-        found = [pa.array(np.repeat(ids, [len(b[0]) for b in best])), *(pa.array(np.concatenate([b[i] for b in best] or [[]])) for i in (1, 0))]
-        yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
-
-    return index.mapInArrow(scan, "query_id long, vec_id long, score double")
+            kinds = np.asarray(batch["shard"].to_numpy()) * 2 + batch["asks"].to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                part, shard = batch.slice(start, end - start), int(kinds[start]) // 2
+                if shard != now:
+                    held, loaded, now = [], None, shard
+                if kinds[start] % 2 == 0:
+                    held.append(part)
+                    continue
+                if loaded is None:
+                    loaded, held = Shard(books, held, k, rerank), []
+                for at in range(0, part.num_rows, block):
+                    some = part.slice(at, block)
+                    yield loaded.nearest(np.asarray(some["vec_id"]), matrix(some["embedding"], books.dim))
+
+    dealt = rows.repartitionByRange("shard").sortWithinPartitions("shard", "asks", "vec_id")
+    return dealt.mapInArrow(scan, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = 200, fit_rows: int = 8192, block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest rows of each row whose vec_id is divisible by ``every``.
 
     Nearness is Euclidean distance in double precision on the original vectors; ties go to the smaller vec_id. A query's own
-    vec_id is no candidate. See ``usable`` for vectors that take no part. Repeated rows are candidates each. Where fewer than k
-    candidates exist, all are returned; an empty table gives no rows. Other columns are not read. Vectors of many dimensions make
-    smaller blocks of queries.
+    vec_id is no candidate, whichever row holds it; rows of another vec_id that repeats are candidates each. Where rows of a query's
+    vec_id differ, its vector is the least of theirs, compared by components. See ``usable`` for vectors that take no part. Where fewer
+    than k candidates exist, all are returned; an empty table gives no rows. Other columns are not read. Vectors of many dimensions make
+    smaller shards and smaller blocks of queries, ``block`` at most.
     """
     spark = vectors.sparkSession
     rows, dim = usable(vectors)
+    if not dim:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # a worker holds a block's lookup tables: 1 KiB for each query and four dimensions
     block = max(1, min(block, TABLE_BYTES // (1024 * max(1, -(-dim // 4)))))
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not dim:
-        return empty
     index, books = build_index(rows, dim, fit_rows)
-    asked = index.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding").dropDuplicates(["vec_id"])
-    asked = written(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-asked.count() // block))))), "asked")
-    blocks = [r[0] for r in asked.select("block").distinct().collect()]
-    found = None
-    for b in sorted(blocks):
-        # one bounded block of queries at a time
-        own = asked.filter(F.col("block") == b).select("vec_id", "embedding").toArrow()
-        ids = np.asarray(own["vec_id"].combine_chunks())
-        part = scanned(index, books, ids, matrix(own["embedding"].combine_chunks(), dim), k, rerank)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return empty
+    # shards that a worker holds, and as many as there are cores where rows are few: queries go to every shard
+    n = index.count()
+    shards = max(-(-n // max(1, SHARD_BYTES // (8 * dim))), min(2 * spark.sparkContext.defaultParallelism, -(-n // 1024)), 1)
+    index = index.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")).withColumn("asks", F.lit(False))
+    asked = index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = written(asked, "asked").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asks", F.lit(True))
+    found = scanned(index.unionByName(asked, allowMissingColumns=True), books, k, rerank, block)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -43,12 +43,15 @@ def frequent_lengths(docs: DataFrame, path: str, sample_tasks: int, task_docs: i
                 left -= batch.num_rows
                 if left <= 0:
                     break
-        top = seen.most_common(entries)
+        top = seen.most_common(entries // 8)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
-    sums = own.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    # at most ``entries`` rows
-    words = [r[0] for r in sums.filter(~F.col("word").contains("\0")).orderBy(F.desc("n"), "word").limit(entries).select("word").collect()]
+    # each sampled task's own most frequent come to the driver as they are: ``sample_tasks`` * ``entries`` / 8 words at most
+    tops = own.mapInArrow(count, "word string, n long").toArrow()
+    sums: Counter = Counter()
+    for word, n in zip(tops["word"].to_pylist(), tops["n"].to_pylist(), strict=True):
+        sums[word] += n
+    words = [w for w, _ in sorted(((w, n) for w, n in sums.items() if "\0" not in w), key=lambda x: (-x[1], x[0]))[:entries]]
     table = PretokenTable(path, len)
     return "\0".join(words), array("I", [table[w] for w in words]).tobytes()
 

@@ -138,6 +138,26 @@ def test_mixing_takes_documents_without_words_as_often_as_their_source_whole(spa
     assert any(copies[r.doc_id] for r in got if not r.size)
 
 
+def test_the_mix_meets_targets_with_null_and_repeated_ids(spark):
+    ten = "w " * 10
+    cases = {
+        "null ids, one text": ([ten] * 100, [None] * 100),
+        "null ids, many texts": ([f"w{i} " * 10 for i in range(100)], [None] * 100),
+        "one id, one text": ([ten] * 99 + [ten], [5] * 99 + [6]),
+        "one id, many texts": ([f"w{i} " * 10 for i in range(60)] + [ten] * 40, [5] * 100),
+        "one id, many sizes": (["w " * (i % 7 + 4) for i in range(140)], [5] * 70 + [None] * 70),
+    }
+    for name, (texts, ids_) in cases.items():
+        df = frame(spark, texts, ids_)
+        total = sum(len(words(t)) for t in texts)
+        took = sum(r.taken for r in mixing.mixed(df).collect())
+        got = mixing.mixed_documents(df).collect()
+        assert sum(len(words(r.text)) for r in got) == took and abs(took - 1.5 * total) <= 10, name
+        assert max(Counter((r.doc_id, r.text) for r in got).values()) <= 2 * max(Counter(zip(ids_, texts, strict=True)).values()), name
+        assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mixed_documents(df.repartition(3)).collect())), name
+    assert mixing.mixed_documents(frame(spark, [])).count() == 0
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(5)
     off = []
@@ -424,21 +444,37 @@ def test_groups_are_maximal_repeats_with_all_occurrences():
     assert got == [([0, 1], 3, 49), ([0, 1, 2], 2, 48)]
 
 
-def test_nearest_with_repeated_rows_and_any_batches(spark):
+def nearest_by_force(rows_, every, k=10):
+    """(query_id, rank, vec_id, score) of every query over all rows but those of its own id; a query's vector is the least of its id's."""
+    names, x = np.array([i for i, _ in rows_]), np.array([v for _, v in rows_], float)
+    out = []
+    for q in sorted({i for i in names.tolist() if i % every == 0}):
+        vector = np.array(min(v for i, v in rows_ if i == q), float)
+        other = names != q
+        far, own = np.sqrt(((x[other] - vector) ** 2).sum(1)), names[other]
+        out += [(q, n + 1, int(own[i]), float(far[i])) for n, i in enumerate(np.lexsort((own, far))[:k].tolist())]
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_nearest_with_repeated_ids_and_copies(spark, monkeypatch, partitions):
     rng = np.random.default_rng(31)
-    x = rng.normal(size=(4000, 12))
-    rows_ = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (1, x[1].tolist())]
-    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(1)
-    found = []
-    for batch in ("100", "10000"):
+    x = np.round(rng.normal(size=(4000, 12)), 3).tolist()
+    rows_ = list(enumerate(x))
+    rows_ += [(0, x[0])] * 20 + [(1000, x[0]), (7, x[0])]  # a query's id 21 times, and two exact copies of it under other ids
+    rows_ += [(400, x[400])] * 10 + [(401, x[400])] * 50 + [(402, x[400])]  # k + 1 rows of a query's id, then 50 copies of one other id
+    rows_ += [(800, x[9]), (800, x[10]), (5, x[800]), (1, x[1])]  # an id of three vectors
+    rows_ += [(i, x[1200]) for i in range(5000, 5030)] * 2 + [(1200, x[1200])] * 49
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(partitions)
+    want, found = nearest_by_force(rows_, 400), []
+    for batch, shard in (("100", 64 << 20), ("10000", 12 * 8 * 300)):
+        monkeypatch.setattr(ann, "SHARD_BYTES", shard)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-        found.append(sorted(map(tuple, ann.nearest(df, every=400).collect())))
+        found.append(sorted(map(tuple, ann.nearest(df, every=400, block=4).collect())))
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert found[0] == found[1]
-    for q in range(0, 4000, 400):
-        s = np.sqrt(((x - x[q]) ** 2).sum(1))
-        s[q] = np.inf
-        assert [r[2] for r in found[0] if r[0] == q and r[2] != 1] == [i for i in np.lexsort((np.arange(4000), s))[:10].tolist() if i != 1][: sum(1 for r in found[0] if r[0] == q and r[2] != 1)]
+    assert [r[:3] for r in found[0]] == [r[:3] for r in want] == [r[:3] for r in found[1]]
+    assert np.allclose([r[3] for r in found[0]], [r[3] for r in want], rtol=0, atol=1e-12)
+    assert [r[2] for r in want if r[0] == 0][:2] == [7, 1000] and [r[2] for r in want if r[0] == 400] == [401] * 10
 
 
 def test_toxicity_features_and_labels(spark):
