@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +26,40 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or _own_folder()).rstrip("/")
 
 
+#: The folder within the shared one that tables go to, where ``scratch`` names it.
+_scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder with all its files, in whatever store it lies; none is no error."""
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables stored within it go to a folder of their own in the shared one, which is deleted at its end."""
+    path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(path)
+    try:
+        yield path
+    finally:
+        _scratch.reset(token)
+        delete_folder(spark, path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written and read back: later plans are short, and survive the loss of any executor."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch.get() or shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
