@@ -213,7 +213,9 @@ def with_segments(df: DataFrame) -> DataFrame:
         return F.struct(i.alias("p"), F.when(~F.upper(attr(a, "METHOD")).isin("", "NONE"), found).alias("key"))
 
     maps = lambda a, i: F.struct(i.alias("p"), F.struct(attr(a, "URI").alias("uri"), attr(a, "BYTERANGE").alias("byterange")).alias("map"))
-    in_force = lambda c, s: F.try_element_at(F.filter(c, lambda k: k["p"] < s["p"]), F.lit(-1))
+    # tags in blocks of about the root of their number: a segment looks at the blocks' first ones, then into one block
+    before = lambda c, s, p: F.try_element_at(F.filter(c, lambda x: p(x) < s["p"]), F.lit(-1))
+    in_force = lambda c, s: before(before(c, s, lambda b: F.get(b, 0)["p"]), s, lambda k: k["p"])
     pdt = lambda s: _last(F.transform(s["own"], lambda x: F.when(_has("#EXT-X-PROGRAM-DATE-TIME", x), parse_pdt(_value(x)))))
 
     def segments(v: Column) -> Column:
@@ -227,7 +229,12 @@ def with_segments(df: DataFrame) -> DataFrame:
 
     own = with_accepted(df)
     both = F.struct("ls", "acc")
-    known = lambda v: F.struct(v["ls"].alias("ls"), v["acc"].alias("acc"), tagged(v["ls"], "#EXT-X-KEY", key).alias("ks"), tagged(v["ls"], "#EXT-X-MAP", maps).alias("ms"))
+
+    def blocks(tags: Column) -> Column:
+        size = lambda t: F.ceil(F.sqrt(F.size(t))).cast("int")
+        return let(tags, lambda t: F.when(F.size(t) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1)), F.greatest(size(t), F.lit(1))), lambda i: F.slice(t, i, size(t)))))
+
+    known = lambda v: F.struct(v["ls"].alias("ls"), v["acc"].alias("acc"), blocks(tagged(v["ls"], "#EXT-X-KEY", key)).alias("ks"), blocks(tagged(v["ls"], "#EXT-X-MAP", maps)).alias("ms"))
     return own.withColumn("segs", let(both, lambda v: let(known(v), segments)))
 
 

@@ -352,24 +352,23 @@ def rules_dash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_rows(decode.findings_of(decode.decode_fetches(stored(log, "log"), stored(targets, "targets"), formats=("dash",))))
 
 
-@query(f"""SELECT 't' || o_orderkey AS target, x.check_name, x.severity FROM orders
+@query(f"""SELECT 't' || o_orderkey AS target, '1280x720' AS variant, x.check_name, x.severity, ({fetchlog.BEGIN + fetchlog.LEAD} + o_orderkey % 1000 * 120)::BIGINT AS at FROM orders
 JOIN (VALUES {", ".join(f"({f}, '{c}', '{v}')" for f, found in fetchlog.MEDIA.items() for c, v in found)}) x(f, check_name, severity) ON o_orderkey % {fetchlog.MEDIA_FAULTS} = x.f""")
 def rules_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, targets, probes, logs = fetchlog.media_log(spark, sf_dir)
     tables = decode.decode_fetches(stored(log, "log"), targets, media_probes=stored(probes, "probes"), content_logs=stored(logs, "logs"), freeze_bar=0.5, formats=("hls",))
     names = ["media_unreadable", "no_streams", "audio_track_missing", "video_track_missing", "codec_mismatch", "resolution_mismatch", "black_frames", "frozen_video", "silent_audio"]
-    return rule_rows(decode.findings_of(tables, names)).select("target", "check_name", "severity")
+    return rule_rows(decode.findings_of(tables, names)).select("target", "variant", "check_name", "severity", "at")
 
 
 @query(f"""WITH {COUNTED}, o AS (SELECT f, f % 8 AS k, sum(errors) AS e FROM counted GROUP BY f),
 x AS (SELECT f, CASE k WHEN 1 THEN 'ts_truncated' WHEN 2 THEN 'ts_transport_errors' WHEN 3 THEN 'ts_sync_loss' WHEN 4 THEN 'ts_pat_missing' WHEN 5 THEN 'ts_pmt_missing' WHEN 6 THEN 'ts_sync_loss' END AS c FROM o
-UNION ALL SELECT f, 'ts_continuity_errors' FROM o WHERE e > 0 AND k <> 6) SELECT f::VARCHAR AS target, c AS check_name, 'critical' AS severity FROM x WHERE c IS NOT NULL""")
+UNION ALL SELECT f, 'ts_continuity_errors' FROM o WHERE e > 0 AND k <> 6) SELECT 't' || f AS target, 'v' || (f % 2) AS vantage, 'direct' AS variant, c AS check_name, 'critical' AS severity,
+({fetchlog.BEGIN + fetchlog.LEAD} + f % 1000 * 120)::BIGINT AS at FROM x WHERE c IS NOT NULL AND NOT ({fetchlog.TS_SILENT.format(k="f")})""")
 def rules_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = render.ts_bytes(spark, sf_dir).select("*", F.lit("v").alias("vantage"), F.col("fetch_id").cast("string").alias("target"), F.lit("direct").alias("variant"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
-    tables = transport.ts_analysis(own, "vantage", "target", "variant", "ts", "pids", "pmts")
-    tables = {"ts": stored(tables, "transport")}
-    tables["worst"] = transport.worst_pid(transport.name_pid(transport.ts_pid_stats(tables["ts"]), transport.ts_streams(tables["ts"])))
-    return rule_rows(decode.findings_of(tables)).select("target", "check_name", "severity")
+    log, targets, data = fetchlog.ts_log(spark, sf_dir)
+    tables = decode.decode_fetches(stored(log, "log"), targets, segment_bytes=data, formats=("hls",))
+    return rule_rows(decode.findings_of(tables, ["ts_sync_loss", "ts_truncated", "ts_transport_errors", "ts_continuity_errors", "ts_pat_missing", "ts_pmt_missing"]))
 
 
 # Headers, codecs, configuration, views
