@@ -110,22 +110,25 @@ def whole_polls(fetches: DataFrame, wait: str = "30 seconds", delay: str = "10 s
 
 def stream_polls(
     fetches: DataFrame, targets: DataFrame | Callable[[], DataFrame], findings: Callable[[DataFrame, int], None], facts: Callable[[DataFrame, int], None],
-    checkpoint: str, wait: str = "30 seconds", delay: str = "10 seconds",
+    checkpoint: str, wait: str = "30 seconds", delay: str = "10 seconds", names: list[str] | None = None,
 ):
     """The first of two queries over a stream of fetches: gathers polls whole (see whole_polls), decodes them, hands the findings of all
     rules within a poll to ``findings`` and its poll_facts to ``facts``, the table that the second, stream_cross_poll, streams from.
 
     targets: a table, or a function that gives it anew for each micro-batch, so that a configuration read again applies to the next. What
-    a micro-batch stores between steps lies in a folder of its own, deleted at its end.
+    a micro-batch stores between steps lies in a folder of its own, deleted at its end. names: the rules within a poll to run, all if not
+    given. A micro-batch that releases no poll calls nothing.
     """
 
     def send(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
+            if batch.isEmpty():
+                return
             with scratch(batch.sparkSession):
                 tables = decode.decode_fetches(batch, targets() if callable(targets) else targets)
-                names = [n for n, (_, needs, _) in rules.RULES.items() if n not in CROSS_POLL and all(t in tables for t in needs)]
-                findings(decode.findings_of(tables, names), batch_id)
+                runnable = [n for n, (_, needs, _) in rules.RULES.items() if n not in CROSS_POLL and all(t in tables for t in needs)]
+                findings(decode.findings_of(tables, names or runnable), batch_id)
                 facts(poll_facts(tables), batch_id)
         finally:
             batch.unpersist()

@@ -8,7 +8,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from playwatch.operators import incidents, maintenance
+from playwatch.operators import decode, incidents, maintenance
+from playwatch.plans import fetchlog
 from playwatch.streaming import streams
 
 T0 = datetime(2024, 1, 1)
@@ -174,3 +175,36 @@ def test_rates_slide_over_panes(spark, tmp_path, minutes, every):
     assert shape(batch) == starts and all(abs(r.rate - r.n / minutes) < 1e-12 for r in batch.collect())
     got = run(spark, tmp_path, rows, FINDING, lambda s: streams.stream_rates(streams.with_lateness(s, "2 hours"), minutes, every), f"rates_{minutes}_{every}", files=3)
     assert shape(got) == starts
+
+
+def test_polls_split_over_files_give_what_whole_ones_give(spark, tmp_path):
+    log, targets = fetchlog.hls_log(spark, "/root/testdata/sf0.001")
+    few = lambda c: F.substring(c, 2, 9).cast("int") <= 90
+    log, targets = log.filter(few("target")), targets.filter(few(F.col("name")))
+    rows = log.withColumn("part", F.pmod(F.xxhash64("fetch_id"), F.lit(3))).toArrow()
+    rows = spark.createDataFrame(rows)
+    assert rows.groupBy("poll_id").agg(F.count_distinct("part").alias("n")).filter("n > 1").count() > 20
+    end = rows.limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 2 DAYS")).withColumn("poll_id", F.lit("end")).withColumn("part", F.lit(9).cast("long"))
+    folder = str(tmp_path / "in")
+    for part in (2, 0, 1):
+        rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    end.drop("part").coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    # rules that need more than one fetch of a poll, and some that need its manifest alone
+    names = ["manifest_fetch", "media_fetch", "segment_availability", "init_segment_availability", "blocking_reload_missing", "key_fetch", "key_size_invalid", "master_empty", "targetduration_missing"]
+    said, facts, read_again = [], [], []
+
+    def settings():
+        read_again.append(1)
+        return targets
+
+    keep = lambda df: [tuple(r) for r in df.select("ts", "vantage", "target", "variant", "check", "severity", "message").collect()]
+    query = streams.stream_polls(
+        source, settings, lambda df, n: said.extend(keep(df)), lambda df, n: facts.extend(map(tuple, df.collect())), str(tmp_path / "cp"), delay="6 hours", names=names,
+    ).trigger(availableNow=True).start()
+    query.awaitTermination(600)
+    tables = decode.decode_fetches(rows.drop("part"), targets)
+    assert Counter(said) == Counter(keep(decode.findings_of(tables, names))) and len({x[4] for x in said}) >= 8
+    assert Counter(facts) == Counter(map(tuple, streams.poll_facts(tables).collect())) and len(facts) > 50
+    assert read_again
+    assert not [f for f in os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) if f.startswith("scratch-")]
