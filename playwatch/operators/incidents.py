@@ -7,15 +7,16 @@ finding before that sweep still belongs to it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from playwatch.operators.crosspoll import as_of
 from playwatch.operators.maintenance import suppressed_by, window_active
+from playwatch.sources.stored import stored
 
 KEY = ["vantage", "target", "variant", "check"]
 MICRO = 1_000_000
@@ -101,25 +102,42 @@ def incidents(findings: DataFrame, resolve_after: float = 90, sweep: float = 0,
     )
 
 
+def _joined(left: DataFrame, right: DataFrame, on: list[str], kind: str = "inner") -> DataFrame:
+    """A join on columns of which any may be null; the right side's other columns come along."""
+    right = right.withColumnsRenamed({c: f"its_{c}" for c in on})
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in on))
+    return left.join(right, same, kind).drop(*(f"its_{c}" for c in on))
+
+
 def _reminded(due: DataFrame, wait: int) -> DataFrame:
     """Of the findings that may be told, those that are: each incident's first, and then the next one ``wait`` after the last told.
 
-    Each depends on the one before, so an incident's findings stream sorted through one task, which keeps the last notice alone.
+    Each depends on the one before, but where each would lead does not: the next instant at least ``wait`` later is looked up for all
+    instants at once. Those pointers are doubled, and the instants that the first one leads to grow by as many jumps each time, so an
+    incident of n notices takes log2(n) rounds of joins on (incident, instant), and none passes through one task. Incidents too short for
+    a round's jumps have no pointers left in it.
     """
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, told = None, 0
-        for batch in batches:
-            keys = list(zip(*(batch[c].to_pylist() for c in (*KEY, "island")), strict=True))
-            picked = []
-            for i, (own, at) in enumerate(zip(keys, batch["at"].to_pylist(), strict=True)):
-                if own != key or at - told >= wait:
-                    key, told = own, at
-                    picked.append(i)
-            yield batch.take(pa.array(picked, pa.int64()))
-
-    dealt = due.repartition(*KEY, "island").sortWithinPartitions(*KEY, "island", "at", "message")
-    return dealt.mapInArrow(tell, dealt.schema)
+    own = [*KEY, "island"]
+    due = stored(due, "due")
+    instants = due.select(*own, "at").distinct()
+    # in reversed time the last instant not after (at + wait) is the first one not before it
+    probes = instants.withColumn("ts", F.timestamp_micros(-(F.col("at") + wait)))
+    jumps = as_of(probes, instants.select(*own, F.timestamp_micros(-F.col("at")).alias("ts"), F.col("at").alias("next")), own, ["next"])
+    jumps = stored(jumps.filter("next IS NOT NULL").select(*own, "at", "next"), "jumps")
+    told = instants.groupBy(*own).agg(F.min("at").alias("at"))
+    longest = instants.groupBy(*own).agg((F.max("at") - F.min("at")).alias("span")).agg(F.max("span")).first()[0] or 0
+    reach, most = 1, longest // wait
+    while reach <= most:
+        more = _joined(told, jumps, [*own, "at"]).select(*own, F.col("next").alias("at"))
+        told = stored(told.unionByName(more), "told")
+        reach *= 2
+        if reach <= most:
+            after = jumps.select(*own, F.col("at").alias("next"), F.col("next").alias("last"))
+            jumps = stored(_joined(jumps, after, [*own, "next"]).select(*own, "at", F.col("last").alias("next")), "jumps")
+    picked = _joined(due, told, [*own, "at"])
+    rest = [c for c in due.columns if c not in (*own, "at", "message", "nth")]
+    first = picked.groupBy(*own, "at").agg(F.min(F.struct("message", "nth", *rest)).alias("r"))
+    return first.select(*own, "at", "r.*")
 
 
 def notifications(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from playwatch.functions.columns import bool_of, display_format, lookup, series_key, severity_rank, short_name
-from playwatch.operators.crosspoll import edge_speed, findings_rate, sustained, trend
+from playwatch.operators.crosspoll import as_of, edge_speed, findings_rate, sustained, trend
 from playwatch.operators.gauges import HELP
 
 SERIES = ["vantage", "target", "variant", "name"]
@@ -80,11 +80,17 @@ def on_live_targets(samples: DataFrame, liveness: DataFrame) -> DataFrame:
     return samples.join(live.select("target"), "target", "left_semi")
 
 
-def edge_vs_origin(fetches: DataFrame) -> DataFrame:
-    """Edge fetches (vantage edge) with the last origin fetch before them of the same target: origin_edge and behind_s."""
-    w = Window.partitionBy("target").orderBy("ts", F.col("vantage").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    own = fetches.withColumn("origin_edge", F.last(F.when(F.col("vantage") == "origin", F.col("edge")), ignorenulls=True).over(w))
-    return own.filter("vantage = 'edge'").withColumn("behind_s", (F.unix_micros("origin_edge") - F.unix_micros("edge")) / 1e6)
+def edge_vs_origin(fetches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Fetches of the edge vantages with origin, origin_edge and behind_s: the newest edge that the paired origin had shown by then for the
+    same target, and how far the fetch's own edge is behind it; null where the origin had shown none.
+
+    pairs: edge_vantage and origin_vantage, any number of rows; a vantage may stand in several. fetches: target, vantage, ts, edge, ...
+    """
+    edges = fetches.join(pairs.select(F.col("edge_vantage").alias("vantage"), F.col("origin_vantage").alias("origin")).distinct(), "vantage")
+    origins = fetches.filter("edge IS NOT NULL").join(pairs.select(F.col("origin_vantage").alias("vantage")).distinct(), "vantage", "left_semi")
+    origins = origins.select("target", F.col("vantage").alias("origin"), "ts", F.col("edge").alias("origin_edge"))
+    own = as_of(edges, origins, ["target", "origin"], ["origin_edge"])
+    return own.withColumn("behind_s", (F.unix_micros("origin_edge") - F.unix_micros("edge")) / 1e6)
 
 
 def regional_divergence(incidents: DataFrame, vantages: DataFrame) -> DataFrame:

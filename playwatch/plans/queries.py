@@ -150,6 +150,22 @@ def x1_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("fetch_id", "sequence", "prev_value", F.unix_micros(F.col("changed_at").cast("timestamp")).alias("changed_at"))
 
 
+PAIRS = [("v0", "v1"), ("v2", "v1"), ("v3", "v4"), ("v3", "v1"), ("v1", "none")]
+
+
+@query(f"""WITH {POLLS}, f AS (SELECT fetch_id, target, 'v' || (fetch_id % 5) AS vantage, ts, CASE WHEN fetch_id % 7 <> 0 THEN epoch_us(ts) - floor(value * 1000)::BIGINT * 1000 END AS edge FROM polls),
+pairs AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in PAIRS)}) p(edge_vantage, origin)),
+origins AS (SELECT target, vantage AS origin, ts, max(edge) AS origin_edge FROM f WHERE edge IS NOT NULL GROUP BY ALL),
+edges AS (SELECT f.*, p.origin FROM f JOIN pairs p ON f.vantage = p.edge_vantage)
+SELECT e.fetch_id, e.origin, round((o.origin_edge - e.edge) / 1e6, 3) AS behind_s FROM edges e ASOF LEFT JOIN origins o ON e.target = o.target AND e.origin = o.origin AND e.ts >= o.ts""")
+def j12_edge_vs_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = render.polls(spark, sf_dir)
+    edge = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) - F.floor(F.col("value") * 1000) * 1000)
+    own = own.select("fetch_id", "target", F.concat(F.lit("v"), (F.col("fetch_id") % 5).cast("string")).alias("vantage"), "ts", F.when(F.col("fetch_id") % 7 != 0, edge).alias("edge"))
+    pairs = spark.createDataFrame(PAIRS, "edge_vantage string, origin_vantage string")
+    return views.edge_vs_origin(own, pairs).select("fetch_id", "origin", F.round("behind_s", 3).alias("behind_s"))
+
+
 @query(f"WITH {POLLS}, a AS (SELECT *, lag(sequence) OVER w AS p FROM polls {POLL_W}) SELECT fetch_id, p AS before, sequence FROM a WHERE sequence < p")
 def x6_rollbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspoll.rollbacks(render.polls(spark, sf_dir), ["target", "variant"], "sequence").select("fetch_id", F.col("prev_sequence").alias("before"), "sequence")

@@ -46,6 +46,12 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """Makes an empty file, which is there whole or not at all."""
+    files, where = _file_system(spark, path)
+    files.create(where, True).close()
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """Tables stored within it go to a folder of their own in the shared one, which is deleted at its end."""

@@ -1,6 +1,7 @@
 """Configuration, sinks, views and samples on small fixtures."""
 
 import json
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -47,7 +48,7 @@ def test_sinks(spark, tmp_path):
     lines = [json.loads(x) for f in (tmp_path / "f").glob("*.json") for x in f.read_text().splitlines()]
     assert len(lines) == 3 and sum("variant" in x for x in lines) == 2
     seen = []
-    logs.fan_out([lambda df, n: seen.append((df.count(), n)), logs.idempotent(str(tmp_path / "i"))])(notices, 4)
+    logs.fan_out({"seen": lambda df, n: seen.append((df.count(), n)), "files": logs.idempotent(str(tmp_path / "i"))})(notices, 4)
     logs.idempotent(str(tmp_path / "i"))(notices, 4)
     assert seen == [(3, 4)] and spark.read.parquet(str(tmp_path / "i")).count() == 3
     fetches = spark.createDataFrame([(1, logs.MOST_BODY, None), (2, 5, None)], "fetch_id int, body_len long, error string")
@@ -122,7 +123,42 @@ def test_requests_targets_and_divergence(spark):
     changes, notices, left = streams.apply_targets(targets, targets.filter("name = 'a'"), open_, spark.createDataFrame([sample(0, "probe_up", 1), sample(0, "probe_up", 1, "b")], SAMPLE), now())
     assert [tuple(r) for r in changes.collect()] == [("b", "removed")] and [r.target for r in notices.collect()] == ["b"] and [r.target for r in left.collect()] == ["a"]
     fetches = spark.createDataFrame([("t", "origin", T0, T0), ("t", "edge", T0 + timedelta(seconds=5), T0 - timedelta(seconds=9))], "target string, vantage string, ts timestamp, edge timestamp")
-    assert [r.behind_s for r in views.edge_vs_origin(fetches).collect()] == [9.0]
+    pairs = spark.createDataFrame([("edge", "origin"), ("edge", "nowhere")], "edge_vantage string, origin_vantage string")
+    assert {(r.origin, r.behind_s) for r in views.edge_vs_origin(fetches, pairs).collect()} == {("origin", 9.0), ("nowhere", None)}
+
+
+def test_a_batch_run_again_passes_over_the_sinks_that_are_done(spark, tmp_path):
+    first, second, failing = [], [], [True]
+
+    def breaks(df, n):
+        if failing.pop() if failing else False:
+            raise RuntimeError("down")
+        second.append(n)
+
+    df, marks = spark.range(3), str(tmp_path / "marks")
+    send = logs.fan_out({"first": lambda df, n: first.append(n), "second": breaks}, marks)
+    with pytest.raises(RuntimeError):
+        send(df, 0)
+    again = logs.fan_out({"first": lambda df, n: first.append(n), "second": breaks}, marks)
+    for n in (0, 0, 1, 2, 3, 3):
+        again(df, n)
+    assert first == [0, 1, 2, 3] and second == [0, 1, 2, 3]
+    assert sorted(f.name for f in (tmp_path / "marks" / "first").iterdir() if not f.name.startswith(".")) == ["done-2", "done-3"]
+
+
+def test_scans_of_a_key_cross_its_stretches(spark):
+    from playwatch.operators import crosspoll
+
+    days = [0, 0.1, 0.2, 1.5, 4, 4.1, 9]
+    polls = [(f"f{i}", T0 + timedelta(days=d), k, v) for k in ("a", None) for i, (d, v) in enumerate(zip(days, [1, 1, None, None, 2, 2, 2], strict=True))]
+    df = spark.createDataFrame(polls, "fetch_id string, ts timestamp, k string, value int")
+    got = {(r.k, r.fetch_id): (r.prev_value, (r.changed_at - T0).total_seconds() / 86400) for r in crosspoll.change_points(df, ["k"], "value").collect()}
+    want = {0: (None, 0), 1: (1, 0), 2: (1, 0.2), 3: (None, 0.2), 4: (None, 4), 5: (2, 4), 6: (2, 4)}
+    assert got == {(k, f"f{i}"): v for k in ("a", None) for i, v in want.items()}
+    held = crosspoll.sustained(df, ["k"], F.col("value") == 2, 86_400)
+    assert Counter((r.k, r.fetch_id, (r.since - T0).days) for r in held.collect()) == Counter([("a", "f6", 4), (None, "f6", 4)])
+    plan = crosspoll.change_points(df, ["k"], "value")._jdf.queryExecution().optimizedPlan().toString()
+    assert all("stretch" in line for line in plan.splitlines() if "Window" in line)
 
 
 def test_a_session_elsewhere_must_name_the_shared_folder(tmp_path):
