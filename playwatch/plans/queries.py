@@ -492,23 +492,35 @@ def k9_tile_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.tile_health(*status_tables(spark, sf_dir)).select("target", "health", "message", "ttfb_s")
 
 
+# per fault of the log: what was fetched and came, what playlists and masters say
 GAUGES = """o AS (SELECT o_orderkey AS k, o_orderkey % 43 AS f, q.p FROM orders JOIN (VALUES (0), (1)) q(p) ON true),
+m AS (SELECT *, NOT (f IN (1, 42) OR (f = 2 AND p = 1)) AS came FROM o),
 g AS (SELECT *, CASE WHEN f >= 35 THEN '1280x720' ELSE 'direct' END AS variant, CASE WHEN f >= 35 THEN f NOT IN (36, 37, 42) ELSE f NOT IN (1, 3) AND NOT (f = 2 AND p = 1) END AS came FROM o),
-every AS (SELECT k, p, '' AS variant, 'probe_up' AS name, (NOT (f IN (1, 42) OR (f = 2 AND p = 1)))::INT AS value FROM o
+s AS (SELECT k, p, f, i.i, NOT (f = 33 AND i.i > 0) AS came FROM o JOIN (VALUES (0), (1), (2)) i(i) ON f IN (0, 33)),
+every AS (SELECT k, p, '' AS variant, 'probe_up' AS name, came::INT::DOUBLE AS value FROM m
+UNION ALL SELECT k, p, '', 'manifest_fetch_seconds', 0.1 FROM m
+UNION ALL SELECT k, p, '', 'manifest_age_seconds', 1 FROM m WHERE came UNION ALL SELECT k, p, '', 'manifest_cache_hit', 1 FROM m WHERE came
+UNION ALL SELECT k, p, variant, 'media_fetch_seconds', 0.1 FROM g WHERE f >= 35 AND f NOT IN (37, 42)
+UNION ALL SELECT k, p, variant, 'manifest_age_seconds', 1 FROM g WHERE f >= 35 AND came UNION ALL SELECT k, p, variant, 'manifest_cache_hit', 1 FROM g WHERE f >= 35 AND came
+UNION ALL SELECT k, p, 'direct', 'segment_available', came::INT FROM s UNION ALL SELECT k, p, 'direct', 'segment_ttfb_seconds', 0.05 FROM s WHERE came
+UNION ALL SELECT k, p, 'direct', 'init_segment_available', 0 FROM o WHERE f = 34
+UNION ALL SELECT k, p, 'direct', 'key_available', (f <> 29)::INT FROM o WHERE f IN (26, 29, 30, 31, 32) UNION ALL SELECT k, p, 'direct', 'key_fetch_seconds', 0.1 FROM o WHERE f IN (26, 29, 30, 31, 32)
+UNION ALL SELECT k, p, '', 'variant_count', (f <> 37)::INT FROM o WHERE f >= 35 AND f <> 42
+UNION ALL SELECT k, p, '', 'rendition_count', CASE f WHEN 39 THEN 2 WHEN 40 THEN 1 WHEN 41 THEN 2 ELSE 0 END FROM o WHERE f >= 35 AND f <> 42
 UNION ALL SELECT k, p, variant, 'variant_up', came::INT FROM g WHERE came OR f = 36
 UNION ALL SELECT k, p, variant, 'segment_count', CASE f WHEN 5 THEN 0 WHEN 9 THEN 2 ELSE 5 END FROM g WHERE came
 UNION ALL SELECT k, p, variant, 'stream_live', (f <> 8)::INT FROM g WHERE came
 UNION ALL SELECT k, p, variant, 'low_latency', (f BETWEEN 15 AND 23)::INT FROM g WHERE came
+UNION ALL SELECT k, p, variant, 'part_target_seconds', CASE f WHEN 16 THEN 0 ELSE 0.5 END FROM g WHERE f BETWEEN 15 AND 23
 UNION ALL SELECT k, p, variant, 'media_sequence', CASE WHEN f = 5 THEN 0 WHEN p = 0 OR f = 11 THEN 100 WHEN f = 10 THEN 50 ELSE 110 END FROM g WHERE came
 UNION ALL SELECT k, p, variant, 'playlist_window_seconds', CASE f WHEN 5 THEN 0 WHEN 7 THEN 31 WHEN 9 THEN 12 ELSE 30 END FROM g WHERE came
 UNION ALL SELECT k, p, variant, 'key_count', (f BETWEEN 25 AND 32)::INT FROM g WHERE came)"""
-GAUGE_NAMES = ["probe_up", "variant_up", "segment_count", "stream_live", "low_latency", "media_sequence", "playlist_window_seconds", "key_count"]
 
 
 @query(f"WITH {GAUGES} SELECT 't' || k AS target, p::BIGINT AS poll, variant, name, value::DOUBLE AS value FROM every")
 def g8_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, targets = fetchlog.hls_log(spark, sf_dir)
-    own = gauges.samples(decode.decode_fetches(stored(log, "log"), stored(targets, "targets"), formats=("hls",))).filter(F.col("name").isin(*GAUGE_NAMES))
+    own = gauges.samples(decode.decode_fetches(stored(log, "log"), stored(targets, "targets"), formats=("hls",)))
     poll = (F.unix_seconds("ts") % 120 / 60).cast("long")
     return own.select("target", poll.alias("poll"), "variant", "name", "value")
 
@@ -529,3 +541,136 @@ FROM e""")
 def d4_resolve_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = render.table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(F.array(*(F.lit(r) for r in REFERENCES))).alias("i", "r"))
     return own.select("page_id", (F.col("i") + 1).alias("ref"), C.resolve_url(F.col("url"), F.col("r")).alias("resolved"))
+
+
+# Series of every kind, and what incidents come to
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % {fetchlog.MEDIA_FAULTS} AS f FROM orders WHERE o_orderkey % {fetchlog.MEDIA_FAULTS} NOT IN (7, 13, 14, 15, 16)),
+every AS (SELECT k, 'media_readable' AS name, (f <> 1)::DOUBLE AS value FROM o
+UNION ALL SELECT k, 'media_streams', CASE WHEN f = 2 THEN 0 WHEN f IN (3, 4, 8) THEN 1 ELSE 2 END FROM o WHERE f <> 1
+UNION ALL SELECT k, 'audio_peak_dbfs', CASE f WHEN 11 THEN -91.0 ELSE -3.0 END FROM o WHERE f <> 12
+UNION ALL SELECT k, 'audio_mean_dbfs', -20.5 FROM o WHERE f <> 12
+UNION ALL SELECT k, 'black_seconds', CASE f WHEN 9 THEN 5.6 ELSE 0.0 END FROM o WHERE f <> 12
+UNION ALL SELECT k, 'freeze_seconds', CASE f WHEN 10 THEN 4.0 ELSE 0.4 END FROM o WHERE f <> 12)
+SELECT 't' || k AS target, '1280x720' AS variant, name, value::DOUBLE AS value FROM every""")
+def g8_media_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, targets, probes, logs = fetchlog.media_log(spark, sf_dir)
+    tables = decode.decode_fetches(stored(log, "log"), targets, media_probes=stored(probes, "probes"), content_logs=stored(logs, "logs"), formats=("hls",))
+    return gauges.media_gauges(tables).select("target", "variant", "name", "value")
+
+
+@query(f"""WITH {COUNTED}, o AS (SELECT f, f % 8 AS k, sum(packets) AS n, sum(errors) AS e FROM counted WHERE NOT ({fetchlog.TS_SILENT.format(k="f")}) GROUP BY f),
+every AS (SELECT f, 'ts_aligned' AS name, (k <> 6)::DOUBLE AS value FROM o
+UNION ALL SELECT f, 'ts_packets', n + 3 + (k <> 4)::INT + (k <> 5)::INT + (k IN (2, 3))::INT FROM o WHERE k <> 6
+UNION ALL SELECT f, 'ts_continuity_errors', e FROM o WHERE k <> 6 UNION ALL SELECT f, 'ts_transport_errors', (k = 2)::INT FROM o WHERE k <> 6)
+SELECT 't' || f AS target, 'direct' AS variant, name, value::DOUBLE AS value FROM every""")
+def g8_transport_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, targets, data = fetchlog.ts_log(spark, sf_dir)
+    tables = decode.decode_fetches(stored(log, "log"), targets, segment_bytes=data, formats=("hls",))
+    return gauges.media_gauges({"ts": tables["ts"]}).select("target", "variant", "name", "value")
+
+
+NOW, NOW_US = "2024-01-15 00:00:00", 1_705_276_800_000_000
+NOTICES = f"notices AS ({QUERIES['i4_notifications'][1]})"
+ALL_INCIDENTS = f"incidents AS ({QUERIES['i1_incidents'][1]})"
+QUIET = f"""quiet AS (WITH {FINDINGS}, {CLOCKS % 'findings'} SELECT target, check_ AS check_name, {MATCHED} AS window_name, count(*) AS n FROM clocked WHERE {MATCHED} IS NOT NULL GROUP BY ALL)"""
+
+
+def told_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Findings, windows, notices and withheld notices of the event log."""
+    found, windows = stored(render.findings(spark, sf_dir), "findings"), render.windows(spark)
+    return found, windows, stored(incidents.notifications(found, windows, resolve_after=DAY), "notices"), incidents.suppressed_total(found, windows, resolve_after=DAY)
+
+
+@query(f"""WITH {NOTICES}, {QUIET}, {FINDINGS}, every AS (SELECT 'findings_total' AS name, target, check_ AS check_name, severity, NULL AS window_name, 1.0 AS value FROM findings
+UNION ALL SELECT 'incident_active', target, check_name, severity, NULL, (status = 'firing')::INT FROM notices
+UNION ALL SELECT 'incidents_opened_total', target, check_name, severity, NULL, 1 FROM notices WHERE status = 'firing'
+UNION ALL SELECT 'incidents_resolved_total', target, check_name, severity, NULL, 1 FROM notices WHERE status = 'resolved'
+UNION ALL SELECT 'notifications_suppressed_total', target, check_name, NULL, window_name, n FROM quiet
+UNION ALL SELECT 'maintenance_active', NULL, NULL, NULL, w, 0 FROM (VALUES ('move'), ('night'), ('noon')) m(w))
+SELECT name, target, check_name, severity, window_name, sum(value)::DOUBLE AS total, count(*)::BIGINT AS n FROM every GROUP BY ALL""")
+def g8_incident_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, windows, notices, withheld = told_tables(spark, sf_dir)
+    # a Monday at noon in Berlin, when no window is open
+    own = gauges.incident_samples(found, notices, withheld, windows, F.lit("2024-01-15 11:00:00").cast("timestamp"))
+    label = lambda n: F.col("labels")[n]
+    return own.groupBy("name", label("target").alias("target"), label("check").alias("check_name"), label("severity").alias("severity"), label("window").alias("window_name")).agg(
+        F.sum("value").alias("total"), F.count(F.lit(1)).alias("n")
+    )
+
+
+@query(f"""WITH {NOTICES}, {QUIET}, a AS (SELECT target, count(*) FILTER (status = 'firing') AS opened, count(*) FILTER (status = 'resolved') AS resolved FROM notices GROUP BY 1),
+q AS (SELECT target, sum(n)::BIGINT AS suppressed FROM quiet GROUP BY 1)
+SELECT target, coalesce(opened, 0)::BIGINT AS opened, coalesce(resolved, 0)::BIGINT AS resolved, coalesce(suppressed, 0)::BIGINT AS suppressed FROM a FULL JOIN q USING (target)""")
+def a12_incident_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, notices, withheld = told_tables(spark, sf_dir)
+    return incidents.incident_totals(notices, withheld).select("target", "opened", "resolved", "suppressed")
+
+
+@query(f"""WITH {NOTICES} SELECT target, check_name, severity, (arg_max(status, (us_at, status = 'resolved', vantage)) = 'firing')::INT AS active FROM notices GROUP BY ALL""")
+def a12_incident_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, notices, _ = told_tables(spark, sf_dir)
+    return incidents.incident_active(notices.filter(F.col("ts") < F.lit("2030-01-01").cast("timestamp"))).select("target", F.col("check").alias("check_name"), "severity", "active")
+
+
+@query(f"WITH {ALL_INCIDENTS} SELECT * FROM incidents WHERE opened_at IS NOT NULL AND resolved_at > {NOW_US}")
+def k7_open_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = incidents.incidents(render.findings(spark, sf_dir), resolve_after=DAY)
+    return incident_rows(incidents.open_incidents(own, F.lit(NOW).cast("timestamp")))
+
+
+@query(f"""WITH {ALL_INCIDENTS} SELECT {NOW_US}::BIGINT AS us_at, vantage, target, check_name, severity, 'target removed' AS message, 'resolved' AS status, count, first_seen FROM incidents
+WHERE resolved_at > {NOW_US} AND target::BIGINT % 10 = 0""")
+def i7_forgotten_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored(render.findings(spark, sf_dir), "findings")
+    gone = found.filter(F.col("target").cast("long") % 10 == 0).select("target")
+    own = incidents.forget(incidents.incidents(found, resolve_after=DAY), gone, F.lit(NOW).cast("timestamp"))
+    return own.select(F.unix_micros("ts").alias("us_at"), "vantage", "target", F.col("check").alias("check_name"), "severity", "message", "status", "count", F.unix_micros(F.col("first_seen").cast("timestamp")).alias("first_seen"))
+
+
+@query(f"""WITH {ALL_INCIDENTS} SELECT target, count(*)::BIGINT AS open, count(*) FILTER (severity = 'critical')::BIGINT AS critical FROM incidents WHERE resolved_at > {NOW_US} GROUP BY 1
+UNION ALL SELECT 'window ' || w, a, 0 FROM (VALUES ('move', 0), ('night', 0), ('noon', 0)) m(w, a)""")
+def i8_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit(NOW).cast("timestamp")  # a Monday, one in the morning in Berlin: the night that began on Sunday is not one of the windows'
+    own = incidents.incident_gauges(incidents.incidents(render.findings(spark, sf_dir), resolve_after=DAY), now).select("target", "open", "critical")
+    windows = incidents.maintenance_gauges(render.windows(spark), now)
+    return own.unionByName(windows.select(F.concat(F.lit("window "), "window").alias("target"), F.col("active").cast("long").alias("open"), F.lit(0).cast("long").alias("critical")))
+
+
+@query(f"""WITH r AS (SELECT {PART_DOC} AS fetch_id, p_partkey, row_number() OVER (PARTITION BY {PART_DOC} ORDER BY p_partkey) AS n FROM part)
+SELECT fetch_id, 'v/' || p_partkey || '.m3u8' AS uri FROM r WHERE n <= 3""")
+def k1_selected_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hls.select_variants(hls.hls_variants(render.hls_master_bodies(spark, sf_dir)), 3).select("fetch_id", "uri")
+
+
+@query(f"""WITH d AS (SELECT DISTINCT {PART_DOC} AS fetch_id, p_brand, p_type FROM part WHERE p_partkey % 2 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY fetch_id ORDER BY p_brand, p_type) AS n FROM d) SELECT fetch_id, p_brand AS group_id, p_type AS name FROM r WHERE n <= 2""")
+def k2_selected_renditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = hls.hls_renditions(render.hls_master_bodies(spark, sf_dir))
+    return hls.select_renditions(own, ["audio"], 2).select("fetch_id", "group_id", "name")
+
+
+@query(f"""WITH d AS (SELECT DISTINCT {PART_DOC} AS fetch_id, p_brand, p_type FROM part WHERE p_partkey % 2 = 0)
+SELECT fetch_id, p_brand AS group_id, string_agg(p_type, '|' ORDER BY p_type) AS names FROM d GROUP BY ALL""")
+def a5_rendition_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = hls.rendition_groups(hls.hls_renditions(render.hls_master_bodies(spark, sf_dir)))
+    return own.select("fetch_id", "group_id", F.array_join(F.transform("members", lambda m: m["name"]), "|").alias("names"))
+
+
+@query(f"WITH {LINES} SELECT l_orderkey AS fetch_id, max(l_quantity)::DOUBLE AS longest FROM lines GROUP BY 1")
+def a8_longest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = dash.dash_segments(timeline_reps(spark, sf_dir))
+    return dash.longest_segment(own).select("fetch_id", (F.col("seg_ns") / 1e9).alias("longest"))
+
+
+@query(f"""WITH p AS (SELECT {PART_DOC} AS fetch_id, p_partkey AS k, p_partkey % 3 AS a, p_size FROM part),
+s AS (SELECT *, unnest(range(0, CASE a WHEN 0 THEN p_size % 5 + 1 WHEN 1 THEN 1 ELSE 4 END)) AS i FROM p)
+SELECT fetch_id, 'p' || k AS rep_id, CASE a WHEN 0 THEN 'list' WHEN 1 THEN 'base' ELSE 'template-number' END AS addressing,
+'https://cdn.example/a/' || CASE a WHEN 0 THEN 'li' || k WHEN 1 THEN 'bi' || k ELSE 'ni-p' || k END || '.mp4' AS init_uri, CASE a WHEN 0 THEN 5 + i WHEN 1 THEN 0 ELSE 1 + i END::BIGINT AS number,
+CASE a WHEN 0 THEN i * 4 WHEN 1 THEN 0 ELSE i * 25 END::BIGINT * 1000000000 AS start_ns, CASE a WHEN 0 THEN 4 WHEN 1 THEN 100 ELSE 25 END::BIGINT * 1000000000 AS seg_ns,
+'https://cdn.example/a/' || CASE a WHEN 0 THEN 'l' || k || '-' || i || '.m4s' WHEN 1 THEN 'b' || k || '.mp4' ELSE 'n' || k || '-' || (i + 1) || '.m4s' END AS uri FROM s""")
+def d17_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reps = stored(dash.representations(dash.adaptation_sets(dash.periods(dash.mpd(render.mpd_addresses(spark, sf_dir))))), "representations")
+    own = dash.dash_segments(reps).select(*dash.REP_KEY, "number", "start_ns", "seg_ns", "uri")
+    return own.join(reps.select(*dash.REP_KEY, "rep_id", "addressing", "init_uri"), dash.REP_KEY).select("fetch_id", "rep_id", "addressing", "init_uri", "number", "start_ns", "seg_ns", "uri")

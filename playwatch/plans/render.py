@@ -99,6 +99,25 @@ def mpd_ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.concat_ws("-", "c_mktsegment", "stretch").alias("fetch_id"), F.lit("https://o.example/m.mpd").alias("url"), F.lit("2024-01-01 00:01:33").cast("timestamp").alias("ts"), F.concat(F.lit(head), F.array_join(F.transform("t", lambda x: x["a"]), ""), F.lit("</Period></MPD>")).alias("body"))
 
 
+def mpd_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A static MPD of 100 seconds for each part size and stretch of part keys: parts are representations, addressed by a list (key modulo 3
+    is 0), as a single file with an initialisation section (1) or by number (2)."""
+    p = table(spark, sf_dir, "part").withColumn("stretch", F.floor(F.col("p_partkey") / STRETCH))
+    k = F.col("p_partkey").cast("string")
+    join = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    urls = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 5), lambda i: join('<SegmentURL media="l', k, "-", i.cast("string"), '.m4s"/>')), "")
+    inner = (
+        F.when(F.col("p_partkey") % 3 == 0, join('<SegmentList timescale="10" duration="40" startNumber="5"><Initialization sourceURL="li', k, '.mp4"/>', urls, "</SegmentList>"))
+        .when(F.col("p_partkey") % 3 == 1, join("<BaseURL>b", k, '.mp4</BaseURL><SegmentBase><Initialization sourceURL="bi', k, '.mp4"/></SegmentBase>'))
+        .otherwise(join('<SegmentTemplate timescale="1" duration="25" media="n', k, '-$Number$.m4s" initialization="ni-$RepresentationID$.mp4"/>'))
+    )
+    rep = join('<Representation id="p', k, '" bandwidth="1">', inner, "</Representation>")
+    docs = p.groupBy("p_size", "stretch").agg(F.array_sort(F.collect_list(F.struct("p_partkey", rep.alias("r")))).alias("t"))
+    head = '<MPD type="static" mediaPresentationDuration="PT100S"><BaseURL>https://cdn.example/a/</BaseURL><Period start="PT0S"><AdaptationSet contentType="video">'
+    body = join(head, F.array_join(F.transform("t", lambda x: x["r"]), ""), "</AdaptationSet></Period></MPD>")
+    return docs.select(F.concat_ws("-", "p_size", "stretch").alias("fetch_id"), F.lit("https://o.example/m.mpd").alias("url"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"), body.alias("body"))
+
+
 #: Faults of transport streams, by order key: none, a partial packet, a corrupt one, a lost sync byte, no PAT, no PMT, no sync at all, a grid that begins late.
 TS_FAULTS = 8
 PAT = "0000b00d0001c100000001e10000000000"
