@@ -129,7 +129,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     alike = picks.filter(~torn).withColumn("times", F.col("whole") + (F.col("more") > 0).cast("long")).filter("times > 0").select("its_draw", "its_source", "its_size", "times")
     taken = own.join(alike, same(alike)).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
     # a source's rest ends in one draw, so at most one group of a source is torn: its rows are counted by digest, and like rows are one
-    torn_picks = picks.filter(torn)
+    # written apart, so that Spark knows how few they are and broadcasts them, where else it would shuffle all documents once more
+    torn_picks = written(picks.filter(torn), "torn-picks")
     rows = own.join(torn_picks, same(torn_picks)).withColumn("digest", F.md5(F.to_json("row").cast("binary")))
     kinds = written(rows.groupBy("its_draw", "its_source", "its_size", "digest").agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("n"), F.first("whole").alias("whole"), F.first("more").alias("more")), "torn")
     order = Window.partitionBy("its_draw", "its_source", "its_size").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
