@@ -17,7 +17,8 @@ def scanned(
     df: DataFrame, key: list[str], order: list[str], previous: dict[str, Column] | None = None, latest: dict[str, Column] | None = None, inclusive: bool = False
 ) -> DataFrame:
     """``df`` with, for each name of ``previous``, the value of the row before in the order of ts and ``order``, as a struct v (null where
-    no row is before), and for each name of ``latest`` the last value before (``inclusive``: up to the row itself) that is not null.
+    no row is before), and for each name of ``latest`` the last value before (``inclusive``: up to the row itself and others of its place) that is
+    not null.
 
     Two levels: windows run within a key's stretches of a day, and what a stretch needs from those before it comes from a table of a row
     for each stretch, over which alone a window spans a whole key. So a key of any length, and a hot one, is many tasks' work. Rows of
@@ -28,7 +29,8 @@ def scanned(
     rows = df.withColumns({f"__v_{n}": c for n, c in (previous | latest).items()})
     rows = rows.withColumn("__stretch", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / STRETCH))
     own = Window.partitionBy(*key, "__stretch").orderBy(*sort)
-    upto = own.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    # rows of one place see one another where the row itself counts, so that it does not matter which of them a scan meets first
+    upto = own if inclusive else own.rowsBetween(Window.unboundedPreceding, -1)
     inner = {n: F.lag(F.struct(F.col(f"__v_{n}").alias("v"))).over(own) for n in previous} | {n: F.last(f"__v_{n}", ignorenulls=True).over(upto) for n in latest}
     place = F.struct(*sort)
     ends = rows.groupBy(*key, "__stretch").agg(
