@@ -571,7 +571,7 @@ def g8_transport_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gauges.media_gauges({"ts": tables["ts"]}).select("target", "variant", "name", "value")
 
 
-NOW, NOW_US = "2024-01-15 00:00:00", 1_705_276_800_000_000
+MIDDLE, MIDDLE_US = "2024-01-15 00:00:00", 1_705_276_800_000_000
 NOTICES = f"notices AS ({QUERIES['i4_notifications'][1]})"
 ALL_INCIDENTS = f"incidents AS ({QUERIES['i1_incidents'][1]})"
 QUIET = f"""quiet AS (WITH {FINDINGS}, {CLOCKS % 'findings'} SELECT target, check_ AS check_name, {MATCHED} AS window_name, count(*) AS n FROM clocked WHERE {MATCHED} IS NOT NULL GROUP BY ALL)"""
@@ -614,25 +614,25 @@ def a12_incident_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.incident_active(notices.filter(F.col("ts") < F.lit("2030-01-01").cast("timestamp"))).select("target", F.col("check").alias("check_name"), "severity", "active")
 
 
-@query(f"WITH {ALL_INCIDENTS} SELECT * FROM incidents WHERE opened_at IS NOT NULL AND resolved_at > {NOW_US}")
+@query(f"WITH {ALL_INCIDENTS} SELECT * FROM incidents WHERE opened_at IS NOT NULL AND resolved_at > {MIDDLE_US}")
 def k7_open_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = incidents.incidents(render.findings(spark, sf_dir), resolve_after=DAY)
-    return incident_rows(incidents.open_incidents(own, F.lit(NOW).cast("timestamp")))
+    return incident_rows(incidents.open_incidents(own, F.lit(MIDDLE).cast("timestamp")))
 
 
-@query(f"""WITH {ALL_INCIDENTS} SELECT {NOW_US}::BIGINT AS us_at, vantage, target, check_name, severity, 'target removed' AS message, 'resolved' AS status, count, first_seen FROM incidents
-WHERE resolved_at > {NOW_US} AND target::BIGINT % 10 = 0""")
+@query(f"""WITH {ALL_INCIDENTS} SELECT {MIDDLE_US}::BIGINT AS us_at, vantage, target, check_name, severity, 'target removed' AS message, 'resolved' AS status, count, first_seen FROM incidents
+WHERE resolved_at > {MIDDLE_US} AND target::BIGINT % 10 = 0""")
 def i7_forgotten_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stored(render.findings(spark, sf_dir), "findings")
     gone = found.filter(F.col("target").cast("long") % 10 == 0).select("target")
-    own = incidents.forget(incidents.incidents(found, resolve_after=DAY), gone, F.lit(NOW).cast("timestamp"))
+    own = incidents.forget(incidents.incidents(found, resolve_after=DAY), gone, F.lit(MIDDLE).cast("timestamp"))
     return own.select(F.unix_micros("ts").alias("us_at"), "vantage", "target", F.col("check").alias("check_name"), "severity", "message", "status", "count", F.unix_micros(F.col("first_seen").cast("timestamp")).alias("first_seen"))
 
 
-@query(f"""WITH {ALL_INCIDENTS} SELECT target, count(*)::BIGINT AS open, count(*) FILTER (severity = 'critical')::BIGINT AS critical FROM incidents WHERE resolved_at > {NOW_US} GROUP BY 1
+@query(f"""WITH {ALL_INCIDENTS} SELECT target, count(*)::BIGINT AS open, count(*) FILTER (severity = 'critical')::BIGINT AS critical FROM incidents WHERE resolved_at > {MIDDLE_US} GROUP BY 1
 UNION ALL SELECT 'window ' || w, a, 0 FROM (VALUES ('move', 0), ('night', 0), ('noon', 0)) m(w, a)""")
 def i8_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = F.lit(NOW).cast("timestamp")  # a Monday, one in the morning in Berlin: the night that began on Sunday is not one of the windows'
+    now = F.lit(MIDDLE).cast("timestamp")  # a Monday, one in the morning in Berlin: the night that began on Sunday is not one of the windows'
     own = incidents.incident_gauges(incidents.incidents(render.findings(spark, sf_dir), resolve_after=DAY), now).select("target", "open", "critical")
     windows = incidents.maintenance_gauges(render.windows(spark), now)
     return own.unionByName(windows.select(F.concat(F.lit("window "), "window").alias("target"), F.col("active").cast("long").alias("open"), F.lit(0).cast("long").alias("critical")))
