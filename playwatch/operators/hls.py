@@ -312,9 +312,10 @@ def clear_segments(segments: DataFrame) -> DataFrame:
 
 
 def parts_summary(parts: DataFrame, media: DataFrame) -> DataFrame:
+    """n_parts, part_s, independent and low_latency (parts, or a part target above 0) of every playlist, those without parts too."""
     sums = parts.groupBy("fetch_id").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("duration").alias("part_s"), F.bool_or("independent").alias("independent"))
-    own = media.select("fetch_id", "part_target").join(sums, "fetch_id", "left").na.fill({"n_parts": 0, "part_s": 0.0})
-    return own.withColumn("low_latency", (F.col("n_parts") > 0) | (F.col("part_target") > 0))
+    own = media.select("fetch_id", "part_target").join(sums, "fetch_id", "left").na.fill({"n_parts": 0, "part_s": 0.0, "independent": False})
+    return own.withColumn("low_latency", (F.col("n_parts") > 0) | F.coalesce(F.col("part_target") > 0, F.lit(False)))
 
 
 def distinct_keys(keys: DataFrame) -> DataFrame:

@@ -674,3 +674,104 @@ def d17_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     reps = stored(dash.representations(dash.adaptation_sets(dash.periods(dash.mpd(render.mpd_addresses(spark, sf_dir))))), "representations")
     own = dash.dash_segments(reps).select(*dash.REP_KEY, "number", "start_ns", "seg_ns", "uri")
     return own.join(reps.select(*dash.REP_KEY, "rep_id", "addressing", "init_uri"), dash.REP_KEY).select("fetch_id", "rep_id", "addressing", "init_uri", "number", "start_ns", "seg_ns", "uri")
+
+
+# Low latency, session keys, systems of protection
+
+
+@query(f"""WITH {LINES} SELECT l_orderkey AS fetch_id, l_orderkey % 7 + 3 AS version, l_orderkey % 50 + 1 AS target_duration, CASE WHEN l_orderkey % 3 <> 0 THEN l_orderkey % 4 ELSE 0 END::DOUBLE AS part_target,
+count(*) FILTER (l_returnflag = 'N')::BIGINT AS n_parts, coalesce(sum(l_quantity) FILTER (l_returnflag = 'N'), 0)::DOUBLE AS part_s, coalesce(bool_or(l_linestatus = 'O') FILTER (l_returnflag = 'N'), false) AS independent,
+count(*) FILTER (l_returnflag = 'N') > 0 OR (l_orderkey % 3 <> 0 AND l_orderkey % 4 > 0) AS low_latency FROM lines GROUP BY l_orderkey""")
+def a3_parts_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = stored(render.hls_low_latency(spark, sf_dir), "playlists")
+    media = hls.hls_media(bodies)
+    own = hls.parts_summary(hls.hls_parts(bodies), media).join(media.select("fetch_id", "version", "target_duration"), "fetch_id")
+    return own.select("fetch_id", F.col("version").cast("long").alias("version"), F.col("target_duration").cast("long").alias("target_duration"), "part_target", "n_parts", "part_s", "independent", "low_latency")
+
+
+@query(f"""WITH {LINES}, p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY ord) - 1 AS i FROM lines WHERE l_returnflag = 'N')
+SELECT l_orderkey AS fetch_id, i::INT AS ord, 'p-' || ord || '.m4s' AS uri, l_quantity::DOUBLE AS duration, l_linestatus = 'O' AS independent FROM p""")
+def h10_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hls.hls_parts(render.hls_low_latency(spark, sf_dir)).select("fetch_id", "ord", "uri", "duration", "independent")
+
+
+@query("SELECT DISTINCT l_orderkey AS fetch_id, 'PART' AS type, 'next-' || l_orderkey || '.m4s' AS uri, (l_orderkey % 11)::VARCHAR AS byterange FROM lineitem WHERE l_orderkey IS NOT NULL")
+def h12_preload_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hls.hls_preload_hints(render.hls_low_latency(spark, sf_dir)).select("fetch_id", "type", "uri", "byterange")
+
+
+@query(f"""WITH {LINES}, m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY ord) - 1 AS i FROM lines WHERE l_returnflag <> 'N')
+SELECT l_orderkey AS fetch_id, 'm-' || (l_suppkey % 2) || '.mp4' AS uri, (l_linenumber % 3) || '@0' AS byterange, min(i)::INT AS ord FROM m GROUP BY ALL""")
+def a4_distinct_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hls.distinct_maps(hls.hls_maps(render.hls_low_latency(spark, sf_dir))).select("fetch_id", "uri", "byterange", "ord")
+
+
+@query(f"""WITH {LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY ord DESC) AS n FROM lines)
+SELECT l_orderkey AS fetch_id, ord::INT AS ord, 'seg-' || ord || '.ts' AS uri FROM r WHERE n <= 2""")
+def k4_newest_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hls.sample_segments(hls.hls_segments(render.hls_media_bodies(spark, sf_dir)), 2).select("fetch_id", "ord", "uri")
+
+
+SUPPLIER_DOC = "s_nationkey || '-' || (s_suppkey // 1000)"
+
+
+@query(f"""SELECT {SUPPLIER_DOC} AS fetch_id, (row_number() OVER (PARTITION BY {SUPPLIER_DOC} ORDER BY s_suppkey) - 1)::INT AS ord, CASE WHEN s_suppkey % 4 = 0 THEN 'NONE' ELSE 'SAMPLE-AES' END AS method,
+CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'skd://' || s_suppkey END AS uri, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE lower(s_name) END AS keyformat, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE '1/2' END AS keyformatversions
+FROM supplier""")
+def h5_session_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hls.hls_session_keys(render.hls_session_masters(spark, sf_dir)).select("fetch_id", "ord", "method", "uri", "keyformat", "keyformatversions")
+
+
+@query(f"SELECT {SUPPLIER_DOC} AS fetch_id, count(DISTINCT s_suppkey % 6)::BIGINT AS systems FROM supplier WHERE s_suppkey % 6 <> 5 GROUP BY 1")
+def a4_distinct_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reps = dash.representations(dash.adaptation_sets(dash.periods(dash.mpd(render.mpd_protected(spark, sf_dir)))))
+    return dash.distinct_systems(reps).select("fetch_id", "systems")
+
+
+# Alert rules
+
+
+@query(f"WITH {ALL_INCIDENTS} SELECT target, severity, count(*)::BIGINT AS n FROM incidents WHERE resolved_at > {MIDDLE_US} AND severity IN ('critical', 'warning') GROUP BY ALL")
+def g2_active_incident_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = incidents.resolve(incidents.incidents(render.findings(spark, sf_dir), resolve_after=DAY), F.lit(MIDDLE).cast("timestamp"))
+    return views.active_incident_alerts(own).select("target", "severity", "n")
+
+
+def held_sql(where: str, key: str, holds: str, seconds: int) -> str:
+    """Samples at which a condition has held, sample by sample, for that many seconds at least."""
+    over = f"OVER (PARTITION BY {key} ORDER BY ts, value)"
+    return f"""own AS (SELECT *, {holds} AS h FROM samples WHERE {where}), stepped AS (SELECT *, coalesce(lag(h) {over}, false) AS b FROM own),
+begun AS (SELECT *, max(CASE WHEN h AND NOT b THEN ts END) {over} AS since FROM stepped)
+SELECT vantage, target, epoch_us(ts) AS us_at, value FROM begun WHERE h AND epoch_us(ts) - epoch_us(since) >= {seconds} * 1000000"""
+
+
+def held_rows(df: DataFrame) -> DataFrame:
+    return df.select("vantage", "target", F.unix_micros(F.col("ts").cast("timestamp")).alias("us_at"), "value")
+
+
+@query(f"WITH {SAMPLES}, {held_sql("name = 'probe_up'", 'vantage, target', 'value = 0', 120)}")
+def g3_target_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_rows(views.target_unreachable(gauge_samples(spark, sf_dir)))
+
+
+@query(f"""WITH {SAMPLES}, live AS (SELECT target FROM samples WHERE name = 'stream_live' AND target::BIGINT % 3 <> 0 GROUP BY 1 HAVING max(value) > 0),
+{held_sql("name = 'segment_ttfb_seconds' AND target IN (FROM live)", 'vantage, target, variant', 'value > 60', 300)}""")
+def g4_manifest_age_climbing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = gauge_samples(spark, sf_dir)
+    alive = samples.filter("name = 'stream_live'").withColumn("value", F.when(F.col("target").cast("long") % 3 != 0, F.col("value")).otherwise(0.0))
+    aged = samples.filter("name = 'segment_ttfb_seconds'").withColumn("name", F.lit("manifest_age_seconds"))
+    return held_rows(views.manifest_age_climbing(aged, alive))
+
+
+@query(f"WITH {SAMPLES}, {held_sql("name = 'segment_ttfb_seconds'", 'vantage, target, variant', 'value > 2', 300)}")
+def g5_segment_latency_high(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_rows(views.segment_latency_high(gauge_samples(spark, sf_dir)))
+
+
+@query(f"""WITH {SAMPLES}, r AS (SELECT *, row_number() OVER (PARTITION BY vantage, target, variant, name ORDER BY ts DESC, value) AS n FROM samples)
+SELECT 'reachable' AS panel, coalesce(sum(value) FILTER (name = 'probe_up'), 0)::DOUBLE AS value FROM r WHERE n = 1
+UNION ALL SELECT 'probed', count(*) FILTER (name = 'segment_count') FROM r WHERE n = 1""")
+def g6_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = gauge_samples(spark, sf_dir)
+    own = views.panel_targets_reachable(samples).select(F.lit("reachable").alias("panel"), "value")
+    return own.unionByName(views.panel_streams_probed(samples).select(F.lit("probed").alias("panel"), "value"))

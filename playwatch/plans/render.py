@@ -73,6 +73,47 @@ def hls_master_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.concat_ws("-", "p_size", "stretch").alias("fetch_id"), F.concat_ws("\n", F.lit("#EXTM3U"), "ms", "vs").alias("body"))
 
 
+def hls_low_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A low-latency playlist for each order: line items returned or accepted are segments, each with a map by supplier, those neither are
+    parts of the segment in production, with a hint at the next; orders whose key divides by three declare no part target."""
+    own, k = lines(spark, sf_dir), F.col("l_orderkey")
+    join = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs))
+    part = F.col("l_returnflag") == "N"
+    segment = join('#EXT-X-MAP:URI="m-', F.col("l_suppkey") % 2, '.mp4",BYTERANGE="', F.col("l_linenumber") % 3, '@0"\n#EXTINF:', F.col("l_quantity"), ",\nseg-", F.col("ord"), ".m4s")
+    whole = F.when(F.col("l_linestatus") == "O", ",INDEPENDENT=YES").otherwise("")
+    piece = join("#EXT-X-PART:DURATION=", F.col("l_quantity"), ',URI="p-', F.col("ord"), '.m4s"', whole)
+    text = F.when(part, piece).otherwise(segment)
+    own = own.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(part.alias("late"), "ord", text.alias("text")))).alias("t"))
+    target = F.when(k % 3 != 0, join("\n#EXT-X-PART-INF:PART-TARGET=", k % 4)).otherwise("")
+    head = join("#EXTM3U\n#EXT-X-VERSION:", k % 7 + 3, "\n#EXT-X-TARGETDURATION:", k % 50 + 1, target, "\n")
+    hint = join('\n#EXT-X-PRELOAD-HINT:TYPE=part,URI="next-', k, '.m4s",BYTERANGE-START=', k % 11)
+    return own.select(k.alias("fetch_id"), F.concat(head, F.array_join(F.transform("t", lambda x: x["text"]), "\n"), hint).alias("body"))
+
+
+def hls_session_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A master for each nation and stretch of supplier keys, with a session key for each supplier, every fourth of method NONE."""
+    own = table(spark, sf_dir, "supplier").withColumn("stretch", F.floor(F.col("s_suppkey") / STRETCH))
+    key = F.when(F.col("s_suppkey") % 4 == 0, "#EXT-X-SESSION-KEY:METHOD=NONE").otherwise(
+        F.concat(F.lit('#EXT-X-SESSION-KEY:METHOD=SAMPLE-AES,URI="skd://'), F.col("s_suppkey").cast("string"), F.lit('",KEYFORMAT="'), F.lower("s_name"), F.lit('",KEYFORMATVERSIONS="1/2"'))
+    )
+    own = own.groupBy("s_nationkey", "stretch").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", key.alias("k")))).alias("t"))
+    tail = "#EXT-X-STREAM-INF:BANDWIDTH=1\nv.m3u8"
+    return own.select(F.concat_ws("-", "s_nationkey", "stretch").alias("fetch_id"), F.concat_ws("\n", F.lit("#EXTM3U"), F.array_join(F.transform("t", lambda x: x["k"]), "\n"), F.lit(tail)).alias("body"))
+
+
+def mpd_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A static MPD for each nation and stretch of supplier keys: suppliers are representations under one of five systems by key, or under
+    a scheme that names none (key modulo 6 is 5)."""
+    own = table(spark, sf_dir, "supplier").withColumn("stretch", F.floor(F.col("s_suppkey") / STRETCH))
+    k = F.col("s_suppkey").cast("string")
+    scheme = F.when(F.col("s_suppkey") % 6 == 5, "urn:mpeg:dash:mp4protection:2011").otherwise(F.concat(F.lit("urn:UUID:0000000"), (F.col("s_suppkey") % 6).cast("string"), F.lit("-0000-0000-0000-00000000000A")))
+    rep = F.concat(F.lit('<Representation id="s'), k, F.lit('" bandwidth="1"><ContentProtection schemeIdUri="'), scheme, F.lit('"/></Representation>'))
+    own = own.groupBy("s_nationkey", "stretch").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", rep.alias("r")))).alias("t"))
+    head = '<MPD type="static" mediaPresentationDuration="PT8S"><Period start="PT0S"><AdaptationSet contentType="video"><SegmentTemplate duration="4" media="$Number$.m4s"/>'
+    body = F.concat(F.lit(head), F.array_join(F.transform("t", lambda x: x["r"]), ""), F.lit("</AdaptationSet></Period></MPD>"))
+    return own.select(F.concat_ws("-", "s_nationkey", "stretch").alias("fetch_id"), F.lit("https://o.example/m.mpd").alias("url"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"), body.alias("body"))
+
+
 def mpd_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A static MPD for each order with one timeline: d of the quantity in seconds, r of the line number; each third run jumps by 5 s."""
     own = lines(spark, sf_dir)

@@ -154,7 +154,8 @@ def stream_rates(findings: DataFrame, minutes: int = 5, every: int | None = None
 
 def stream_sessions(findings: DataFrame, gap_s: int = 90) -> DataFrame:
     """Quick incidents: runs of findings without a gap of that long; no reminders."""
-    own = findings.groupBy(*KEY, F.session_window("ts", f"{gap_s} seconds").alias("w")).agg(F.count(F.lit(1)).alias("count"), F.max("ts").alias("last_seen"))
+    # a session window takes in what starts as it ends, where an incident ends after gap_s
+    own = findings.groupBy(*KEY, F.session_window("ts", f"{gap_s * 1_000_000 - 1} microseconds").alias("w")).agg(F.count(F.lit(1)).alias("count"), F.max("ts").alias("last_seen"))
     return own.select(*KEY, F.col("w.start").alias("first_seen"), "last_seen", "count")
 
 

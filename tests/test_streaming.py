@@ -208,3 +208,14 @@ def test_polls_split_over_files_give_what_whole_ones_give(spark, tmp_path):
     assert Counter(facts) == Counter(map(tuple, streams.poll_facts(tables).collect())) and len(facts) > 50
     assert read_again
     assert not [f for f in os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) if f.startswith("scratch-")]
+
+
+def test_sessions_of_findings_over_files_equal_gaps_in_them(spark, tmp_path):
+    rows = [(T0 + timedelta(seconds=s), "v", t, "", "c", "info", "m") for t, at in (("a", (0, 30, 200, 289, 900)), ("b", (10, 100, 190))) for s in at]
+    df = spark.createDataFrame(rows, FINDING)
+    shape = lambda d: sorted((r.target, int((r.first_seen - T0).total_seconds()), int((r.last_seen - T0).total_seconds()), r.count_) for r in d.withColumnRenamed("count", "count_").collect() if r.target != "end")
+    want = [("a", 0, 30, 2), ("a", 200, 289, 2), ("a", 900, 900, 1), ("b", 10, 10, 1), ("b", 100, 100, 1), ("b", 190, 190, 1)]
+    assert shape(streams.stream_sessions(df)) == want
+    end = [(T0 + timedelta(days=2), "v", "end", "", "c", "info", "m")]
+    got = run(spark, tmp_path, rows + end, FINDING, lambda s: streams.stream_sessions(streams.with_lateness(s, "2 hours")), "sessions", files=3)
+    assert shape(got) == want
