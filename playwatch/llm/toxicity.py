@@ -1,7 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features of a text, calibrated by isotonic regression.
 
-All that is learned comes from a bounded sample of labelled rows (``max_rows``), dealt into three folds by a hash of doc_id:
-one gives the lexicons, one the trees, one the calibration, so that no row is judged by terms that it brought in itself.
+All that is learned comes from a bounded sample of labelled rows (``max_rows``). Its texts are dealt into parts, and the lexicon
+that describes a part's rows comes from the other parts, so that no row is judged by terms that it brought in itself; texts to
+judge meet the lexicon of all parts. A third of the sample calibrates the trees that the rest gives.
 Lexicons are terms (words, and word beginnings of two lengths, as insults are inflected) that mark toxic documents.
 """
 
@@ -20,12 +21,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from playwatch.llm.common import slices, texts, written
 
 WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that are terms beside whole words.
 STEMS = (5, 4)
+#: Parts of the sample, with a lexicon each from the others, and every how many texts one calibrates; without a common divisor.
+LEXICONS, JUDGES = 5, 3
 #: Words between a lexicon word and a second person for the two to count as near.
 NEAR = 5
 # Second-person words of the four languages.
@@ -75,34 +79,51 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """doc_id, text, toxic and fold (0 to 9) of at most ``max_rows`` labelled rows, the first in a hash order."""
+    """doc_id, text, toxic, part (0 to LEXICONS - 1) and judge of at most ``max_rows`` labelled documents, the first in a hash order.
+
+    Texts of each class are dealt by rank, equal ones alike: with two different texts or more both classes stand among the judges'
+    rows and among the others, however few rows there are. Of several texts of one doc_id the least counts.
+    """
     own = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    own = own.withColumn("draw", F.xxhash64("id")).orderBy("draw", "id").limit(max_rows)
+    own = own.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     # bounded by max_rows
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(own), F.col("doc_id") == F.col("id"))
-    return rows.select("doc_id", "text", "toxic", F.pmod(F.col("draw"), F.lit(10)).cast("int").alias("fold"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("id"))
+    rows = written(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
+    rank = F.dense_rank().over(Window.partitionBy("toxic").orderBy("draw")) - 1
+    dealt = rows.select("doc_id", "toxic", F.xxhash64("text").alias("draw"))
+    # at most max_rows narrow rows
+    dealt = dealt.select("doc_id", (rank % LEXICONS).cast("int").alias("part"), (rank % JUDGES == 1).alias("judge"))
+    return rows.join(F.broadcast(dealt), "doc_id").select("doc_id", "text", "toxic", "part", "judge")
 
 
-def learned_lexicon(rows: DataFrame, size: int, least_docs: int = 3) -> dict[str, float]:
-    """The ``size`` terms that mark toxic rows best by the G-test, with smoothed log-odds. rows: text, toxic."""
+def term_counts(rows: DataFrame) -> DataFrame:
+    """term, and for each part and class the documents that hold it (n<part>_<toxic>). rows: text, toxic, part."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
-            for text, toxic in zip(texts(batch["text"]), batch["toxic"].to_pylist(), strict=True):
-                found.update((t, toxic) for t in {t for w in set(WORD.findall(text.lower())) for t in terms(w)})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([t for t, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32()), pa.array(found.values(), pa.int64())],
-                ["term", "toxic", "n"],
-            )
-
-    totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    bad, good = totals.get(1, 0), totals.get(0, 0)
+            for text, toxic, part in zip(texts(batch["text"]), batch["toxic"].to_pylist(), batch["part"].to_pylist(), strict=True):
+                found.update((t, toxic, part) for t in {t for w in set(WORD.findall(text.lower())) for t in terms(w)})
+            keys = [pa.array([k[i] for k in found], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(found.values(), pa.int64())], ["term", "toxic", "part", "n"])
+
+    seen = rows.select("text", "toxic", "part").mapInArrow(count, "term string, toxic int, part int, n long")
+    cells = [(p, y) for p in range(LEXICONS) for y in (0, 1)]
+    return seen.groupBy("term").agg(*(F.sum(F.when((F.col("part") == p) & (F.col("toxic") == y), F.col("n")).otherwise(0)).alias(f"n{p}_{y}") for p, y in cells))
+
+
+def learned_lexicon(counts: DataFrame, totals: dict[tuple[int, int], int], without: int | None, size: int, least_docs: int = 3) -> dict[str, float]:
+    """The ``size`` terms that mark toxic rows best by the G-test, with smoothed log-odds, of all parts or ``without`` one.
+
+    counts: see term_counts; totals: rows by part and class.
+    """
+    parts = [p for p in range(LEXICONS) if p != without]
+    good, bad = (sum(totals.get((p, y), 0) for p in parts) for y in (0, 1))
     if not bad or not good:
         return {}
-    seen = rows.select("text", "toxic").mapInArrow(count, "term string, toxic int, n long").groupBy("term")
-    seen = seen.agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
+    b, a = (sum((F.col(f"n{p}_{y}") for p in parts), F.lit(0)) for y in (0, 1))
+    seen = counts.select("term", a.alias("a"), b.alias("b"))
     a, b = F.col("a"), F.col("b")
     odds = F.log((a + 0.1) / (bad - a + 0.5)) - F.log((b + 0.1) / (good - b + 0.5))
     both = F.lit(float(bad + good))
@@ -112,47 +133,51 @@ def learned_lexicon(rows: DataFrame, size: int, least_docs: int = 3) -> dict[str
     return {r[0]: float(r[1]) for r in best.orderBy(F.desc("g"), "term").limit(size).collect()}
 
 
-def with_features(rows: DataFrame, lexicon: dict[str, float], keep: dict[str, str]) -> DataFrame:
-    """The columns ``keep`` (name -> type) of rows and FEATURES of their text."""
-    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+def with_features(rows: DataFrame, lexicons: list[dict[str, float]], keep: dict[str, str]) -> DataFrame:
+    """The columns ``keep`` (name -> type) of rows and FEATURES of their text, by the lexicon that the column part names."""
+    shared = rows.sparkSession.sparkContext.broadcast(lexicons)
     kinds = ", ".join([f"{c} {k}" for c, k in keep.items()] + [f"{f} double" for f in FEATURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = [features(t, shared.value) for t in texts(part["text"])]
+                found = [features(t, shared.value[p]) for t, p in zip(texts(part["text"]), part["part"].to_pylist(), strict=True)]
                 columns = [pa.array(list(c), pa.float64()) for c in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), *columns], [*keep, *FEATURES])
 
-    return rows.select(*keep, "text").mapInArrow(run, kinds)
+    return rows.select(*keep, "text", "part").mapInArrow(run, kinds)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 30_000, lexicon_size: int = 3000) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 if score >= threshold) of every document.
 
-    Scores depend on the text alone. Null and empty texts have zero features and get the score of such; a null doc_id is not
-    held out and learns nothing; repeated rows pass through, a row each; a doc_id labelled twice counts as toxic if either row
-    says so. Where the sample lacks a class in one of the folds, every score is the share of toxic rows in it (0 for none).
-    Other columns are not read.
+    Scores depend on the text alone. Null and empty texts have zero features and get the score of such; a very long text is all its
+    words, held by one task; a null doc_id is not held out and learns nothing; repeated rows pass through, a row each; a doc_id
+    labelled twice counts as toxic if either row says so. Where the sample has fewer than two different texts of a class, every score
+    is the share of toxic rows in it (0 for none). Other columns are not read. An empty table gives no rows.
     """
-    rows = written(training_rows(docs, labels, max_rows), "labelled")
+    rows = written(training_rows(docs, labels, max_rows), "dealt")
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
-    folds = rows.groupBy(F.when(F.col("fold") < 5, 0).when(F.col("fold") < 8, 1).otherwise(2).alias("f"), "toxic").count().collect()
-    if len(folds) < 6:
-        total = sum(r["count"] for r in folds)
-        share = sum(r["count"] for r in folds if r["toxic"] == 1) / total if total else 0.0
+    sizes = rows.groupBy("part", "judge", "toxic").count().collect()
+    if len({(r["judge"], r["toxic"]) for r in sizes}) < 4:
+        total = sum(r["count"] for r in sizes)
+        share = sum(r["count"] for r in sizes if r["toxic"] == 1) / total if total else 0.0
         flat = docs.select(F.col("doc_id").cast("long"), out, F.lit(share).alias("score"))
         return flat.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    lexicon = learned_lexicon(rows.filter("fold < 5"), lexicon_size)
+    totals: Counter = Counter()
+    for r in sizes:
+        totals[r["part"], r["toxic"]] += r["count"]
+    counts = written(term_counts(rows), "terms")
+    # the last is of all parts and for the documents to judge
+    lexicons = [learned_lexicon(counts, totals, without, lexicon_size) for without in (*range(LEXICONS), None)]
     gather = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    known = written(with_features(rows.filter("fold >= 5"), lexicon, {"toxic": "int", "fold": "int"}).coalesce(4), "features")
-    known = gather.transform(known)
+    known = gather.transform(written(with_features(rows, lexicons, {"toxic": "int", "judge": "boolean"}).coalesce(4), "features"))
     trees = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=15, maxDepth=3, stepSize=0.3, maxBins=32, seed=1)
-    model = trees.fit(known.filter("fold < 8").select("toxic", "features"))
+    model = trees.fit(known.filter("NOT judge").select("toxic", "features"))
     raw = vector_to_array(F.col("probability"))[1]
-    judged = model.transform(known.filter("fold >= 8")).select(raw.alias("raw"), F.col("toxic").cast("double").alias("toxic"))
+    judged = model.transform(known.filter("judge")).select(raw.alias("raw"), F.col("toxic").cast("double").alias("toxic"))
     steps = IsotonicRegression(labelCol="toxic", featuresCol="raw", predictionCol="score").fit(judged)
-    scored = with_features(docs.select(F.col("doc_id").cast("long"), "text"), lexicon, {"doc_id": "long"})
+    scored = with_features(docs.select(F.col("doc_id").cast("long"), "text", F.lit(LEXICONS).alias("part")), lexicons, {"doc_id": "long"})
     scored = model.transform(gather.transform(scored)).select("doc_id", raw.alias("raw"))
     scored = steps.transform(scored).select("doc_id", out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,6 +1,7 @@
 """Every operator against a brute-force version on small fixtures with nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -477,6 +478,62 @@ def test_nearest_with_repeated_ids_and_copies(spark, monkeypatch, partitions):
     assert [r[2] for r in want if r[0] == 0][:2] == [7, 1000] and [r[2] for r in want if r[0] == 400] == [401] * 10
 
 
+def plain_features(text, lexicon):
+    """FEATURES by their definitions, word by word."""
+    words = re.findall(r"\w+", text)
+    lower = [w.lower() for w in words]
+    n, size = max(len(words), 1), max(len(text), 1)
+    second = [w in toxicity.SECOND for w in lower]
+    whole = [lexicon.get(w) for w in lower]
+    five, four = ([lexicon.get(w[:k] + "-") for w in lower] for k in (5, 4))
+    count = lambda xs: sum(x is not None for x in xs)
+    hit = [any(x is not None for x in v) for v in zip(whole, five, four, strict=True)]
+    near = sum(h and any(second[max(i - 5, 0) : i + 6]) for i, h in enumerate(hit))
+    marks = sum(not re.match(r"[\w \n]", c) for c in text)
+    return [
+        math.log1p(len(words)), count(whole) / n, math.log1p(count(whole)), count(five) / n, math.log1p(count(five)), count(four) / n,
+        max([0.0, *(x for v in (whole, five, four) for x in v if x is not None)]), sum(second) / n, near / n,
+        sum(c.isupper() for c in text) / size, sum(w.isupper() and len(w) > 2 for w in words) / n, text.count("!") / size, text.count("?") / size,
+        marks / size, len(toxicity.OBFUSCATED.findall(text)) / n,
+    ]
+
+
+def test_toxicity_features_equal_their_definitions():
+    lexicon = {"grub": 3.0, "grubh-": 2.5, "grub-": 1.0, "snot-": 4.0, "ÿß": 0.5}
+    rng = random.Random(4)
+    pieces = ["grub", "GRUBHEAD", "snotty", "You", "du", "plain", "wort", "!", "?!", "\n", " ", "a.b-c d", "sh1t", "$$$", "Ça", "ÿß", "sooooo", "x_y", "\t", "\u3000", "𝒳"]
+    for text in ["", " ", "!", "you grub", *("".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randrange(60))) for _ in range(300))]:
+        assert toxicity.features(text, lexicon) == pytest.approx(plain_features(text, lexicon)), text
+
+
+def test_toxicity_of_few_labels_long_texts_and_no_documents(spark):
+    texts = [f"calm words number {i} of a day" for i in range(30)] + [f"you grubhead number {i}" for i in range(20)]
+    df = frame(spark, [*texts, "grubhead plain " * 200_000], [*range(50), 1000])
+    learns = [i for i in range(50) if zlib.crc32(str(i).encode()) % 3 != 1]
+    toxic = [i for i in learns if i >= 30]
+    assert len(toxic) > 3
+    for bad in (toxic, toxic[:2], toxic[:1], []):
+        labels = spark.createDataFrame([(i, int(i in bad)) for i in learns if i < 30 or i in bad], "doc_id long, toxic int")
+        got = {r.doc_id: r for r in toxicity.toxicity(df, labels).collect()}
+        assert len(got) == 51 and all(0 <= r.score <= 1 for r in got.values())
+        if len(bad) < 2:
+            known = sum(i < 30 for i in learns) + len(bad)
+            assert {r.score for r in got.values()} == {len(bad) / known}
+    labels = spark.createDataFrame([(i, int(i >= 30)) for i in learns], "doc_id long, toxic int")
+    assert toxicity.toxicity(df.limit(0), labels).count() == 0
+
+
+def test_copies_of_a_text_are_one_part(spark):
+    df = frame(spark, ["same insult"] * 40 + [f"other {i}" for i in range(20)] + [None, "", "b", "a"], [*range(60), 70, 71, 80, 80])
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in (*range(60), 70, 71, 80)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(df, labels, 1000).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) and "b" not in {r.text for r in rows}
+    assert len({(r.part, r.judge) for r in rows if r.text == "same insult"}) == 1
+    assert {(r.part, r.judge) for r in rows if r.toxic == 0} >= {(0, False), (1, True), (2, False)}
+    few = toxicity.training_rows(df, labels, 7).count()
+    assert few <= 7
+
+
 def test_toxicity_features_and_labels(spark):
     df = frame(spark, ["You are a GRUBHEAD!!", None, "", "plain words"], [1, 2, None, 1])
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
