@@ -21,7 +21,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from playwatch.llm.common import slices, texts, written
 
@@ -81,8 +80,8 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """doc_id, text, toxic, part (0 to LEXICONS - 1) and judge of at most ``max_rows`` labelled documents, the first in a hash order.
 
-    Texts of each class are dealt by rank, equal ones alike: with two different texts or more both classes stand among the judges'
-    rows and among the others, however few rows there are. Of several texts of one doc_id the least counts.
+    Texts are dealt by hash, equal ones alike. The least hash of a class is never a judge's and its greatest always is: with two
+    different texts or more a class stands among both, however few rows there are. Of several texts of one doc_id the least counts.
     """
     own = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -90,10 +89,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     # bounded by max_rows
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("id"))
     rows = written(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
-    rank = F.dense_rank().over(Window.partitionBy("toxic").orderBy("draw")) - 1
-    dealt = rows.select("doc_id", "toxic", F.xxhash64("text").alias("draw"))
+    draws = rows.select("doc_id", "toxic", F.xxhash64("text").alias("draw"))
+    # a row a class
+    ends = draws.groupBy("toxic").agg(F.min("draw").alias("least"), F.max("draw").alias("most"))
+    judge = (F.col("draw") == F.col("most")) | ((F.col("draw") != F.col("least")) & (F.pmod("draw", F.lit(JUDGES)) == 0))
+    dealt = draws.join(F.broadcast(ends), "toxic").select("doc_id", F.pmod("draw", F.lit(LEXICONS)).cast("int").alias("part"), judge.alias("judge"))
     # at most max_rows narrow rows
-    dealt = dealt.select("doc_id", (rank % LEXICONS).cast("int").alias("part"), (rank % JUDGES == 1).alias("judge"))
     return rows.join(F.broadcast(dealt), "doc_id").select("doc_id", "text", "toxic", "part", "judge")
 
 

@@ -529,7 +529,7 @@ def test_copies_of_a_text_are_one_part(spark):
     rows = toxicity.training_rows(df, labels, 1000).collect()
     assert len(rows) == len({r.doc_id for r in rows}) and "b" not in {r.text for r in rows}
     assert len({(r.part, r.judge) for r in rows if r.text == "same insult"}) == 1
-    assert {(r.part, r.judge) for r in rows if r.toxic == 0} >= {(0, False), (1, True), (2, False)}
+    assert {r.judge for r in rows if r.toxic == 0} == {True, False} and len({r.part for r in rows if r.toxic == 0}) > 1
     few = toxicity.training_rows(df, labels, 7).count()
     assert few <= 7
 
