@@ -2,7 +2,8 @@
 
 Strings of special tokens are cut out first. A piece whose characters all lie below U+0250 takes a short pattern with explicit
 letter and number ranges; other pieces are split by the library's pre-tokenizer, whose Unicode tables they need. Either way each
-pre-token is looked up, and only one that the table lacks is encoded, so ids are the library's.
+pre-token is looked up, and only one that the table lacks is encoded, so ids are the library's. Columns of such texts are split by
+the classes of neighbouring bytes instead, and only their pre-tokens that are new to a task's worker become Python strings.
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # Letters, numbers and white space below U+0250 by Unicode general category and White_Space.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc\xbd\xbe"
@@ -104,6 +109,93 @@ class PretokenTable(TwoAges):
         return chain.from_iterable([self.special[p]] if k % 2 else map(self.__getitem__, self.words(p)) for k, p in pieces)
 
 
+#: White space 0, letters 1, numbers 2, others 3, by code point below U+0250; white space from U+0080 on is left to the pattern.
+CLASSES = np.full(0x250, 3, np.uint8)
+for _class, _members in enumerate((SPACES, LETTERS, NUMBERS)):
+    CLASSES[[c for c in range(0x250) if re.match(f"[{_members}]", chr(c))]] = _class
+
+
+def pretoken_lists(column: pa.StringArray) -> pa.ListArray:
+    """The pre-tokens of each text of a column without nulls, of characters below U+0250 but U+0085 and U+00A0.
+
+    A pre-token starts where the class changes, but not behind a space, which belongs to what follows it. Of white space before
+    something else the last character starts one too. An apostrophe that starts one takes the endings of contractions along.
+    """
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    size = int(ends[-1] - ends[0])
+    # zeros behind the last text stand for no character
+    raw = np.zeros(size + 3, np.uint8)
+    if size:
+        raw[:size] = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    edge = np.zeros(size + 3, bool)
+    edge[ends] = True
+
+    kind = CLASSES[raw]
+    lead = np.flatnonzero(raw >= 0xC0)
+    kind[lead] = kind[lead + 1] = CLASSES[(raw[lead].astype(np.int32) & 0x1F) << 6 | raw[lead + 1] & 0x3F]
+    start = edge.copy()
+    change = kind[1:] != kind[:-1]
+    start[1:] |= change & (raw[:-1] != 0x20)
+    start[:-1] |= change & (kind[:-1] == 0) & ~edge[1:]
+
+    quote = np.flatnonzero(start[:size] & (raw[:size] == 0x27))
+    one, two = raw[quote + 1], raw[quote + 2]
+    short = np.isin(one, list(b"stmd")) & ~edge[quote + 1]
+    long = (np.isin(one, list(b"rv")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))) & ~edge[quote + 1] & ~edge[quote + 2]
+    start[quote[short | long] + 1] = False
+    start[quote[short] + 2] = True
+    start[np.minimum(quote[long] + 3, size)] = True
+
+    at = np.flatnonzero(start[:size])
+    bounds = np.append(at, size).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(raw))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, ends).astype(np.int32)), words)
+
+
+class ColumnTable:
+    """Pre-token -> ``value(ids)`` for whole columns, as Arrow arrays: the library encodes a pre-token at its first sight.
+
+    Beyond ``limit`` pre-tokens the half used most stays; those of one column come on top. Texts with special strings or with
+    characters that ``pretoken_lists`` does not split go through a PretokenTable one by one.
+    """
+
+    def __init__(self, path: str, value: Callable[[list[int]], bytes], limit: int = 1_000_000):
+        self.table, self.limit = PretokenTable(path, value), limit
+        self.odd = "|".join([BEYOND.pattern, "[\x85\xa0]", *map(re.escape, self.table.special)])
+        self.known, self.values, self.uses = pa.array([], pa.string()), pa.array([], pa.binary()), np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        """To be called between columns."""
+        if len(self.known) > self.limit:
+            kept = np.argpartition(-self.uses, self.limit // 2)[: self.limit // 2]
+            self.known, self.values, self.uses = self.known.take(pa.array(kept)), self.values.take(pa.array(kept)), self.uses[kept] // 2
+
+    def values_of(self, words: pa.StringArray) -> pa.BinaryArray:
+        """The value of each word."""
+        coded = words.dictionary_encode()
+        found = pc.index_in(coded.dictionary, value_set=self.known)
+        new = coded.dictionary.filter(found.is_null())
+        place = found.fill_null(-1).to_numpy().copy()
+        place[place < 0] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        self.values = pa.concat_arrays([self.values, pa.array(map(self.table.make, new.to_pylist()), pa.binary())])
+        self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
+        self.uses[place] += np.bincount(coded.indices.to_numpy(), minlength=len(place))
+        return self.values.take(pa.array(place)).take(coded.indices)
+
+    def joined(self, column: pa.StringArray) -> pa.BinaryArray:
+        """The joined values of each text's pre-tokens, null as the empty text."""
+        self.trim()
+        column = column.cast(pa.string()).fill_null("")
+        odd = pc.match_substring_regex(column, self.odd)
+        lists = pretoken_lists(pc.if_else(odd, "", column))
+        found = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, self.values_of(lists.values)), pa.scalar(b"", pa.binary()))
+        apart = [b"".join(self.table.values_of(t)) for t in column.filter(odd).to_pylist()]
+        return pc.replace_with_mask(found, odd, pa.array(apart, pa.binary()))
+
+
 _TABLES: dict = {}
 
 

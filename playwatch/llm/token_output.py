@@ -11,7 +11,8 @@ Ranks number the ids by falling frequency in the corpus, so that frequent ids ta
 each id of the vocabulary, so of bounded size) is stored beside the blocks. Decoding looks four lengths up for each control
 byte in a table of 256 rows and gathers all bytes with numpy, without a loop over ids.
 
-Texts are encoded where they lie and written as plain ids, which are counted for the ranks and then range-partitioned by doc_id.
+Texts are encoded where they lie, some MB at a time, and written as plain ids, which are counted for the ranks and then
+range-partitioned by doc_id.
 """
 
 from __future__ import annotations
@@ -19,21 +20,25 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from playwatch.llm.common import slices, texts, written
-from playwatch.llm.pretokens import PretokenTable, library, worker_table
+from playwatch.llm.common import slices, written
+from playwatch.llm.pretokens import ColumnTable, library, worker_table
 
 MAGIC = int.from_bytes(b"PWT1", "little")
 #: Bytes of each of the four ids of a control byte.
 WIDTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 #: Documents end a block once it has this many ids.
 BLOCK_IDS = 1 << 18
+#: Bytes of text, and those of one text more, that a task encodes at a time.
+PART_BYTES = 1 << 23
 
 
 def pack(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +85,14 @@ def ids_of_four_bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
+def parts_of(batch: pa.RecordBatch, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """All rows of a batch in stretches of about ``size`` bytes of text, so that memory follows those, not the batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), batch.num_rows]
+    for a, b in pairwise(cuts):
+        yield batch.slice(a, b - a)
+
+
 def encoded(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, str]:
     """doc_id, ids (with the end id) and h (a hash of them) of every document where its text lies, and numpy's type of ids.
 
@@ -89,12 +102,12 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, str]:
     kind, value = ("<u2", ids_of_two_bytes) if most <= 0xFFFF else ("<u4", ids_of_four_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_table(PretokenTable, path, value)
-        end = value([end_id])
+        table = worker_table(ColumnTable, path, value)
+        end, between = pa.scalar(value([end_id]), pa.binary()), pa.scalar(b"", pa.binary())
         for batch in batches:
-            for part in slices(batch):
-                ids = [b"".join(table.values_of(t)) + end for t in texts(part["text"])]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for part in parts_of(batch):
+                ids = pc.binary_join_element_wise(table.joined(part["text"]), end, between)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], ids], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
     return written(rows.withColumn("h", F.xxhash64("ids")), "encoded"), kind

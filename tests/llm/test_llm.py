@@ -364,6 +364,95 @@ def test_ids_and_words_of_all_letters_equal_the_library():
             assert codec.encode(t) == word.encode(t, add_special_tokens=False).ids, hex(c)
 
 
+def test_columns_split_as_the_library_splits():
+    import pyarrow as pa
+
+    from playwatch.llm.pretokens import SPLIT, pretoken_lists
+
+    rng, splitter = random.Random(5), Tokenizer.from_file(BYTE).pre_tokenizer
+    below = [chr(c) for c in range(0x250) if c not in (0x85, 0xA0)]
+    parts = ["'", "s", "t", "re", "ve", "ll", "r", "l", "e", "'S", " ", "  ", "\n", "\t", "\0", "\x1c", "a", "é", "ɏ", "1", "²", "?", "×", "«"]
+    mixed = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(20_000)]
+    texts = ["", *(f"{a}{c}{b}" for c in below for a in ("", "a", " ", "\n", "1", "'") for b in ("", "a", " ", "  b", "?", "'s")), *mixed, ""]
+    column = pa.array(["dropped", *texts])[1:]
+    got = pretoken_lists(column).to_pylist()
+    assert got == [SPLIT.findall(t) for t in texts]
+    assert got == [[t[a:b] for _, (a, b) in splitter.pre_tokenize_str(t)] for t in texts]
+    assert pretoken_lists(pa.array([], pa.string())).to_pylist() == [] and pretoken_lists(pa.array(["", ""])).to_pylist() == [[], []]
+
+
+def test_a_column_encodes_each_of_its_pretokens_once(monkeypatch):
+    import pyarrow as pa
+
+    from playwatch.llm.pretokens import ColumnTable, PretokenTable
+
+    lib, seen, make = Tokenizer.from_file(BYTE), [], PretokenTable.make
+    monkeypatch.setattr(PretokenTable, "make", lambda self, word: seen.append(word) or make(self, word))
+    monkeypatch.setattr(PretokenTable, "__getitem__", lambda self, word: pytest.fail("a lookup for each occurrence"), raising=False)
+    table = ColumnTable(BYTE, token_output.ids_of_two_bytes)
+    texts = ["the end. " * 500 + "it's", None, "", "the end."] * 20
+    for _ in range(2):
+        got = table.joined(pa.array(texts)).to_pylist()
+        assert got == [token_output.ids_of_two_bytes(lib.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert sorted(seen) == sorted({"the", " the", " end", ".", " it", "'s"})
+
+
+def test_a_task_of_op1_splits_no_plain_text_by_itself(spark, monkeypatch):
+    import pyarrow as pa
+
+    from playwatch.llm.pretokens import PretokenTable
+
+    # what encoded gives to each task, run here
+    class Given(Exception):
+        pass
+
+    def give(self, run, schema):
+        raise Given(run)
+
+    df = frame(spark, ["a"])
+    monkeypatch.setattr(type(df), "mapInArrow", give)
+    with pytest.raises(Given) as given:
+        token_output.encoded(df, BYTE, 2)
+    lib, split, words_of = Tokenizer.from_file(BYTE), [], PretokenTable.words
+    monkeypatch.setattr(PretokenTable, "words", lambda self, piece: split.append(piece) or words_of(self, piece))
+    texts = [f"it's the end of {i % 7}. " for i in range(900)] + ["漢字 " * 3, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(902)), pa.array(texts)], ["doc_id", "text"])
+    got = pa.Table.from_batches(list(given.value.args[0](iter([batch]))))
+    assert got["doc_id"].to_pylist() == list(range(902))
+    want = [[*lib.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in got["ids"].to_pylist()] == want
+    assert split == ["漢字 " * 3]
+
+
+def test_columns_of_any_texts_equal_the_library_within_their_bound():
+    import pyarrow as pa
+
+    from playwatch.llm.pretokens import ColumnTable
+
+    rng, lib, table = random.Random(6), Tokenizer.from_file(BYTE), ColumnTable(BYTE, token_output.ids_of_four_bytes, limit=50)
+    parts = [" ", "\n", "'s", "x", "É", "Σ", "漢", "\x85", "\xa0", "\u2003", "<|endoftext|>", "😀"]
+    for _ in range(60):
+        texts = [*ODD, *("".join(rng.choices([*parts, f" w{rng.randint(0, 999)}"], k=rng.randint(0, 12))) for _ in range(20))]
+        want = [token_output.ids_of_four_bytes(lib.encode(t or "", add_special_tokens=False).ids) for t in texts]
+        for kind in (pa.string(), pa.large_string()):
+            assert table.joined(pa.array(texts, kind)).to_pylist() == want
+        table.trim()
+        assert len(table.known) == len(table.values) == len(table.uses) <= 50
+    assert table.joined(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_parts_of_a_batch_hold_all_rows_and_little_text():
+    import pyarrow as pa
+
+    texts = [None, "", "é" * 30, "a" * 5, None, "b" * 100, "", "c" * 5, "d" * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["doc_id", "text"])
+    for size in (1, 10, 64, 1000):
+        parts = list(token_output.parts_of(batch, size))
+        assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+        assert all(sum(len((t or "").encode()) for t in p["text"].to_pylist()[:-1]) <= size + 100 for p in parts)
+    assert sum(p.num_rows for p in token_output.parts_of(batch.slice(0, 0))) == 0
+
+
 def test_tables_of_a_worker_stay_within_their_bound_and_right():
     from playwatch.llm.pretokens import PretokenTable
 
