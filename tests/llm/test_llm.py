@@ -336,6 +336,25 @@ def test_repeats_of_a_hash_with_many_contexts_are_dealt_out(spark, monkeypatch):
     assert got == brute_repeats(texts)
 
 
+def test_contexts_that_are_dealt_out_are_not_broadcast(spark, monkeypatch):
+    rng = random.Random(6)
+    line = "".join(rng.choices("abcdefgh ", k=190))
+    texts = [f"{i:030d}{line}{i % 7:030d}" for i in range(50)]
+    plans, written = [], repeats.written
+
+    def seen(df, name):
+        if name == "met":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(repeats, "written", seen)
+    monkeypatch.setattr(repeats, "SORTED_ROWS", 10)
+    got = rows(repeats.without_repeats(frame(spark, texts)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute_repeats(texts)
+    # the join of contexts with their keys is part of the plan of the strings that meet
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_first_of_classes_tells_rows_of_no_or_one_id_apart(spark):
     rng = random.Random(12)
     a, b, c, d, e = ([f"{x}{rng.randrange(10**6)}" for _ in range(60)] for x in "abcde")
