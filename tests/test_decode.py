@@ -26,6 +26,15 @@ def test_urls_templates_and_durations(spark):
     assert ns("P") is None and ns("PT") is None and ns("1S") is None and ns("P1H") is None
 
 
+def test_prepared_templates_fill_in_what_expanded_ones_do(spark):
+    ends = ["$RepresentationID$/$Number%05d$-$Time$.m4s", "$$a$Foo$ $Number%999d$ $open", "x", "", "$Number%03d$$Number%3d$$Time%012d$", "$Bandwidth%06d$$Bandwidth$", "a\x01b$Number$\x01", "$Number%x$$Time%d$"]
+    values = [(t, i, n, m, b) for t in ends for i, n, m, b in (("r", 42, 900, 5), (None, -3, 0, None), ("$\x01", 123456, 10**13, -1))]
+    df = spark.createDataFrame(values, "t string, i string, n long, m long, b long")
+    whole = C.expand_template(F.col("t"), F.col("i"), F.col("n"), F.col("m"), F.col("b"))
+    steps = C.filled_template(C.prepared_template(F.col("t"), F.col("i"), F.col("b")), F.col("n"), F.col("m"))
+    assert [r for r in df.select("*", whole.alias("w"), steps.alias("s")).collect() if r.w != r.s] == []
+
+
 def test_cache_headers(spark):
     info = lambda h: tuple(value(spark, C.cache_info(F.create_map(*(F.lit(x) for kv in h.items() for x in kv)))))
     assert info({"age": "7", "X-Cache": "HIT, MISS"}) == (7, "MISS")
